@@ -53,23 +53,26 @@ def upsert_ledger(
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     stage: str,
     ids_per_bucket: int = IDS_PER_BUCKET,
+    stored: DataFrame | None = None,
+    before: Callable[[DataFrame, DataFrame], None] | None = None,
 ) -> None:
     """Apply ``merge(ledger, batch)`` to the stored ledger, rewriting only the buckets touched (K2).
 
     The merged buckets are written to ``stage`` first and then replace the stored ones in one
     dynamic partition overwrite. A run that is repeated with the same stage (same batch id) after a
-    failure finishes the swap from the stage instead of merging twice. ``batch`` needs ``id``.
+    failure finishes the swap from the stage instead of merging twice. ``before`` sees the touched
+    rows and the batch ahead of the merge, under the same guarantee. ``batch`` needs ``id``.
     """
     spark = batch.sparkSession
     if not _finished_stage(spark, stage):
-        stored = spark.read.parquet(path)
+        stored = spark.read.parquet(path) if stored is None else stored
         touched = with_bucket(batch.select("id"), ids_per_bucket).select("bucket").distinct()
         current = stored.join(touched, "bucket", "left_semi").drop("bucket")
-        merged = merge(current, batch)
-        with_bucket(merged, ids_per_bucket).write.mode("overwrite").parquet(f"{stage}/rows")
+        if before is not None:
+            before(current, batch)
+        merge(current, batch).write.mode("overwrite").parquet(f"{stage}/rows")
         spark.range(1).select(F.lit(1).cast("int").alias("done")).write.mode("overwrite").parquet(f"{stage}/done")
-    rows = spark.read.parquet(f"{stage}/rows").drop("bucket")
-    write_ledger(rows, path, ids_per_bucket)
+    write_ledger(spark.read.parquet(f"{stage}/rows"), path, ids_per_bucket)
 
 
 def write_rejects(errors: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,40 +1,140 @@
-"""Streams built on Spark's own state and on ``foreachBatch``: counters, objects, metrics, upserts."""
+"""Streams over stored tables and on Spark's own windows: counters, fences, objects, metrics, upserts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
 from mediaops.operators import inventory as inv
 from mediaops.operators import ledger, merges
-from mediaops.sources.sinks import upsert_ledger, write_tasks_queue
-from mediaops.streaming.run import read_stages, run_batches
-from mediaops.streaming.state import WATERMARK, net_transitions
+from mediaops.sources.sinks import IDS_PER_BUCKET, upsert_ledger
+from mediaops.streaming.run import read_stages, read_table, run_batches, write_stage
+from mediaops.streaming.state import ANSWER, KEY, TOKENS, judge_messages
 
+WATERMARK = "10 minutes"
+SEEN = "job_id long, id long, seq long, status string"
 DELTAS = "job_id long, pending_delta long, running_delta long, success_delta long, failed_delta long, success_bytes long"
 
 
+def net_moves(seen: DataFrame, batch: DataFrame) -> DataFrame:
+    """Net (old, new) move of each task in a batch; updates older than the known state are ignored.
+
+    Moves telescope, so counters summed from them equal those of every single move.
+    """
+    last = ledger.latest_update(batch.select(*KEY, "seq", "status", "size"), KEY)
+    known = seen.select(*KEY, F.col("seq").alias("_seq"), F.col("status").alias("old_status"))
+    return (
+        last.join(known, KEY, "left")
+        .filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
+        .withColumn("old_status", F.coalesce("old_status", F.lit(C.PENDING)))
+        .withColumnRenamed("status", "new_status")
+        .drop("_seq")
+    )
+
+
+def _latest_seen(seen: DataFrame, batch: DataFrame) -> DataFrame:
+    return ledger.latest_update(seen.unionByName(batch.select(*KEY, "seq", "status")), KEY)
+
+
 def job_deltas(moves: DataFrame, kind: str = "copy") -> DataFrame:
     """Counter changes and success bytes per job of one batch of moves."""
-    return ledger.transition_deltas(moves, kind).join(ledger.success_bytes(moves), "job_id", "left").na.fill(
-        0, ["success_bytes"]
+    changed = moves.filter("old_status <> new_status")
+    return (
+        ledger.transition_deltas(changed, kind)
+        .join(ledger.success_bytes(changed), "job_id", "left")
+        .na.fill(0, ["success_bytes"])
     )
 
 
-def stream_job_counters(events: DataFrame, path: str, kind: str = "copy", checkpoint: str | None = None) -> None:
-    """Per-job counter changes of each micro-batch, one directory per batch."""
-    run_batches(
-        net_transitions(events),
-        lambda moves, batch_id: write_tasks_queue(job_deltas(moves, kind), path, str(batch_id)),
-        checkpoint,
-    )
+def follow_tasks(
+    events: DataFrame,
+    path: str,
+    also: Callable[[DataFrame, int], None],
+    ids_per_bucket: int = IDS_PER_BUCKET,
+    checkpoint: str | None = None,
+) -> None:
+    """Keep the last status of every task below ``path`` and hand each batch's net moves to ``also``.
+
+    The moves are handed over before the state advances, so a repeated batch sees the same moves.
+    """
+    spark = events.sparkSession
+    path = path.rstrip("/")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        upsert_ledger(
+            batch,
+            f"{path}/seen",
+            _latest_seen,
+            f"{path}/stage/batch={batch_id}",
+            ids_per_bucket,
+            stored=read_table(spark, f"{path}/seen", SEEN + ", bucket long"),
+            before=lambda current, rows: also(net_moves(current, rows), batch_id),
+        )
+
+    run_batches(events.select(*KEY, "seq", "status", "size"), handle, checkpoint)
+
+
+def stream_job_counters(events: DataFrame, path: str, kind: str = "copy", checkpoint: str | None = None) -> DataFrame:
+    """Running per-job counters from status events (T1): the sum of each micro-batch's changes."""
+    follow_tasks(events, path, lambda moves, n: write_stage(job_deltas(moves, kind), f"{path}/deltas", n), checkpoint=checkpoint)
+    return running_counters(events.sparkSession, path)
 
 
 def running_counters(spark: SparkSession, path: str) -> DataFrame:
-    """Sum of the changes so far: the running counters."""
     names = [f.split()[0] for f in DELTAS.split(", ")][1:]
-    return read_stages(spark, path, DELTAS).groupBy("job_id").agg(*[F.sum(n).alias(n) for n in names])
+    return read_stages(spark, f"{path}/deltas", DELTAS).groupBy("job_id").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def stream_completion_monitor(
+    events: DataFrame, jobs: DataFrame, path: str, as_of=None, checkpoint: str | None = None
+) -> DataFrame:
+    """Job table after each trigger: counters moved, finished jobs completed.
+
+    Every batch writes a new version of the job table from the one before; returns the latest.
+    """
+    spark = events.sparkSession
+
+    def step(moves: DataFrame, batch_id: int) -> None:
+        current = jobs if batch_id == 0 else spark.read.schema(jobs.schema).parquet(f"{path}/jobs/batch={batch_id - 1}")
+        now = as_of if as_of is not None else F.current_timestamp()
+        write_stage(ledger.complete_jobs(ledger.apply_deltas(current, job_deltas(moves)), now), f"{path}/jobs", batch_id)
+
+    follow_tasks(events, path, step, checkpoint=checkpoint)
+    versions = spark.read.parquet(f"{path}/jobs")
+    return versions.filter(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def stream_fenced_state(
+    messages: DataFrame, path: str, ids_per_bucket: int = IDS_PER_BUCKET, checkpoint: str | None = None
+) -> DataFrame:
+    """Latest task state under run-token fencing (T7): an answer per message, split by ``accepted``.
+
+    Tokens and states are kept by id range, and only ranges a batch touches are rewritten. No
+    watermark applies: late messages are judged, not dropped.
+    """
+    spark = messages.sparkSession
+    path = path.rstrip("/")
+
+    def advance(current: DataFrame, batch: DataFrame) -> DataFrame:
+        last = ledger.latest_update(judge_messages(current, batch).select(*KEY, "seq", "run_token", "status"), KEY)
+        return current.join(last.select(*KEY), KEY, "left_anti").unionByName(last.drop("seq"))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        upsert_ledger(
+            batch,
+            f"{path}/tokens",
+            advance,
+            f"{path}/stage/batch={batch_id}",
+            ids_per_bucket,
+            stored=read_table(spark, f"{path}/tokens", TOKENS + ", bucket long"),
+            before=lambda current, rows: write_stage(judge_messages(current, rows), f"{path}/out", batch_id),
+        )
+
+    run_batches(messages.select(*KEY, "seq", "kind", "run_token", "status"), handle, checkpoint)
+    return read_stages(spark, f"{path}/out", ANSWER)
 
 
 def new_objects(inventory: DataFrame) -> DataFrame:
@@ -45,25 +145,30 @@ def new_objects(inventory: DataFrame) -> DataFrame:
     return inventory.dropDuplicates(["job_id", "key"])
 
 
-def stream_new_objects(inventory: DataFrame, ledger_path: str, checkpoint: str | None = None) -> None:
-    """Discovered objects become pending tasks once per job (T4), appended to the ledger stage.
+FOUND = "job_id long, id long, src string, size long, pos long, status string"
+
+
+def stream_new_objects(inventory: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+    """Discovered objects become pending tasks once per job (T4).
 
-    Each batch is held against the batches before it, so the only state is the ledger. A repeated
-    batch does not see its own first attempt and rewrites the same directory.
+    Each batch is held against the tasks of the batches before it, so the only state is the ledger.
+    A repeated batch does not see its own first attempt and rewrites the same directory.
     """
     spark = inventory.sparkSession
-    row = "job_id long, id long, src string, size long, pos long, status string"
+    path = path.rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(row + ", batch long").parquet(ledger_path) if batch_id else None
-        known = stored.filter(F.col("batch") < batch_id) if batch_id else spark.createDataFrame([], row)
+        known = spark.createDataFrame([], FOUND)
+        if batch_id:
+            known = read_stages(spark, path, FOUND, before=batch_id)
         fresh = inv.new_inputs(batch.select("job_id", "key", "pos", "size"), known)
         tasks = inv.allocate_ids(fresh, known).select(
             "job_id", "id", F.col("key").alias("src"), "size", "pos", F.lit(C.PENDING).alias("status")
         )
-        write_tasks_queue(tasks, ledger_path, str(batch_id))
+        write_stage(tasks, path, batch_id)
 
     run_batches(inventory, handle, checkpoint)
+    return read_stages(spark, path, FOUND)
 
 
 def outcome_windows(log: DataFrame, at: str = "event_ts", delay: str = WATERMARK, width: str = "1 minute") -> DataFrame:
@@ -72,7 +177,11 @@ def outcome_windows(log: DataFrame, at: str = "event_ts", delay: str = WATERMARK
         log.withColumn(at, F.col(at).cast("timestamp"))
         .withWatermark(at, delay)
         .groupBy(F.window(at, width).alias("w"), "outcome")
-        .agg(F.count(F.lit(1)).alias("tasks"), F.sum("duration_ms").alias("duration_ms"), F.max("duration_ms").alias("max_ms"))
+        .agg(
+            F.count(F.lit(1)).alias("tasks"),
+            F.sum("duration_ms").alias("duration_ms"),
+            F.max("duration_ms").alias("max_ms"),
+        )
         .select("w.start", "outcome", "tasks", "duration_ms", "max_ms")
     )
 
@@ -101,42 +210,23 @@ def worker_sessions(log: DataFrame, at: str = "event_ts", delay: str = WATERMARK
     )
 
 
-def stream_upsert(updates: DataFrame, ledger_path: str, stage_root: str, fenced: bool = True, checkpoint: str | None = None) -> None:
+def stream_upsert(
+    updates: DataFrame,
+    ledger_path: str,
+    stage_root: str,
+    fenced: bool = True,
+    ids_per_bucket: int = IDS_PER_BUCKET,
+    checkpoint: str | None = None,
+) -> None:
     """Apply each micro-batch of updates to the stored ledger (T10), idempotent by batch id.
 
-    Only the id buckets a batch touches are rewritten.
+    Only the id buckets a batch touches are rewritten; ``ids_per_bucket`` must be the ledger's.
     """
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
         return merges.merge_fenced(current, batch)[0] if fenced else merges.merge_patch(current, batch)
 
-    run_batches(
-        updates,
-        lambda batch, batch_id: upsert_ledger(batch, ledger_path, merge, f"{stage_root.rstrip('/')}/batch={batch_id}"),
-        checkpoint,
-    )
-
-
-def stream_completion_monitor(
-    moves: DataFrame, jobs: DataFrame, path: str, as_of=None, checkpoint: str | None = None
-) -> None:
-    """Job table after each trigger: counters moved, finished jobs completed.
-
-    Every batch writes a whole new version of the job table from the one before; ``path`` holds
-    ``batch=<id>`` versions, the latest of which is current.
-    """
-    spark = moves.sparkSession
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        current = jobs if batch_id == 0 else spark.read.schema(jobs.schema).parquet(f"{path}/batch={batch_id - 1}")
-        now = as_of if as_of is not None else F.current_timestamp()
-        moved = ledger.apply_deltas(current, job_deltas(batch))
-        write_tasks_queue(ledger.complete_jobs(moved, now), path, str(batch_id))
-
-    run_batches(moves, handle, checkpoint)
-
+        upsert_ledger(batch, ledger_path, merge, f"{stage_root.rstrip('/')}/batch={batch_id}", ids_per_bucket)
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """Newest job table of ``stream_completion_monitor``: the highest batch directory."""
-    rows = spark.read.parquet(path)
-    return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+    run_batches(updates, handle, checkpoint)

@@ -1,13 +1,22 @@
-"""Running streams: finite runs over what is available, and per-batch stages."""
+"""Running streams: finite runs over what is available, per-batch stages, state between batches.
+
+Keyed state lives in tables below the shared folder and every step is a DataFrame job: a busy key is
+split like any other hot key, nothing passes through Python row by row, and a batch that is run again
+after a failure starts from the state before it and rewrites its own directories.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mediaops.session import shared_dir
 
+WATERMARK_SECONDS = 600
+
 
 def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Process everything available into a stage in the shared folder and return the stage.
@@ -28,22 +37,73 @@ def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | Non
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(
-    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append"
-) -> None:
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Call ``handle(batch, batch_id)`` for everything available; handlers must be idempotent by id."""
-    spark = stream.sparkSession
     query = (
         stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint or shared_dir(spark, "checkpoint"))
+        .option("checkpointLocation", checkpoint or shared_dir(stream.sparkSession, "checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
 
 
-def read_stages(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """All batches written below ``path`` as ``batch=<id>`` directories."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+def write_stage(df: DataFrame, path: str, batch_id: int) -> None:
+    """One directory per batch; running a batch again replaces its own directory only."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def read_stage(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Stage of one batch; empty for the batch before the first."""
+    if batch_id < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def read_stages(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """All batches written below ``path``, or those before a batch (the others are not opened)."""
+    rows = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(f"{path}/batch=*")
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, empty while it does not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+Step = Callable[[DataFrame, DataFrame, object], tuple[DataFrame, DataFrame]]
+
+
+def run_armed(
+    stream: DataFrame,
+    step: Step,
+    state_schema: str,
+    path: str,
+    delay_seconds: int = WATERMARK_SECONDS,
+    checkpoint: str | None = None,
+) -> None:
+    """Run ``step(state, batch, mark) -> (state, output)`` over a stream with event time in ``us``.
+
+    ``mark`` (a scalar column) is the watermark: the largest event time seen less the delay. Rows
+    older than the mark before the batch are late and dropped. ``path`` receives ``state``, ``mark``
+    and ``out`` with one directory per batch. State holds only keys with a pending deadline.
+    """
+    spark = stream.sparkSession
+    path = path.rstrip("/")
+    delay = delay_seconds * 1_000_000
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        before = read_stage(spark, f"{path}/mark", batch_id - 1, "us long")
+        floor = F.coalesce(before.agg(F.max("us")).scalar(), F.lit(-(1 << 62)))
+        marks = before.unionByName(batch.agg((F.max("us") - delay).alias("us"))).agg(F.max("us").alias("us"))
+        write_stage(marks, f"{path}/mark", batch_id)
+        mark = read_stage(spark, f"{path}/mark", batch_id, "us long").agg(F.max("us")).scalar()
+        state = read_stage(spark, f"{path}/state", batch_id - 1, state_schema)
+        new_state, output = step(state, batch.filter(F.col("us") >= floor), mark)
+        write_stage(output, f"{path}/out", batch_id)
+        write_stage(new_state, f"{path}/state", batch_id)
+
+    run_batches(stream, handle, checkpoint)

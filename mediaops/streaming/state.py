@@ -1,371 +1,300 @@
-"""Stateful stream operators on ``transformWithState`` (RocksDB state store).
+"""Keyed stream operators with deadlines: liveness, staleness, retries, expiry, pairs, fencing.
 
-State per key is a handful of numbers. Rows reach a key's handler in no particular order, so handlers
-that depend on order sort the key's rows of the batch; bound a batch with ``maxFilesPerTrigger`` or
-``maxOffsetsPerTrigger``. Times travel as epoch microseconds.
+Each is a step over (state, batch) in column operations; ``run_armed`` carries the state along. A
+deadline that passes before the key's next event takes effect first, whether both meet in one batch
+or the watermark passes it between batches, so results do not depend on batch boundaries. Events of
+a key are ordered by ``seq``, the sequence number their sender gives them in time order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mediaops.functions import columns as C
 from mediaops.functions import rules
 from mediaops.operators.errors import contains_any
+from mediaops.operators.ordered import carry_last
+from mediaops.streaming.run import (
+    read_stage,
+    read_stages,
+    run_armed,
+    run_batches,
+    write_stage,
+)
 
-WATERMARK = "10 minutes"
 
-
-def _micros(c: str = "event_ts") -> Column:
+def micros(c: str = "event_ts") -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def _watermarked(events: DataFrame, at: str, delay: str) -> DataFrame:
-    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+def _us(seconds: int) -> int:
+    return seconds * 1_000_000
 
 
-def _timestamps(df: DataFrame, **named: str) -> DataFrame:
-    """Turn microsecond columns back into timestamps: ``new_name="column"``."""
-    out = df
-    for name, source in named.items():
-        out = out.withColumn(name, F.timestamp_micros(source))
-        if name != source:
-            out = out.drop(source)
-    return out
+def with_next(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
+    """Value of the key's next row: a carry along the reversed order."""
+    reverse = df.withColumn("_back", -F.col("seq"))
+    return carry_last(reverse, keys, "_back", value, out).drop("_back")
 
 
-class _Timed(StatefulProcessor):
-    """Base of operators with one deadline per key.
+def armed(rows: DataFrame, keys: list[str], ttl: Column | int, mark: Column) -> tuple[DataFrame, DataFrame]:
+    """Split rows (keys, seq, us, arm) into those whose deadline passed and those still pending.
 
-    A deadline that passes before the next event of the key takes effect first, whether the two meet
-    in one batch or the timer fires between batches, so results do not depend on batch boundaries.
+    A row with ``arm`` sets a deadline ``us + ttl``; the key's next row cancels it unless the
+    deadline came first; without a next row the watermark decides.
     """
+    due = F.col("us") + ttl
+    passed = F.when(F.col("_next").isNull(), due <= mark).otherwise(due <= F.col("_next"))
+    judged = with_next(rows, keys, F.col("us"), "_next").filter("arm").withColumns({"due": due, "_passed": passed})
+    pending = judged.filter("not _passed and _next is null").select(*rows.columns)
+    return judged.filter("_passed").drop("_passed", "_next"), pending
 
-    state_schema = "deadline long"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._state = handle.getValueState("state", self.state_schema)
-
-    def close(self) -> None:
-        pass
 
-    def _load(self):
-        return self._state.get() if self._state.exists() else None
+# ---- T2 -----------------------------------------------------------------------------------------
 
-    def _store(self, before, after) -> None:
-        """Persist the new state (``deadline`` first, in µs; none clears) and move the timer along."""
-        old = before[0] if before is not None else None
-        new = after[0] if after is not None else None
-        if old is not None and old != new:
-            self._handle.deleteTimer(-(-old // 1000))
-        if after is None:
-            self._state.clear()
-        else:
-            self._state.update(after)
-            if new != old:
-                self._handle.registerTimer(-(-new // 1000))
+LIVENESS = "worker_id string, at timestamp, alive boolean"
 
-    def expired(self, key, state):
-        raise NotImplementedError
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state = self._load()
-        if state is not None and -(-state[0] // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
-            self._state.clear()
-            yield from self.expired(key, state)
+def liveness_step(ttl: int):
+    def step(state: DataFrame, batch: DataFrame, mark: Column):
+        beats = batch.select("worker_id", "us").distinct().withColumn("held", F.lit(False))
+        rows = state.withColumn("held", F.lit(True)).unionByName(beats)
+        seen = carry_last(rows, ["worker_id"], "us", F.col("us"), "prev", span=3_600_000_000)
+        gap = F.col("prev").isNotNull() & (F.col("us") - F.col("prev") >= ttl)
+        fresh = seen.filter(~F.col("held") & (F.col("prev").isNull() | gap))
+        last = rows.groupBy("worker_id").agg(F.max("us").alias("us"))
+        gone = F.col("us") + ttl <= mark
 
+        def out(df, us, alive):
+            return df.select("worker_id", F.timestamp_micros(us).alias("at"), F.lit(alive).alias("alive"))
 
-# ---- T1 -----------------------------------------------------------------------------------------
+        output = (
+            out(fresh, F.col("us"), True)
+            .unionByName(out(fresh.filter("prev is not null"), F.col("prev") + ttl, False))
+            .unionByName(out(last.filter(gone), F.col("us") + ttl, False))
+        )
+        return last.filter(~gone), output
 
+    return step
 
-class _NetMoves(StatefulProcessor):
-    """Status of a task by highest sequence; emits the net move of each batch."""
 
-    def init(self, handle):
-        self._state = handle.getValueState("state", "seq long, status string")
+def stream_worker_liveness(heartbeats: DataFrame, path: str, ttl_seconds: int = 120, checkpoint: str | None = None) -> DataFrame:
+    """Workers going up at the first heartbeat and down two minutes after the last."""
+    beats = heartbeats.select("worker_id", micros().alias("us"))
+    run_armed(beats, liveness_step(_us(ttl_seconds)), "worker_id string, us long", path, checkpoint=checkpoint)
+    return read_stages(heartbeats.sparkSession, f"{path}/out", LIVENESS)
 
-    def handleInputRows(self, key, rows, timerValues):
-        best = None
-        for r in rows:
-            if best is None or r.seq > best.seq:
-                best = r
-        seq, status = self._state.get() if self._state.exists() else (-1, None)
-        if best is not None and best.seq > seq:
-            self._state.update((best.seq, best.status))
-            old = status if status is not None else C.PENDING
-            if old != best.status:
-                yield Row(job_id=key[0], task_id=key[1], seq=best.seq, old_status=old, new_status=best.status, size=best.size)
 
-    def close(self):
-        pass
+# ---- T3 -----------------------------------------------------------------------------------------
 
+RUN = ["job_id", "task_id", "run_token"]
+STALE = "job_id long, task_id long, run_token string, kind string, at timestamp"
+
+
+def staleness_step(claim_us: int, running_us: int):
+    def step(state: DataFrame, batch: DataFrame, mark: Column):
+        rows = state.unionByName(batch.select(*RUN, "seq", "us", "kind"))
+        progress = F.col("kind") == "progress"
+        chain = carry_last(rows, RUN, "seq", F.col("us"), "_prev")
+        late = progress & (F.col("_prev").isNull() | (F.col("us") - F.col("_prev") >= running_us))
+        broken = late | F.col("kind").isin("claim", "done")
+        chain = carry_last(chain, RUN, "seq", F.when(broken, F.col("seq")), "_broken", strict=False)
+        chain = carry_last(chain, RUN, "seq", F.when(F.col("kind") == "activate", F.col("seq")), "_active", strict=False)
+        live = F.col("_active").isNotNull() & (F.coalesce("_broken", F.lit(-1)) < F.col("_active"))
+        effective = (
+            chain.filter(~progress | live)
+            .withColumn("kind", F.when(progress, F.lit("activate")).otherwise(F.col("kind")))
+            .select(*RUN, "seq", "us", "kind")
+            .withColumn("arm", F.col("kind") != "done")
+        )
+        limit = F.when(F.col("kind") == "claim", F.lit(claim_us)).otherwise(F.lit(running_us))
+        passed, pending = armed(effective, RUN, limit, mark)
+        output = passed.select(
+            *RUN,
+            F.when(F.col("kind") == "claim", "stale_claim").otherwise("stale_running").alias("kind"),
+            F.timestamp_micros("due").alias("at"),
+        )
+        return pending.drop("arm"), output
 
-MOVE = "job_id long, task_id long, seq long, old_status string, new_status string, size long"
+    return step
 
 
-def net_transitions(events: DataFrame) -> DataFrame:
-    """Net (old, new) move of each task per micro-batch; late repeats of older states are ignored.
+def stream_stale_tasks(
+    messages: DataFrame,
+    path: str,
+    claim_seconds: int = 20 * 60,
+    running_seconds: int = 15 * 60,
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Runs claimed but never activated for 20 minutes, or active and silent for 15.
 
-    Moves telescope, so counters summed from them equal those of every single move.
+    ``kind`` of a message: claim, activate, progress or done. Progress refreshes an active run and
+    creates nothing; a message under another token belongs to another run.
     """
-    return (
-        events.select("job_id", "task_id", "seq", "status", "size")
-        .groupBy("job_id", "task_id")
-        .transformWithState(_NetMoves(), MOVE, "Append", "None")
-    )
-
-
-# ---- T2 -----------------------------------------------------------------------------------------
-
-
-class _Liveness(_Timed):
-    def __init__(self, ttl_us: int):
-        self.ttl = ttl_us
+    rows = messages.select(*RUN, "seq", micros().alias("us"), "kind")
+    schema = "job_id long, task_id long, run_token string, seq long, us long, kind string"
+    run_armed(rows, staleness_step(_us(claim_seconds), _us(running_seconds)), schema, path, checkpoint=checkpoint)
+    return read_stages(messages.sparkSession, f"{path}/out", STALE)
 
-    def handleInputRows(self, key, rows, timerValues):
-        before = state = self._load()
-        for us in sorted(r.us for r in rows):
-            if state is not None and state[0] <= us:
-                yield Row(worker_id=key[0], alive=False, us=state[0])
-                state = None
-            if state is None:
-                yield Row(worker_id=key[0], alive=True, us=us)
-                state = (us + self.ttl,)
-            else:
-                state = (max(state[0], us + self.ttl),)
-        self._store(before, state)
 
-    def expired(self, key, state):
-        yield Row(worker_id=key[0], alive=False, us=state[0])
+# ---- T6, T8 -------------------------------------------------------------------------------------
 
+TASK = ["job_id", "task_id"]
+DUE = "job_id long, task_id long, at timestamp"
 
-def worker_liveness(heartbeats: DataFrame, ttl_seconds: int = 120, delay: str = WATERMARK) -> DataFrame:
-    """Workers going up at the first heartbeat and down two minutes after the last."""
-    beats = _watermarked(heartbeats, "event_ts", delay).select("worker_id", "event_ts", _micros().alias("us"))
-    out = beats.groupBy("worker_id").transformWithState(
-        _Liveness(ttl_seconds * 1_000_000), "worker_id string, alive boolean, us long", "Append", "EventTime"
-    )
-    return _timestamps(out, at="us")
-
-
-# ---- T3 -----------------------------------------------------------------------------------------
 
+def deadline_step(ttl: int):
+    def step(state: DataFrame, batch: DataFrame, mark: Column):
+        rows = state.unionByName(batch.select(*TASK, "seq", "us", "arm"))
+        passed, pending = armed(rows, TASK, ttl, mark)
+        return pending, passed.select(*TASK, F.timestamp_micros("due").alias("at"))
 
-class _Staleness(_Timed):
-    state_schema = "deadline long, phase string"
+    return step
 
-    def __init__(self, claim_us: int, running_us: int):
-        self.limits = {"claimed": claim_us, "active": running_us}
 
-    def _emit(self, key, state):
-        kind = "stale_claim" if state[1] == "claimed" else "stale_running"
-        return Row(job_id=key[0], task_id=key[1], run_token=key[2], kind=kind, us=state[0])
+def _deadlines(stream: DataFrame, arm: Column, ttl_seconds: int, path: str, checkpoint: str | None) -> DataFrame:
+    rows = stream.select(*TASK, "seq", micros().alias("us"), F.coalesce(arm, F.lit(False)).alias("arm"))
+    schema = "job_id long, task_id long, seq long, us long, arm boolean"
+    run_armed(rows, deadline_step(_us(ttl_seconds)), schema, path, checkpoint=checkpoint)
+    return read_stages(stream.sparkSession, f"{path}/out", DUE)
 
-    def handleInputRows(self, key, rows, timerValues):
-        before = state = self._load()
-        for us, _, kind in sorted((r.us, r.seq, r.kind) for r in rows):
-            if state is not None and state[0] <= us:
-                yield self._emit(key, state)
-                state = None
-            if kind == "claim":
-                state = (us + self.limits["claimed"], "claimed")
-            elif kind == "activate":
-                state = (us + self.limits["active"], "active")
-            elif kind == "progress":
-                if state is not None and state[1] == "active":
-                    state = (us + self.limits["active"], "active")
-            else:
-                state = None
-        self._store(before, state)
 
-    def expired(self, key, state):
-        yield self._emit(key, state)
-
-
-def stale_tasks(
-    messages: DataFrame, claim_seconds: int = 20 * 60, running_seconds: int = 15 * 60, delay: str = WATERMARK
-) -> DataFrame:
-    """Runs claimed but never activated for 20 minutes, or active and silent for 15.
+def stream_retry_due(events: DataFrame, path: str, cooldown_seconds: int = 60, checkpoint: str | None = None) -> DataFrame:
+    """Failed tasks due for retry after the cooldown, unless their state changed meanwhile.
 
-    ``kind`` of a message: claim, activate, progress or done. Progress refreshes an active run and
-    creates nothing; a message under another token belongs to another run.
+    Permanent failures are never scheduled; a further failure restarts the cooldown.
     """
-    rows = _watermarked(messages, "event_ts", delay).select(
-        "job_id", "task_id", "run_token", "event_ts", "seq", "kind", _micros().alias("us")
-    )
-    out = rows.groupBy("job_id", "task_id", "run_token").transformWithState(
-        _Staleness(claim_seconds * 1_000_000, running_seconds * 1_000_000),
-        "job_id long, task_id long, run_token string, kind string, us long",
-        "Append",
-        "EventTime",
-    )
-    return _timestamps(out, at="us")
-
+    retryable = (F.col("status") == C.FAILED) & ~contains_any("error_message", rules.COPY_PERMANENT)
+    return _deadlines(events, retryable, cooldown_seconds, path, checkpoint)
 
-# ---- T5 -----------------------------------------------------------------------------------------
 
+def stream_checkpoint_expiry(changes: DataFrame, path: str, ttl_seconds: int = 72 * 3600, checkpoint: str | None = None) -> DataFrame:
+    """Checkpoints expiring 72 hours after their last save; a clear ends them at once."""
+    return _deadlines(changes, F.col("op") == "save", ttl_seconds, path, checkpoint)
 
-class _Pairing(StatefulProcessor):
-    """Holds the last key of each side until both are there; one pair per name."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl = ttl_ms
+# ---- T5 -----------------------------------------------------------------------------------------
 
-    def init(self, handle):
-        self._state = handle.getValueState(
-            "state", "done boolean, vkey string, vsize long, akey string, asize long", ttlDurationMs=self.ttl
-        )
+SIDE = "job_id long, pair_id string, is_video boolean, pos long, key string, size long"
+PAIR = "job_id long, pair_id string, video_key string, video_size long, audio_key string, audio_size long"
 
-    def handleInputRows(self, key, rows, timerValues):
-        done, vkey, vsize, akey, asize = self._state.get() if self._state.exists() else (False, None, None, None, None)
-        if done:
-            return
-        for _, is_video, name, size in sorted((r.pos, r.is_video, r.key, r.size) for r in rows):
-            if is_video:
-                vkey, vsize = name, size
-            else:
-                akey, asize = name, size
-            if vkey is not None and akey is not None:
-                done = True
-                yield Row(job_id=key[0], pair_id=key[1], video_key=vkey, video_size=vsize, audio_key=akey, audio_size=asize)
-                break
-        self._state.update((True, None, None, None, None) if done else (False, vkey, vsize, akey, asize))
-
-    def close(self):
-        pass
-
-
-def stream_pairs(inventory: DataFrame, lone_side_ttl_hours: int = 24 * 7) -> DataFrame:
-    """A pair as soon as its second side arrives in any later listing page (T5).
 
-    The later key wins per side until the pair completes; the first completion stands. Lone sides
-    are forgotten after the time to live (processing time).
-    """
+def pair_sides(inventory: DataFrame) -> DataFrame:
+    """Objects that are one side of a pair: job, pair name, side, position, key, size."""
     name = C.basename("key")
     is_video = F.contains(name, F.lit("_video."))
     is_audio = ~is_video & F.contains(name, F.lit("_audio."))
     tag = F.when(is_video, F.split_part(name, F.lit("_video."), F.lit(1))).when(
         is_audio, F.split_part(name, F.lit("_audio."), F.lit(1))
     )
-    sides = inventory.select("job_id", tag.alias("pair_id"), is_video.alias("is_video"), "pos", "key", "size")
-    return (
-        sides.filter("pair_id is not null")
-        .groupBy("job_id", "pair_id")
-        .transformWithState(
-            _Pairing(lone_side_ttl_hours * 3_600_000),
-            "job_id long, pair_id string, video_key string, video_size long, audio_key string, audio_size long",
-            "Append",
-            "ProcessingTime",
-        )
-    )
-
-
-# ---- T6 -----------------------------------------------------------------------------------------
-
-
-class _RetryDue(_Timed):
-    def __init__(self, cooldown_us: int):
-        self.cooldown = cooldown_us
+    return inventory.select(
+        "job_id", tag.alias("pair_id"), is_video.alias("is_video"), "pos", "key", "size"
+    ).filter("pair_id is not null")
 
-    def handleInputRows(self, key, rows, timerValues):
-        before = state = self._load()
-        for us, _, retryable in sorted((r.us, r.seq, r.retryable) for r in rows):
-            if state is not None and state[0] <= us:
-                yield Row(job_id=key[0], task_id=key[1], us=state[0])
-            state = (us + self.cooldown,) if retryable else None
-        self._store(before, state)
 
-    def expired(self, key, state):
-        yield Row(job_id=key[0], task_id=key[1], us=state[0])
-
-
-def retry_due(events: DataFrame, cooldown_seconds: int = 60, delay: str = WATERMARK) -> DataFrame:
-    """Failed tasks due for retry after the cooldown, unless their state changed meanwhile.
-
-    Permanent failures are never scheduled; a further failure restarts the cooldown.
-    """
-    retryable = (F.col("status") == C.FAILED) & ~contains_any("error_message", rules.COPY_PERMANENT)
-    rows = _watermarked(events, "event_ts", delay).select(
-        "job_id", "task_id", "event_ts", "seq", retryable.alias("retryable"), _micros().alias("us")
+def complete_pairs(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs at the moment both sides are there, and the last key of each lone side."""
+    keys = ["job_id", "pair_id"]
+    video = F.col("is_video")
+    first = sides.groupBy(*keys).agg(
+        F.min(F.when(video, F.col("pos"))).alias("_v"), F.min(F.when(~video, F.col("pos"))).alias("_a")
     )
-    out = rows.groupBy("job_id", "task_id").transformWithState(
-        _RetryDue(cooldown_seconds * 1_000_000), "job_id long, task_id long, us long", "Append", "EventTime"
+    held = sides.join(first, keys)
+    both = F.col("_v").isNotNull() & F.col("_a").isNotNull()
+    row = F.struct("key", "size")
+    pairs = (
+        held.filter(both & (F.col("pos") <= F.greatest("_v", "_a")))
+        .groupBy(*keys)
+        .agg(
+            F.max_by(row, F.when(video, F.col("pos"))).alias("v"), F.max_by(row, F.when(~video, F.col("pos"))).alias("a")
+        )
+        .select(
+            *keys,
+            F.col("v.key").alias("video_key"),
+            F.col("v.size").alias("video_size"),
+            F.col("a.key").alias("audio_key"),
+            F.col("a.size").alias("audio_size"),
+        )
     )
-    return _timestamps(out, due_at="us")
-
-
-# ---- T7 -----------------------------------------------------------------------------------------
-
-
-class _Fence(StatefulProcessor):
-    """Token in force and status of a task; every message is answered with accepted or rejected."""
-
-    def init(self, handle):
-        self._state = handle.getValueState("state", "token string, status string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        token, status = self._state.get() if self._state.exists() else ("", C.PENDING)
-        for seq, kind, sent, new in sorted((r.seq, r.kind, r.run_token or "", r.status or "") for r in rows):
-            if kind == "claim":
-                token, ok = sent, True
-            else:
-                ok = token == "" or sent == "" or sent == token
-                token = sent if ok and sent else token
-            if ok and new:
-                status = new
-            yield Row(job_id=key[0], task_id=key[1], seq=seq, accepted=ok, sent_token=sent, run_token=token, status=status)
-        self._state.update((token, status))
-
-    def close(self):
-        pass
+    lone = (
+        held.filter(~both)
+        .groupBy(*keys, "is_video")
+        .agg(F.max("pos").alias("pos"), F.max_by(row, "pos").alias("r"))
+        .select(*keys, "is_video", "pos", "r.key", "r.size")
+    )
+    return pairs, lone
 
 
-def fenced_state(messages: DataFrame) -> DataFrame:
-    """Latest task state under run-token fencing (T7): one answer per message, split by ``accepted``.
+def stream_pairs(inventory: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+    """A pair as soon as its second side arrives in any later listing page (T5).
 
-    A claim brings the token into force; updates under another token are rejected. Order is the
-    sequence number; no watermark applies, so late messages are judged, not dropped.
+    The later key wins per side until the pair completes; the first completion stands. State holds
+    the lone sides only; finished pairs are known from the output of earlier batches.
     """
-    return (
-        messages.select("job_id", "task_id", "seq", "kind", "run_token", "status")
-        .groupBy("job_id", "task_id")
-        .transformWithState(
-            _Fence(),
-            "job_id long, task_id long, seq long, accepted boolean, sent_token string, run_token string, status string",
-            "Append",
-            "None",
-        )
-    )
+    spark = inventory.sparkSession
+    path = path.rstrip("/")
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sides = batch
+        if batch_id:
+            done = read_stages(spark, f"{path}/out", PAIR, before=batch_id)
+            lone = read_stage(spark, f"{path}/state", batch_id - 1, SIDE)
+            sides = lone.unionByName(batch).join(done.select("job_id", "pair_id"), ["job_id", "pair_id"], "left_anti")
+        pairs, lone = complete_pairs(sides)
+        write_stage(pairs, f"{path}/out", batch_id)
+        write_stage(lone, f"{path}/state", batch_id)
 
-# ---- T8 -----------------------------------------------------------------------------------------
+    run_batches(pair_sides(inventory), handle, checkpoint)
+    return read_stages(spark, f"{path}/out", PAIR)
 
 
-class _Expiry(_Timed):
-    def __init__(self, ttl_us: int):
-        self.ttl = ttl_us
+# ---- T7 -----------------------------------------------------------------------------------------
 
-    def handleInputRows(self, key, rows, timerValues):
-        before = state = self._load()
-        for us, _, op in sorted((r.us, r.seq, r.op) for r in rows):
-            if state is not None and state[0] <= us:
-                yield Row(job_id=key[0], task_id=key[1], us=state[0])
-            state = (us + self.ttl,) if op == "save" else None
-        self._store(before, state)
+KEY = ["job_id", "id"]
+TOKENS = "job_id long, id long, run_token string, status string"
+ANSWER = "job_id long, id long, seq long, accepted boolean, sent_token string, run_token string, status string"
 
-    def expired(self, key, state):
-        yield Row(job_id=key[0], task_id=key[1], us=state[0])
 
+def judge_messages(state: DataFrame, messages: DataFrame) -> DataFrame:
+    """Answer to each message under the run-token fence.
 
-def checkpoint_expiry(changes: DataFrame, ttl_seconds: int = 72 * 3600, delay: str = WATERMARK) -> DataFrame:
-    """Checkpoints expiring 72 hours after their last save; a clear ends them at once."""
-    rows = _watermarked(changes, "event_ts", delay).select(
-        "job_id", "task_id", "event_ts", "seq", "op", _micros().alias("us")
+    In force is the token of the last claim, else the one the task holds, else the first token an
+    update brought. Updates under another token are rejected. The status is that of the last
+    accepted message.
+    """
+    sent = F.coalesce("run_token", F.lit(""))
+    rows = messages.select(
+        *KEY,
+        "seq",
+        sent.alias("sent_token"),
+        ((F.col("kind") == "claim") & (sent != "")).alias("claim"),
+        C.present("status").alias("told"),
+    )
+    held = state.select(*KEY, F.col("run_token").alias("_held"), F.col("status").alias("_status"))
+    brought = F.when((F.col("sent_token") != "") & ~F.col("claim"), F.col("seq"))
+    first = rows.groupBy(*KEY).agg(F.min_by("sent_token", brought).alias("_first"), F.min(brought).alias("_since"))
+    claimed = carry_last(rows, KEY, "seq", F.when(F.col("claim"), F.col("sent_token")), "_claimed")
+    force = F.coalesce(
+        F.col("_claimed"), C.present("_held"), F.when(F.col("_since") < F.col("seq"), F.col("_first")), F.lit("")
+    )
+    fits = F.col("claim") | (F.col("sent_token") == "") | (F.col("_force") == "") | (F.col("sent_token") == F.col("_force"))
+    judged = (
+        claimed.join(held, KEY, "left")
+        .join(first, KEY)
+        .withColumn("_force", force)
+        .withColumn("accepted", fits)
+        .withColumn(
+            "run_token",
+            F.when(F.col("claim") | (F.col("_force") == ""), F.col("sent_token")).otherwise(F.col("_force")),
+        )
     )
-    out = rows.groupBy("job_id", "task_id").transformWithState(
-        _Expiry(ttl_seconds * 1_000_000), "job_id long, task_id long, us long", "Append", "EventTime"
+    told = F.when(F.col("accepted"), F.col("told"))
+    return carry_last(judged, KEY, "seq", told, "_told", strict=False).select(
+        *KEY,
+        "seq",
+        "accepted",
+        "sent_token",
+        "run_token",
+        F.coalesce("_told", "_status", F.lit(C.PENDING)).alias("status"),
     )
-    return _timestamps(out, expired_at="us")

@@ -33,9 +33,8 @@ def streamed(v: Views, *tables: str) -> Views:
       where l.job_id = d.job_id and status = 'COMPLETED' and size > 0), 0)::bigint as success_bytes from d""",
 )
 def _(v):
-    path = shared_dir(v.spark, "counters")
-    sj.stream_job_counters(streamed(v, "events").task_events, path)
-    return sj.running_counters(v.spark, path)
+    events = streamed(v, "events").task_events.withColumnRenamed("task_id", "id")
+    return sj.stream_job_counters(events, shared_dir(v.spark, "counters"))
 
 
 BEATS = "select 'w' || user_id % 5 as worker_id, epoch_us(ts) as us from events"
@@ -53,13 +52,29 @@ def _(v):
     beats = streamed(v, "events").events.select(
         F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string")).alias("worker_id"), F.col("ts").alias("event_ts")
     )
-    return run_available(ss.worker_liveness(beats))
+    return ss.stream_worker_liveness(beats, shared_dir(v.spark, "liveness"))
 
 
 MESSAGE = {"click": "claim", "signup": "activate", "view": "progress", "purchase": "done", "error": "done"}
 
 
-@query("t3_stream_stale_tasks")
+@query(
+    "t3_stream_stale_tasks",
+    """with recursive m as (select user_id % 10 as job_id, user_id as task_id, 't' || event_id % 3 as run_token, epoch_us(ts) as us,
+        event_type as k, row_number() over (partition by user_id, event_id % 3 order by event_id) as n from events),
+    s as (select *, false as hit, '' as old_phase, 0::bigint as old_due from (select job_id, task_id, run_token, 0::bigint as n, '' as phase,
+          null::bigint as due from m where n = 1) i
+      union all select m.job_id, m.task_id, m.run_token, m.n,
+        case when k = 'click' then 'claimed' when k = 'signup' then 'active' when k = 'view' and s.due > us then s.phase else '' end,
+        case when k = 'click' then us + 1200000000 when k = 'signup' then us + 900000000 when k = 'view' and s.due > us
+          then case when s.phase = 'active' then us + 900000000 else s.due end end,
+        coalesce(s.due <= us, false), s.phase, s.due
+      from s join m on m.task_id = s.task_id and m.run_token = s.run_token and m.n = s.n + 1),
+    o as (select job_id, task_id, run_token, old_phase as phase, old_due as due from s where hit
+      union all select job_id, task_id, run_token, arg_max(phase, n), arg_max(coalesce(due, 9000000000000000000), n) as d from s group by 1, 2, 3
+        having d <= (select max(us) - 600000000 from m))
+    select job_id, task_id, run_token, case phase when 'claimed' then 'stale_claim' else 'stale_running' end as kind, due as at from o""",
+)
 def _(v):
     kinds = F.create_map(*[F.lit(x) for p in MESSAGE.items() for x in p])
     messages = streamed(v, "events").events.select(
@@ -70,7 +85,7 @@ def _(v):
         F.col("event_id").alias("seq"),
         F.try_element_at(kinds, F.col("event_type")).alias("kind"),
     )
-    return run_available(ss.stale_tasks(messages))
+    return ss.stream_stale_tasks(messages, shared_dir(v.spark, "stale"))
 
 
 @query(
@@ -79,9 +94,8 @@ def _(v):
       select *, row_number() over (partition by job_id, key order by pos) as rn from v_inv_src) where rn = 1""",
 )
 def _(v):
-    path = shared_dir(v.spark, "ledger")
-    sj.stream_new_objects(streamed(v, "part").inv_src, path)
-    return v.spark.read.parquet(path).select("job_id", "src", "pos", "size", "id")
+    tasks = sj.stream_new_objects(streamed(v, "part").inv_src, shared_dir(v.spark, "ledger"))
+    return tasks.select("job_id", "src", "pos", "size", "id")
 
 
 @query("t4_distinct_objects", "select distinct job_id, key from v_inv_src")
@@ -98,50 +112,51 @@ def _(v):
     from s join f on f.job_id = s.job_id and f.pair_id = s.pair_id and s.pos <= done group by 1, 2""",
 )
 def _(v):
-    return run_available(ss.stream_pairs(streamed(v, "part").media))
+    return ss.stream_pairs(streamed(v, "part").media, shared_dir(v.spark, "pairs"))
 
 
 @query(
     "t6_stream_retry_due",
     """with e as (select *, epoch_us(event_ts) as us, lead(epoch_us(event_ts)) over (partition by job_id, task_id order by event_ts, seq) as next,
         max(epoch_us(event_ts)) over () - 600000000 as mark from v_task_events)
-    select job_id, task_id, us + 3600000000 as due_at from e where status = 'FAILED'
+    select job_id, task_id, us + 3600000000 as at from e where status = 'FAILED'
       and (next is not null and next >= us + 3600000000 or next is null and us + 3600000000 <= mark)""",
 )
 def _(v):
-    return run_available(ss.retry_due(streamed(v, "events").task_events, cooldown_seconds=3600))
+    return ss.stream_retry_due(streamed(v, "events").task_events, shared_dir(v.spark, "due"), cooldown_seconds=3600)
 
 
 @query(
     "t7_stream_fenced_state",
-    """with recursive e as (select *, row_number() over (partition by job_id, task_id order by seq) as n from v_task_events),
+    """with recursive e as (select *, status = 'RUNNING' and run_token <> '' as claim,
+        row_number() over (partition by job_id, task_id order by seq) as n from v_task_events),
     s as (select job_id, task_id, 0::bigint as n, -1::bigint as seq, true as accepted, '' as sent_token, '' as run_token, 'PENDING' as status
-        from (select distinct job_id, task_id from e)
-      union all select e.job_id, e.task_id, e.n, e.seq, e.status = 'RUNNING' or s.run_token = '' or e.run_token = '' or e.run_token = s.run_token,
-        e.run_token, case when e.status = 'RUNNING' then e.run_token when s.run_token = '' then e.run_token else s.run_token end,
-        case when e.status = 'RUNNING' or s.run_token = '' or e.run_token = '' or e.run_token = s.run_token then e.status else s.status end
+        from (select distinct job_id, task_id from e) d
+      union all select e.job_id, e.task_id, e.n, e.seq, e.claim or s.run_token = '' or e.run_token = '' or e.run_token = s.run_token,
+        e.run_token, case when e.claim or s.run_token = '' then e.run_token else s.run_token end,
+        case when e.claim or s.run_token = '' or e.run_token = '' or e.run_token = s.run_token then e.status else s.status end
       from s join e on e.job_id = s.job_id and e.task_id = s.task_id and e.n = s.n + 1)
-    select job_id, task_id, seq, accepted, sent_token, run_token, status from s where n > 0""",
+    select job_id, task_id as id, seq, accepted, sent_token, run_token, status from s where n > 0""",
 )
 def _(v):
-    messages = streamed(v, "events").task_events.withColumn(
+    messages = streamed(v, "events").task_events.withColumnRenamed("task_id", "id").withColumn(
         "kind", F.when(F.col("status") == "RUNNING", "claim").otherwise("update")
     )
-    return run_available(ss.fenced_state(messages))
+    return sj.stream_fenced_state(messages, shared_dir(v.spark, "fence"))
 
 
 @query(
     "t8_stream_checkpoint_expiry",
     """with e as (select *, epoch_us(event_ts) as us, lead(epoch_us(event_ts)) over (partition by job_id, task_id order by event_ts, seq) as next,
         max(epoch_us(event_ts)) over () - 600000000 as mark from v_task_events)
-    select job_id, task_id, us + 28800000000 as expired_at from e where status <> 'COMPLETED'
+    select job_id, task_id, us + 28800000000 as at from e where status <> 'COMPLETED'
       and (next is not null and next >= us + 28800000000 or next is null and us + 28800000000 <= mark)""",
 )
 def _(v):
     changes = streamed(v, "events").task_events.withColumn(
         "op", F.when(F.col("status") == "COMPLETED", "clear").otherwise("save")
     )
-    return run_available(ss.checkpoint_expiry(changes, ttl_seconds=8 * 3600))
+    return ss.stream_checkpoint_expiry(changes, shared_dir(v.spark, "expiry"), ttl_seconds=8 * 3600)
 
 
 CLOSED = "(select max(epoch_us(ts)) - 600000000 from v_requests)"
@@ -191,7 +206,7 @@ def _(v):
     path, stage = shared_dir(v.spark, "ledger"), shared_dir(v.spark, "upsert")
     sinks.write_ledger(v.event_ledger, path, ids_per_bucket=20)
     updates = streamed(v, "events").task_events.withColumnRenamed("task_id", "id")
-    sj.stream_upsert(updates, path, stage)
+    sj.stream_upsert(updates, path, stage, ids_per_bucket=20)
     return v.spark.read.parquet(path).select("job_id", "id", "status", "run_token", "size")
 
 
@@ -206,7 +221,6 @@ def _(v):
       then 'COMPLETED' else moved end as status, p as pending_count, r as running_count from m""",
 )
 def _(v):
-    path = shared_dir(v.spark, "jobs")
-    moves = ss.net_transitions(streamed(v, "events").task_events)
-    sj.stream_completion_monitor(moves, v.jobs, path, as_of=JOBS_NOW)
-    return sj.latest_version(v.spark, path).select("job_id", "status", "pending_count", "running_count")
+    events = streamed(v, "events").task_events.withColumnRenamed("task_id", "id")
+    latest = sj.stream_completion_monitor(events, v.jobs, shared_dir(v.spark, "jobs"), as_of=JOBS_NOW)
+    return latest.select("job_id", "status", "pending_count", "running_count")

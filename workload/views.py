@@ -392,6 +392,8 @@ def with_views(sql: str) -> str:
     if not parts:
         return body
     joined = ",\n".join(parts)
+    if re.match(r"with recursive\s", body, re.I):
+        return f"with recursive {joined},\n{body[14:].strip()}"
     if re.match(r"with\s", body, re.I):
         return f"with {joined},\n{body[4:].strip()}"
     return f"with {joined}\n{body}"
