@@ -91,10 +91,9 @@ def dest_label(client, metadata_id, dst_dir) -> Column:
     return F.concat_ws(" | ", owner, place)
 
 
-def relative_key(src_dir, key) -> Column:
-    """Key below ``src_dir``: empty for the directory itself, unchanged when it lies elsewhere."""
-    base = trim_slashes(src_dir)
-    name = F.regexp_replace(col(key), "^/", "")
+def below(base, key) -> Column:
+    """Key below a trimmed directory: empty for the directory itself, unchanged when it lies elsewhere."""
+    base, name = col(base), F.regexp_replace(col(key), "^/", "")
     return (
         F.when(base == "", name)
         .when(name == base, F.lit(""))
@@ -103,9 +102,19 @@ def relative_key(src_dir, key) -> Column:
     )
 
 
+def join_key(root, rel) -> Column:
+    """Trimmed directory and relative key joined by one slash; either may be empty."""
+    return F.concat_ws("/", present(root), present(rel))
+
+
+def relative_key(src_dir, key) -> Column:
+    """Key below ``src_dir``: empty for the directory itself, unchanged when it lies elsewhere."""
+    return below(trim_slashes(src_dir), key)
+
+
 def dest_key(dst_dir, src_dir, key) -> Column:
-    """Destination key: trimmed ``dst_dir`` and the relative key, joined by one slash."""
-    return F.concat_ws("/", present(trim_slashes(dst_dir)), present(relative_key(src_dir, key)))
+    """Destination key: trimmed ``dst_dir`` and the relative key."""
+    return join_key(trim_slashes(dst_dir), relative_key(src_dir, key))
 
 
 def endpoint_bucket(endpoint) -> Column:

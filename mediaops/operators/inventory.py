@@ -41,17 +41,24 @@ def glob_filter(inventory: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+def destinations(jobs: DataFrame, meta: DataFrame) -> DataFrame:
+    """Per job: trimmed directories, destination bucket and URL root, worked out once for all its tasks."""
+    return (
+        jobs.select("job_id", "metadata_id", C.trim_slashes("src_dir").alias("src_base"), C.trim_slashes("dst_dir").alias("dst_root"))
+        .join(meta.select(F.col("id").alias("metadata_id"), "endpoint"), "metadata_id", "left")
+        .withColumn("dst_bucket", F.coalesce(C.endpoint_bucket("endpoint"), F.lit("")))
+        .withColumn("url_root", C.object_url("endpoint", "dst_bucket", F.lit("")))
+        .drop("metadata_id", "endpoint")
+    )
+
+
 def plan_dest_keys(tasks: DataFrame, jobs: DataFrame, meta: DataFrame) -> DataFrame:
     """Destination bucket, key and URL of each task."""
-    target = jobs.select("job_id", "metadata_id", "src_dir", "dst_dir").join(
-        meta.select(F.col("id").alias("metadata_id"), "endpoint"), "metadata_id", "left"
-    )
     return (
-        tasks.join(target, "job_id")
-        .withColumn("dst_bucket", F.coalesce(C.endpoint_bucket("endpoint"), F.lit("")))
-        .withColumn("dst_key", C.dest_key("dst_dir", "src_dir", "src"))
-        .withColumn("dst_url", C.object_url("endpoint", "dst_bucket", "dst_key"))
-        .drop("metadata_id", "src_dir", "dst_dir", "endpoint")
+        tasks.join(destinations(jobs, meta), "job_id")
+        .withColumn("dst_key", C.join_key("dst_root", C.below("src_base", "src")))
+        .withColumn("dst_url", F.concat("url_root", "dst_key"))
+        .drop("src_base", "dst_root", "url_root")
     )
 
 

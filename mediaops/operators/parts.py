@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
 from mediaops.functions.columns import MIB
+from mediaops.operators.inventory import destinations
 
 THRESHOLD = 8 * MIB
 MIN_PART = 5 * MIB
@@ -83,9 +84,7 @@ def resume_eligible(
 
     ``check_identity`` also compares the source identity, as a worker does before resuming.
     """
-    target = jobs.select("job_id", "metadata_id", "src_dir", "dst_dir").join(
-        meta.select(F.col("id").alias("metadata_id"), "endpoint"), "metadata_id", "left"
-    )
+    target = destinations(jobs, meta).select("job_id", "src_base", "dst_root", F.col("dst_bucket").alias("_bucket"))
     kept = checkpoints.select(
         "job_id",
         F.col("task_id").alias("id"),
@@ -95,16 +94,15 @@ def resume_eligible(
             for c in ("size", "dst_bucket", "dst_key", "part_size", "num_parts", "src_identity")
         ],
     )
-    per = C.part_size("size", min_part)
     reason = (
         F.when(C.is_blank("upload_id"), "no_checkpoint")
         .when(C.is_blank("src") | (F.col("size") <= 0), "no_source")
         .when(F.col("size") < threshold, "below_threshold")
         .when(F.col("ck_size") != F.col("size"), "size")
-        .when(F.col("ck_dst_bucket") != C.endpoint_bucket("endpoint"), "bucket")
-        .when(F.col("ck_dst_key") != C.dest_key("dst_dir", "src_dir", "src"), "key")
-        .when(F.col("ck_part_size") != per, "part_size")
-        .when(F.col("ck_num_parts") != C.part_count("size", per), "num_parts")
+        .when(F.col("ck_dst_bucket") != F.coalesce("_bucket", F.lit("")), "bucket")
+        .when(F.col("ck_dst_key") != F.col("_key"), "key")
+        .when(F.col("ck_part_size") != F.col("_per"), "part_size")
+        .when(F.col("ck_num_parts") != C.part_count("size", F.col("_per")), "num_parts")
     )
     if check_identity:
         etag = F.col("etag") if "etag" in tasks.columns else F.lit("")
@@ -112,6 +110,7 @@ def resume_eligible(
     return (
         tasks.join(kept, ["job_id", "id"], "left")
         .join(target, "job_id", "left")
+        .withColumns({"_key": C.join_key("dst_root", C.below("src_base", "src")), "_per": C.part_size("size", min_part)})
         .withColumn("reason", reason.otherwise("ok"))
         .withColumn("pool", F.when(F.col("reason") == "ok", "resume").otherwise("default"))
         .select(*tasks.columns, "upload_id", "pool", "reason")

@@ -116,32 +116,35 @@ def page(df: DataFrame, number: int = 1, limit: int = 10, newest: str = "created
     )
 
 
-def queue_entries(queue: DataFrame, machines: DataFrame) -> DataFrame:
-    """Entries of the known queues with numeric task id, type, machine and job (A4)."""
+def queue_counts(queue: DataFrame, machines: DataFrame) -> DataFrame:
+    """Entries per (job, queue) of the queues that should exist; malformed task ids are skipped (A4).
+
+    Entries are counted before they meet the queue list, so the join moves one row per job and queue.
+    """
     parts = F.split("queue_name", ":")
-    machine = F.get(parts, F.lit(3))
-    known = machines.filter("enabled and machine_name <> ''").select("machine_name").distinct()
-    task = F.col("task_id").try_cast("long")
-    job = C.int_div(task, 1_000_000)
+    job = C.int_div(F.col("task_id").try_cast("long"), 1_000_000)
     if "job_id" in queue.columns:
         job = F.coalesce("job_id", job)
-    rows = queue.select(
-        "queue_name", F.get(parts, F.lit(2)).alias("queue_type"), machine.alias("machine_name"), job.alias("job_id")
-    ).filter("job_id is not null and queue_type in ('download_ready', 'metadata_retry')")
-    shared = rows.filter("machine_name = 'all'")
-    return shared.unionByName(rows.filter("machine_name <> 'all'").join(known, "machine_name", "left_semi"))
+    return (
+        queue.select(
+            job.alias("job_id"),
+            "queue_name",
+            F.get(parts, F.lit(2)).alias("queue_type"),
+            F.get(parts, F.lit(3)).alias("machine_name"),
+        )
+        .filter("job_id is not null")
+        .groupBy("job_id", "queue_type", "queue_name", "machine_name")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(queue_universe(machines).select("queue_type", "machine_name"), ["queue_type", "machine_name"], "left_semi")
+    )
 
 
 def queue_stats(queue: DataFrame, machines: DataFrame) -> DataFrame:
     """Per job: queue totals by type and the per-queue counts as a name-ordered list (A4).
 
-    Entries are counted per (job, queue) first; the list holds one element per queue, not per entry.
+    The lists hold one element per queue, not per entry.
     """
-    per_queue = (
-        queue_entries(queue, machines)
-        .groupBy("job_id", "queue_type", "queue_name", "machine_name")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    per_queue = queue_counts(queue, machines)
 
     def listed(kind):
         rows = F.collect_list(F.when(F.col("queue_type") == kind, F.struct("queue_name", "machine_name", "n")))

@@ -54,9 +54,12 @@ def flexible_timestamp(c) -> Column:
     ``T`` or space, up to nine fraction digits, with or without a zone (none means UTC). The zero
     time, empty text and junk become null; fractions are cut to microseconds.
     """
-    raw = F.nullif(F.nullif(F.trim(c), F.lit(ZERO_TIME)), F.lit(""))
-    zoned = F.when(raw.rlike(r"(Z|[+-]\d\d:?\d\d)$"), raw).otherwise(F.concat(raw, F.lit("Z")))
-    return F.when(raw.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"), zoned.try_cast("timestamp"))
+    raw = F.trim(c)
+    clock = F.substr(raw, F.lit(11))
+    zoned = F.endswith(raw, F.lit("Z")) | F.contains(clock, F.lit("+")) | F.contains(clock, F.lit("-"))
+    full = (F.length(raw) >= 19) & F.left(clock, F.lit(1)).isin("T", " ") & (raw != ZERO_TIME)
+    utc = F.concat(raw, F.when(zoned, F.lit("")).otherwise(F.lit("Z")))
+    return F.when(full, utc.try_cast("timestamp"))
 
 
 def parse_task_json(df: DataFrame, column: str, kind: str = "copy") -> DataFrame:

@@ -73,13 +73,13 @@ PER = "greatest(5242880, t.size // 10000)"
 def _(v):
     from mediaops.operators.inventory import plan_dest_keys
 
-    planned = plan_dest_keys(v.tasks, v.jobs, v.meta).select(
-        "job_id", F.col("id").alias("task_id"), F.col("dst_bucket").alias("b"), F.col("dst_key").alias("k")
-    )
-    checkpoints = (
-        v.ckpt.join(planned, ["job_id", "task_id"])
-        .withColumn("dst_bucket", F.when(F.col("dst_bucket") == "other", "other").otherwise(F.col("b")))
-        .withColumn("dst_key", F.when(F.col("task_id") % 7 == 0, "elsewhere").otherwise(F.col("k")))
+    spoilt = F.col("dst_bucket") == "other"
+    held = v.ckpt.withColumn("_spoilt", spoilt).drop("dst_bucket", "dst_key")
+    checkpoints = plan_dest_keys(held, v.jobs, v.meta).withColumns(
+        {
+            "dst_bucket": F.when(F.col("_spoilt"), "other").otherwise(F.col("dst_bucket")),
+            "dst_key": F.when(F.col("task_id") % 7 == 0, "elsewhere").otherwise(F.col("dst_key")),
+        }
     )
     return parts.resume_eligible(v.tasks, v.jobs, v.meta, checkpoints, threshold=1 << 20).select(
         "job_id", "id", "pool", "reason"

@@ -354,6 +354,19 @@ def _duck_sql(sql: str) -> str:
     return sql.replace(" div ", " // ").replace("@sec(", "(interval 1 second) * (")
 
 
+# The largest tables and a column of theirs that spreads evenly.
+SPREAD = {"lineitem": "l_partkey", "events": "event_id", "orders": "o_orderkey"}
+
+
+def _spread(df: DataFrame, name: str) -> DataFrame:
+    """Rows over all cores where a table has fewer files than cores (here: one file, one row group).
+
+    A table of many files, as on a cluster, is read as it is, without this shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, SPREAD[name]) if len(df.inputFiles()) < cores else df
+
+
 class Views:
     """Lazy DataFrames of the views over one data folder: ``v.jobs`` is view ``v_jobs``."""
 
@@ -366,7 +379,8 @@ class Views:
                 sql = VIEWS[name]
                 self._made[name] = self.spark.sql(_spark_sql(sql), **{n: self.get(n) for n in _needs(sql)})
             else:
-                self._made[name] = self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
+                self._made[name] = _spread(table, name) if name in SPREAD else table
         return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
