@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediaops.functions import columns as C
 from mediaops.operators import inventory as inv
 from mediaops.operators import ledger, merges
+from mediaops.operators.ordered import carry_last
 from mediaops.sources.sinks import IDS_PER_BUCKET, upsert_ledger
 from mediaops.streaming.run import read_stages, read_table, run_batches, write_stage
 from mediaops.streaming.state import ANSWER, KEY, TOKENS, judge_messages
@@ -19,19 +20,24 @@ SEEN = "job_id long, id long, seq long, status string"
 DELTAS = "job_id long, pending_delta long, running_delta long, success_delta long, failed_delta long, success_bytes long"
 
 
-def net_moves(seen: DataFrame, batch: DataFrame) -> DataFrame:
-    """Net (old, new) move of each task in a batch; updates older than the known state are ignored.
+def batch_moves(seen: DataFrame, batch: DataFrame) -> DataFrame:
+    """(old, new) moves of a batch, the first of each task from its known state (pending when new).
 
-    Moves telescope, so counters summed from them equal those of every single move.
+    Events older than the known state are ignored. The same moves as ``transitions`` gives over all
+    events at once, however they are cut into batches.
     """
-    last = ledger.latest_update(batch.select(*KEY, "seq", "status", "size"), KEY)
-    known = seen.select(*KEY, F.col("seq").alias("_seq"), F.col("status").alias("old_status"))
-    return (
-        last.join(known, KEY, "left")
+    known = seen.select(*KEY, F.col("seq").alias("_seq"), F.col("status").alias("_status"))
+    fresh = (
+        batch.select(*KEY, "seq", "status", "size")
+        .join(known, KEY, "left")
         .filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
-        .withColumn("old_status", F.coalesce("old_status", F.lit(C.PENDING)))
+    )
+    return (
+        carry_last(fresh, KEY, "seq", F.col("status"), "old_status")
+        .withColumn("old_status", F.coalesce("old_status", "_status", F.lit(C.PENDING)))
         .withColumnRenamed("status", "new_status")
-        .drop("_seq")
+        .filter("old_status <> new_status")
+        .drop("_seq", "_status")
     )
 
 
@@ -41,10 +47,9 @@ def _latest_seen(seen: DataFrame, batch: DataFrame) -> DataFrame:
 
 def job_deltas(moves: DataFrame, kind: str = "copy") -> DataFrame:
     """Counter changes and success bytes per job of one batch of moves."""
-    changed = moves.filter("old_status <> new_status")
     return (
-        ledger.transition_deltas(changed, kind)
-        .join(ledger.success_bytes(changed), "job_id", "left")
+        ledger.transition_deltas(moves, kind)
+        .join(ledger.success_bytes(moves), "job_id", "left")
         .na.fill(0, ["success_bytes"])
     )
 
@@ -56,7 +61,7 @@ def follow_tasks(
     ids_per_bucket: int = IDS_PER_BUCKET,
     checkpoint: str | None = None,
 ) -> None:
-    """Keep the last status of every task below ``path`` and hand each batch's net moves to ``also``.
+    """Keep the last status of every task below ``path`` and hand each batch's moves to ``also``.
 
     The moves are handed over before the state advances, so a repeated batch sees the same moves.
     """
@@ -71,7 +76,7 @@ def follow_tasks(
             f"{path}/stage/batch={batch_id}",
             ids_per_bucket,
             stored=read_table(spark, f"{path}/seen", SEEN + ", bucket long"),
-            before=lambda current, rows: also(net_moves(current, rows), batch_id),
+            before=lambda current, rows: also(batch_moves(current, rows), batch_id),
         )
 
     run_batches(events.select(*KEY, "seq", "status", "size"), handle, checkpoint)

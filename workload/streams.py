@@ -10,7 +10,7 @@ from mediaops.streaming import jobs as sj
 from mediaops.streaming import state as ss
 from mediaops.streaming.run import run_available
 from workload.inventory import SIDES
-from workload.ledger import COPY_BUCKET, FENCE, delta_sql
+from workload.ledger import COPY_BUCKET, FENCE, SUCCESS, delta_sql
 from workload.registry import JOBS_NOW, query
 from workload.views import Views
 
@@ -27,10 +27,8 @@ def streamed(v: Views, *tables: str) -> Views:
 
 @query(
     "t1_stream_job_counters",
-    f"""with d as ({delta_sql(COPY_BUCKET)}), l as (select job_id, task_id, arg_max(status, seq) as status, arg_max(size, seq) as size
-        from v_task_events group by 1, 2)
-    select job_id, pending_delta, running_delta, success_delta, failed_delta, coalesce((select sum(size) from l
-      where l.job_id = d.job_id and status = 'COMPLETED' and size > 0), 0)::bigint as success_bytes from d""",
+    f"""select d.*, coalesce(success_bytes, 0) as success_bytes from ({delta_sql(COPY_BUCKET)}) d
+      left join ({SUCCESS}) b on b.job_id = d.job_id""",
 )
 def _(v):
     events = streamed(v, "events").task_events.withColumnRenamed("task_id", "id")
