@@ -38,17 +38,25 @@ def with_next(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFr
     return carry_last(reverse, keys, "_back", value, out).drop("_back")
 
 
-def armed(rows: DataFrame, keys: list[str], ttl: Column | int, mark: Column) -> tuple[DataFrame, DataFrame]:
+def armed(
+    rows: DataFrame, keys: list[str], ttl: Column | int, mark: Column, heard: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Split rows (keys, seq, us, arm) into those whose deadline passed and those still pending.
 
     A row with ``arm`` sets a deadline ``us + ttl``; the key's next row cancels it unless the
-    deadline came first; without a next row the watermark decides.
+    deadline came first. Without a next row the watermark decides, or any later event of the key
+    in ``heard``, which may hold events that cancel nothing.
     """
     due = F.col("us") + ttl
-    passed = F.when(F.col("_next").isNull(), due <= mark).otherwise(due <= F.col("_next"))
-    judged = with_next(rows, keys, F.col("us"), "_next").filter("arm").withColumns({"due": due, "_passed": passed})
+    judged = with_next(rows, keys, F.col("us"), "_next").filter("arm")
+    limit = mark
+    if heard is not None:
+        judged = judged.join(heard.groupBy(*keys).agg(F.max("us").alias("_heard")), keys, "left")
+        limit = F.greatest(mark, F.col("_heard"))
+    passed = F.when(F.col("_next").isNull(), due <= limit).otherwise(due <= F.col("_next"))
+    judged = judged.withColumns({"due": due, "_passed": passed})
     pending = judged.filter("not _passed and _next is null").select(*rows.columns)
-    return judged.filter("_passed").drop("_passed", "_next"), pending
+    return judged.filter("_passed").select(*rows.columns, "due"), pending
 
 
 # ---- T2 -----------------------------------------------------------------------------------------
@@ -109,7 +117,7 @@ def staleness_step(claim_us: int, running_us: int):
             .withColumn("arm", F.col("kind") != "done")
         )
         limit = F.when(F.col("kind") == "claim", F.lit(claim_us)).otherwise(F.lit(running_us))
-        passed, pending = armed(effective, RUN, limit, mark)
+        passed, pending = armed(effective, RUN, limit, mark, heard=rows)
         output = passed.select(
             *RUN,
             F.when(F.col("kind") == "claim", "stale_claim").otherwise("stale_running").alias("kind"),

@@ -176,12 +176,41 @@ def test_pairs_complete_on_the_second_side(spark):
     assert result(got) == [(1, "x", "d/x_video.mp4", 3, "x_audio.m4a", 5), (1, "y", "y_video.mp4", 8, "y_audio.m4a", 2)]
 
 
-def test_completion_monitor_versions(spark, feeds):
+def test_completion_monitor_equals_replay(spark, feeds):
+    """Counter moves decide the status first (without an end time); the monitor ends what is still running."""
     data, _, pieces = feeds
+    now = dt.datetime(2024, 2, 1)
     jobs = spark.createDataFrame(
-        [(1, "RUNNING", 0, 0, 0, 0, 0, 0, T0, None, 0, T0, T0)],
+        [(j, "RUNNING", 0, 0, 0, 0, 0, 0, T0, None, 0, T0, T0) for j in (1, 2, 3)],
         "job_id long, status string, pending_count long, running_count long, success_count long, failed_count long, success_size_bytes long, "
         "periodic_interval int, last_scan_time timestamp, end_time timestamp, duration_seconds long, start_time timestamp, created_at timestamp",
     )
-    r = sj.stream_completion_monitor(pieces(), jobs, shared_dir(spark, "jobs"), as_of="2024-02-01 00:00:00").first()
-    assert r.job_id == 1 and (r.status == "COMPLETED") == (r.end_time is not None)
+    names = {"PENDING": 0, "RUNNING": 1, "COMPLETED": 2, "FAILED": 3}
+    counts = {j: [0, 0, 0, 0] for j in (1, 2, 3)}
+    status, ended, task = {j: "RUNNING" for j in counts}, {j: None for j in counts}, {}
+    step = len(data) // FILES
+    for n in range(FILES):
+        delta = {}
+        for r in data[n * step : (n + 1) * step]:
+            job, key, new = r[2], r[4], r[8]
+            old = task.get(key, "PENDING")
+            task[key] = new
+            if old != new:
+                d = delta.setdefault(job, [0, 0, 0, 0])
+                d[names[old]] -= 1
+                d[names[new]] += 1
+        for job, c in counts.items():
+            if job in delta:
+                counts[job] = c = [max(0, a + b) for a, b in zip(c, delta[job])]
+                if status[job] == "PENDING" and c[1] > 0:
+                    status[job] = "RUNNING"
+                elif status[job] == "RUNNING" and c[0] <= 0 and c[1] <= 0:
+                    status[job] = "COMPLETED"
+            if status[job] == "RUNNING" and c[0] <= 0 and c[1] <= 0:
+                status[job], ended[job] = "COMPLETED", now
+    out = sj.stream_completion_monitor(pieces(), jobs, shared_dir(spark, "jobs"), as_of="2024-02-01 00:00:00")
+    got = {
+        r.job_id: (r.status, [r.pending_count, r.running_count, r.success_count, r.failed_count], r.end_time) for r in out.collect()
+    }
+    assert got == {j: (status[j], counts[j], ended[j]) for j in counts}
+    assert got[3] == ("COMPLETED", [0, 0, 0, 0], now)
