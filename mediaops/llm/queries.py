@@ -57,7 +57,7 @@ def _toxicity(spark, stages, table):
 
 @query("op5_repeated_bytes")
 def _suffixes(spark, stages, table):
-    return suffixes.remove_repeats(table("documents"), stages).drop("spans", "kept")
+    return suffixes.remove_repeats(table("documents"), stages).drop("spans")
 
 
 @query("op6_benchmark_templates")

@@ -30,7 +30,7 @@ DEPTH = 400
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = 0xD6E8FEB86659FD93
 # Bytes hashed at a time.
-_PIECE = 2 << 20
+_PIECE = 1 << 19
 _SPREAD = 1 << 16
 _BYTES = np.random.default_rng(42).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
 
@@ -99,7 +99,7 @@ def _i64(x) -> pa.Array:
 
 def _reaches(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1 << 20):
+        for batch in slices(batches, size=_PIECE):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             bounds = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
             whole_data, digit = np.frombuffer(b"".join(texts), np.uint8), depth // 2
@@ -131,7 +131,7 @@ def _windows(depth: int):
     """Rows (k1, k2, text, spans of (g, first, more, off, n)): a row for each window of the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1 << 20):
+        for batch in slices(batches, size=_PIECE):
             for row in batch.to_pylist():
                 raw = np.frombuffer(row["text"].encode(), np.uint8)
                 spans = sorted(row["spans"], key=lambda x: x["first"])
@@ -212,17 +212,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = [0, *(b for _, b in runs)]
             kept = b"".join(raw[a:b] for a, b in zip(left, [*(a for a, _ in runs), len(raw)], strict=True))
             spans = ",".join(f"{a}:{b}" for a, b in runs)
-            out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), spans, kept))
+            out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), spans))
         cols = [list(x) for x in zip(*out, strict=True)]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
         )
 
 
 def remove_repeats(docs: DataFrame, stages: Stages, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``docs`` (doc_id, text).
 
     Every byte inside a ``depth``-byte string that also starts elsewhere (same document or another, repeated rows
     included) is removed; strings are judged on the input. A null text is empty; null and repeated ids stay rows;
@@ -233,7 +233,5 @@ def remove_repeats(docs: DataFrame, stages: Stages, depth: int = DEPTH) -> DataF
     k1, k2 = row_key(docs)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long"), whole().alias("text"))
     rows = rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans.start", "spans.end")
-    return rows.mapInArrow(
-        _cut,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary",
-    )
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
+    return rows.mapInArrow(_cut, schema)
