@@ -2,14 +2,16 @@
 
 Only windows of ``depth`` bytes matter, so suffixes are ordered through that depth and no further. A window
 is stood for by one suffix inside it: the one whose next ``DIGIT`` bytes have the smallest hash (the leftmost
-of equals). Equal windows choose it at the same offset, so three passes over ever fewer rows decide all:
+of equals). Equal windows choose it at the same offset, so four passes over ever fewer rows decide all:
 
 1. first digit: suffixes whose DIGIT bytes start nowhere else leave;
 2. whole reach: suffixes whose surroundings, over all windows they stand for, are equal to another's are
-   repeated as a whole; one of each such class goes on where its first digit has other classes;
-3. last digit: the remaining windows themselves; groups of two or more are exactly the repeated ones.
+   repeated as a whole; one of each such class goes on;
+3. second digit: what follows, or stands before, the first digit for half of what a window has besides it. Every
+   window holds one of both; windows whose one is no other class's leave;
+4. last digit: the remaining windows themselves; groups of two or more are exactly the repeated ones.
 
-Digits are 64-bit hashes; windows are compared by (first digit, offset, window hash), 128 bits together.
+Digits are 64-bit hashes; windows are compared by first digit and window hash, 128 bits together.
 """
 
 from __future__ import annotations
@@ -111,17 +113,22 @@ def _reaches(depth: int):
                     continue
                 hashes = Rolling(data, 1)
                 surroundings = hashes.stretches(first, last + depth)
+                half = (depth - digit) // 2
+                left, right = suffix - first >= half, suffix - last < half
+                side = np.where(left, suffix - half, suffix), np.where(right, suffix + digit + half, suffix + digit)
                 yield pa.RecordBatch.from_arrays(
                     [
                         _i64(hashes.stretches(suffix, suffix + digit)),
                         _i64(surroundings + (suffix - first).astype(np.uint64) * np.uint64(_MIX)),
+                        _i64(np.where(left, hashes.stretches(side[0], suffix + digit), np.uint64(0))),
+                        _i64(np.where(right, hashes.stretches(suffix, side[1]), np.uint64(0))),
                         pa.array(k1[doc]),
                         pa.array(k2[doc]),
                         pa.array(first + begin - bounds[doc]),
                         pa.array((last - first).astype(np.int32)),
                         pa.array((suffix - first).astype(np.int32)),
                     ],
-                    ["g", "s", "k1", "k2", "first", "more", "off"],
+                    ["g", "s", "l", "r", "k1", "k2", "first", "more", "off"],
                 )
 
     return run
@@ -144,18 +151,16 @@ def _windows(depth: int):
                     which = np.repeat(np.arange(len(part)), count)
                     step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
                     begin = first[which] + step
-                    off = np.array([x["off"] for x in part], np.int64)[which] - step
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.array([x["g"] for x in part], np.int64)[which]),
-                            pa.array(off),
                             _i64(hashes.stretches(begin - begin_at, begin - begin_at + depth)),
                             pa.array(np.array([x["n"] for x in part], np.int64)[which]),
                             pa.array(np.full(len(which), row["k1"], np.int64)),
                             pa.array(np.full(len(which), row["k2"], np.int64)),
                             pa.array(begin),
                         ],
-                        ["g", "off", "h", "n", "k1", "k2", "at"],
+                        ["g", "h", "n", "k1", "k2", "at"],
                     )
 
     return run
@@ -170,30 +175,35 @@ def repeated_spans(docs: DataFrame, stages: Stages, depth: int = DEPTH) -> DataF
     k1, k2 = row_key(docs)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), whole().alias("text"))
     reach = rows.where(F.octet_length("text") >= depth).mapInArrow(
-        _reaches(depth), "g long, s long, k1 long, k2 long, first long, more int, off int"
+        _reaches(depth), "g long, s long, l long, r long, k1 long, k2 long, first long, more int, off int"
     )
     shared = reach.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     shared = stages.keep(shared, "shared")
     live = stages.keep(reach.join(shared, "g"), "first_digit")
     reaches = live.groupBy("g", "s").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "more", "off")).alias("one")
+        F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.min("r").alias("r"),
+        F.min(F.struct("k1", "k2", "first", "more", "off")).alias("one"),
     )
     reaches = stages.keep(reaches, "reaches")
     alike = live.join(reaches.where("n > 1").select("g", "s"), ["g", "s"])
     alike = alike.select("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("more") + depth).alias("end"))
-    open_ = reaches.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-    open_ = stages.keep(open_, "open")
-    wanted = reaches.join(open_, "g").select("g", "n", "one.*")
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "first", "more", "off", "n")).alias("spans"))
-    windows = stages.keep(
-        rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).mapInArrow(
-            _windows(depth), "g long, off long, h long, n long, k1 long, k2 long, at long"
-        ),
-        "last_digit",
+    half, sides = (depth - depth // 2) // 2, []
+    for side in ("l", "r"):
+        shared = reaches.where(F.col(side) != 0).groupBy("g", side).agg(F.count(F.lit(1)).alias("c"))
+        shared = stages.keep(shared.where("c > 1").select("g", side), f"second_digit_{side}")
+        sides.append(reaches.join(shared, ["g", side]).select("g", "n", "one.*"))
+    # Windows by offset of the suffix in them: from half on they hold the left side, below it the right one.
+    left = sides[0].withColumn("more", F.least(F.col("more"), F.col("off") - half))
+    skip = F.greatest(F.lit(0), F.col("off") - (half - 1))
+    right = sides[1].withColumns({"first": F.col("first") + skip, "more": F.col("more") - skip, "off": F.col("off") - skip})
+    wanted = left.unionByName(right).groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "first", "more", "off", "n")).alias("spans"))
+    windows = rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).mapInArrow(
+        _windows(depth), "g long, h long, n long, k1 long, k2 long, at long"
     )
-    twice = windows.groupBy("g", "off", "h").agg(F.sum("n").alias("t")).where("t > 1").select("g", "off", "h")
+    windows = stages.keep(windows, "last_digit")
+    twice = windows.groupBy("g", "h").agg(F.sum("n").alias("t")).where("t > 1").select("g", "h")
     twice = stages.keep(twice, "twice")
-    single = windows.where("n = 1").join(twice, ["g", "off", "h"])
+    single = windows.where("n = 1").join(twice, ["g", "h"])
     single = single.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + depth).alias("end"))
     return alike.union(single)
 
