@@ -8,11 +8,10 @@ small table of (id, code length); canonical codes follow from the lengths.
 from __future__ import annotations
 
 import heapq
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,74 +27,16 @@ LIMIT = 18
 BLOCK = 512
 RUN = 1 << 20
 END = 0
-_WORDS = 500_000
 
 
 # --- ids of a text -------------------------------------------------------------------------------------
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library.
-
-    With ``spaced`` (a byte-level vocabulary whose pieces may start, but not go on, with a space) each distinct word
-    with the space before it is encoded once, as a cut before a single space never changes the ids. Texts with other
-    runs of white space around a space, with zero characters or with an added token are encoded whole.
-    """
-
-    _RUN = re.compile(r"\s (?:\s|\Z)|  |\x00")
-
-    def __init__(self, path: str, spaced: bool):
-        self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([self._RUN.pattern, *added])) if spaced else re.compile("")
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.starts, self.used = np.zeros((1 << 16) + 1, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        texts = [w[1:] if w[:1] == "\x00" else " " + w for w in words]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total, base = int(sizes.sum()), len(self.index)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while base + len(words) >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.starts[base + 1 : base + len(words) + 1] = self.used + np.cumsum(sizes)
-        self.index.update(zip(words, range(base, base + len(words)), strict=True))
-        self.used += total
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        words: list[str] = []
-        ends, whole_ids = [], {}
-        for i, text in enumerate(texts):
-            if self.odd.search(text):
-                own = self.tokenizer.encode(text, add_special_tokens=False).ids
-                whole_ids[i] = np.array(own, np.uint32)
-            else:
-                words += ("\x00" + text).split(" ")
-            ends.append(len(words))
-        if len(self.index) > _WORDS:
-            self.clear()
-        new = list(set(words).difference(self.index))
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        begin = self.starts[which]
-        size = self.starts[which + 1] - begin
-        end = np.cumsum(size)
-        flat = self.flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - size), size)]
-        cuts = np.r_[0, end][np.r_[0, ends]]
-        return [whole_ids[i] if i in whole_ids else flat[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-
-
 @lru_cache(maxsize=2)
-def encoder(path: str, spaced: bool) -> Encoder:
-    return Encoder(path, spaced)
+def tokenizer(path: str) -> Tokenizer:
+    """The library's tokenizer, on one thread: Spark runs as many tasks as there are cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -109,14 +50,15 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def token_ids(docs: DataFrame, path: str, spaced: bool, end: int = END) -> DataFrame:
+def token_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, n, ids) of every row: its ids with ``end`` appended, packed; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = encoder(path, spaced).ids(batch.column("text").to_pylist())
-            packed = [_pack(np.append(x, np.uint32(end))) for x in found]
-            count = pa.array([len(x) + 1 for x in found], pa.int64())
+        for batch in slices(batches, size=1 << 20):
+            texts = batch.column("text").to_pylist()
+            found = [[*x.ids, end] for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+            packed = [_pack(np.array(x, np.uint32)) for x in found]
+            count = pa.array(map(len, found), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), count, pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
@@ -325,12 +267,12 @@ def read_ids(stages: Stages, texts: bool = False) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, stages: Stages, path: str, spaced: bool) -> DataFrame:
+def round_trip(docs: DataFrame, stages: Stages, path: str) -> DataFrame:
     """Encode ``docs`` (doc_id, text), write the code, and read it back: (doc_id, start, n_tokens, ids_crc32).
 
     Null text: empty, so its end id alone. Null ids come first; repeated rows stay; no rows: no rows. Other columns
     are not read. Adjacent partitions hold adjacent ranges of doc_id, so ``start`` needs their totals only.
     """
-    tokens = stages.keep(token_ids(docs, path, spaced), "tokens")
+    tokens = stages.keep(token_ids(docs, path), "tokens")
     write_ids(tokens, stages)
     return read_ids(stages)

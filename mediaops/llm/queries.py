@@ -39,7 +39,7 @@ def _simhash(spark, stages, table):
 
 @query("op2_huffman_ids")
 def _huffman(spark, stages, table):
-    return huffman.round_trip(table("documents"), stages, public_tokenizers.path(BYTE_BPE), spaced=True)
+    return huffman.round_trip(table("documents"), stages, public_tokenizers.path(BYTE_BPE))
 
 
 @query("op3_sentence_pieces")
