@@ -259,8 +259,10 @@ def fit(texts: list[str], epochs: int = 6) -> np.ndarray:
 def train(docs: DataFrame) -> np.ndarray:
     """Fit on at most FIT_DOCS texts with a digit or at sign, shorter than 20,000 characters, by hash of the text."""
     rows = docs.select(whole().alias("text")).where("text rlike '[0-9@]' and length(text) < 20000")
-    rows = rows.orderBy(F.xxhash64("text"), "text").limit(FIT_DOCS)
-    return fit([r.text for r in rows.toLocalIterator()])
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # the texts' hashes alone are ordered; only the chosen texts move
+    last = rows.select("h").distinct().orderBy("h").limit(FIT_DOCS).agg(F.max("h")).first()[0]
+    return fit(sorted({r.text for r in rows.where(F.col("h") <= last).toLocalIterator()}) if last is not None else [])
 
 
 def _apart(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
