@@ -46,11 +46,10 @@ def values(text: Column) -> Column:
 def windows(df: DataFrame, keys: list[str], words: int = WORDS) -> DataFrame:
     """(keys, at, win): a hash for every ``words`` neighbouring tokens of the template of ``text``."""
     hashes = df.select(*keys, F.transform(template(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
-    hashes = hashes.where(F.size("h") >= words)
-    shifted = [
-        F.slice("h", F.lit(i + 1), F.size("h") - (words - 1)).alias(f"h{i}") for i in range(words)
-    ]
-    rows = hashes.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
+    count = F.greatest(F.size("h") - (words - 1), F.lit(0))
+    shifted = [F.slice("h", F.lit(i + 1), count).alias(f"h{i}") for i in range(words)]
+    # outer, as for the inner one a filter on the array's size would compute it a second time
+    rows = hashes.select(*keys, F.posexplode_outer(F.arrays_zip(*shifted)).alias("at", "w")).where("at is not null")
     return rows.select(*keys, "at", F.xxhash64(*(F.col(f"w.h{i}") for i in range(words))).alias("win"))
 
 
@@ -58,7 +57,7 @@ def _slots(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at, value) of the placeholders."""
     text = F.col("text")
     rows = df.select(*keys, F.arrays_zip(template(text).alias("t"), values(text).alias("v")).alias("z"))
-    rows = rows.select(*keys, F.posexplode("z").alias("at", "z"))
+    rows = rows.select(*keys, F.posexplode_outer("z").alias("at", "z"))
     return rows.where(F.col("z.t").isin(NUMBER, UNIT, NAME)).select(*keys, "at", F.col("z.v").alias("value"))
 
 
