@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from mediaops.llm.common import slices, whole
 
 SPACE = "▁"
-_KNOWN, _PAIRS = 200_000, 1_000_000
+_KNOWN, _PAIRS = 250_000, 500_000
 
 
 class Pieces:
@@ -34,11 +35,18 @@ class Pieces:
         self.ids = {p: i for p, (i, _) in scores.items()}
         self.rank = {p: s for p, (_, s) in scores.items()}
         self.bytes, self.unknown, self.merges = byte_ids, unknown, merges
-        self.longest = max(map(len, scores), default=1)
+        lengths: dict[str, set[int]] = {}
+        for p in scores:
+            lengths.setdefault(p[-2:], {1}).add(len(p))
+            if len(p) == 1:
+                lengths.setdefault(p, {1})
+        # By a piece's last two letters: the lengths there are, longest first.
+        self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in lengths.items()}
         self.least = min((s for s in self.rank.values()), default=0.0) - 10
         self.whole = {p for p in scores if not merges or self.merged(p) == [p]}
         self.follows: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Words end where no piece goes on: before a mark, and around line ends if no piece has one.
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)
         lines = any("\n" in p for p in scores)
@@ -70,58 +78,61 @@ class Pieces:
         last: list[str] = [""]  # by prefix length: the best segmentation's last piece
         score: list[float] = [0.0]
         before = ""
+        lengths, fit, follows, may_follow, merges = self.lengths, self.whole, self.follows, self.may_follow, self.merges
         for word in words:
             shared, limit = 0, min(len(word), len(before))
             while shared < limit and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], score[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                if self.merges:
-                    for start in range(max(0, end - self.longest), end):
-                        piece = word[start:end]
-                        if (piece in self.whole or end - start == 1) and (not start or self.may_follow(last[start], piece)):
-                            last.append(piece)
-                            score.append(0.0)
+                best, chosen = -1e300, None
+                for size in lengths.get(word[end - 2 if end > 1 else 0 : end], (1,)):
+                    if size > end:
+                        continue
+                    start = end - size
+                    piece = word[start:end]
+                    if merges:
+                        if (size == 1 or piece in fit) and (not start or follows.get((last[start], piece)) or may_follow(last[start], piece)):
+                            best, chosen = 0.0, piece
                             break
                     else:
-                        raise ValueError(f"no segmentation of {word[:end]!r}")
-                else:
-                    best = (-1e300, "")
-                    for start in range(max(0, end - self.longest), end):
-                        piece = word[start:end]
-                        own = self.rank.get(piece, self.least if end - start == 1 else None)
-                        if own is not None and score[start] + own > best[0]:
-                            best = (score[start] + own, piece)
-                    score.append(best[0])
-                    last.append(best[1])
+                        own = self.rank.get(piece, self.least if size == 1 else None)
+                        if own is not None and score[start] + own > best:
+                            best, chosen = score[start] + own, piece
+                if chosen is None:
+                    raise ValueError(f"no segmentation of {word[:end]!r}")
+                last.append(chosen)
+                score.append(best)
             parts, end = [], len(word)
             while end:
                 parts.append(last[end])
-                end -= len(last[end])
+                end -= len(parts[-1])
             yield word, parts[::-1]
             before = word
 
-    def _numbers(self, parts: list[str]) -> np.ndarray:
-        out: list[int] = []
+    def _numbers(self, parts: list[str]) -> bytes:
+        out = array("i")
         for p in parts:
             own = self.ids.get(p)
             if own is not None:
                 out.append(own)
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
+                out.extend([self.bytes[b] for b in p.encode()])
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, np.int32)
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; an empty one has none."""
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > _KNOWN:
-            self.known.clear()
-        new = sorted({w for words in split for w in words}.difference(self.known))
-        self.known.update((word, self._numbers(parts)) for word, parts in self.segment(new))
-        none = np.empty(0, np.int32)
-        return [np.concatenate([self.known[w] for w in words]) if words else none for words in split]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {w for words in split for w in words}.difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        known.update((word, self._numbers(parts)) for word, parts in self.segment(sorted(new - again)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text: pieces put together, marks turned to spaces, the first one dropped; bytes as UTF-8."""

@@ -29,7 +29,7 @@ SPACE = 1 << 18
 _MARKS = 1 << 22
 _CHAIN = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN = 300_000
+_KNOWN = 200_000
 
 
 def features(word: str) -> list[int]:
