@@ -35,6 +35,12 @@ class Pieces:
         self.ids = {p: i for p, (i, _) in scores.items()}
         self.rank = {p: s for p, (_, s) in scores.items()}
         self.bytes, self.unknown, self.merges = byte_ids, unknown, merges
+        # What each id stands for; other ids for the sign of the unknown.
+        self.names = [" ⁇ ".encode()] * (1 + max([unknown, *byte_ids, *self.ids.values()], default=0))
+        for p, i in self.ids.items():
+            self.names[i] = p.encode()
+        for b, i in enumerate(byte_ids):
+            self.names[i] = bytes([b])
         lengths: dict[str, set[int]] = {}
         for p in scores:
             lengths.setdefault(p[-2:], {1}).add(len(p))
@@ -84,7 +90,8 @@ class Pieces:
             while shared < limit and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], score[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
+            letters = len(word)
+            for end in range(shared + 1, letters + 1):
                 best, chosen = -1e300, None
                 for size in lengths.get(word[end - 2 if end > 1 else 0 : end], (1,)):
                     if size > end:
@@ -102,7 +109,8 @@ class Pieces:
                 if chosen is None:
                     raise ValueError(f"no segmentation of {word[:end]!r}")
                 last.append(chosen)
-                score.append(best)
+                if not merges:
+                    score.append(best)
             parts, end = [], len(word)
             while end:
                 parts.append(last[end])
@@ -136,18 +144,8 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text: pieces put together, marks turned to spaces, the first one dropped; bytes as UTF-8."""
-        return decode(ids, self._names)
-
-    @property
-    def _names(self) -> dict[int, bytes]:
-        if not hasattr(self, "_by_id"):
-            self._by_id = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
-        return self._by_id
-
-
-def decode(ids, names: dict[int, bytes]) -> str:
-    text = b"".join([names.get(i, b" \xe2\x81\x87 ") for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text[:1] == " " else text
+        text = b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if text[:1] == " " else text
 
 
 @lru_cache(maxsize=2)
