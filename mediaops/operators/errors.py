@@ -56,8 +56,8 @@ def classify_errors(
     """Add ``error_class``, ``error_stage``, ``retryable`` and ``fatal`` to rows holding a failure.
 
     Order of evidence: a structured JSON envelope; ``extra_rules`` (phrase, class, retryable); an
-    object-store ``<Code>``; the HTTP status of a source read or destination write; network
-    phrases. A fatal marker in the text or code makes the verdict final. One projection, no shuffle.
+    object-store ``<Code>``, unless a source sent it; the HTTP status of a source read or destination
+    write; network phrases; a read or write that ended without a status. A fatal marker in the text or code makes the verdict final. One projection, no shuffle.
     """
     msg = text(message)
     body = F.from_json(msg, ENVELOPE)["error"]
@@ -79,12 +79,14 @@ def classify_errors(
     for phrase, cls, retryable in extra_rules:
         chain = chain.when(contains_any(msg, [phrase.lower()]), _verdict(cls, where, retryable))
     for code, (cls, retryable) in rules.STORE_CODES.items():
-        chain = chain.when(store_code == code, _verdict(cls, "dest_put", retryable))
+        chain = chain.when((where != "source_fetch") & (store_code == code), _verdict(cls, "dest_put", retryable))
     chain = _by_status(
         chain, where == "source_fetch", http, where, rules.SOURCE_STATUS, rules.SOURCE_5XX, rules.SOURCE_OTHER
     )
     chain = _by_status(chain, where == "dest_put", http, where, rules.DEST_STATUS, rules.DEST_5XX, rules.DEST_OTHER)
     chain = _network(msg, where, chain)
+    thrown = where.isin("source_fetch", "dest_put") & (http <= 0)
+    chain = chain.when(thrown, _verdict("FetchFailed", where, True))
     verdict = chain.otherwise(
         F.struct(
             F.lit("UnhandledError").alias("error_class"),

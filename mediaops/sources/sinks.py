@@ -4,49 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
+from mediaops.sources.files import exists, remove
 
 IDS_PER_BUCKET = 50_000
-DEDUP_SHARDS = 256
+BUCKETS = 1024
 
 
-def with_bucket(df: DataFrame, ids_per_bucket: int = IDS_PER_BUCKET) -> DataFrame:
-    return df.withColumn("bucket", C.int_div("id", ids_per_bucket))
+def with_bucket(df: DataFrame, ids_per_bucket: int = IDS_PER_BUCKET, buckets: int = BUCKETS) -> DataFrame:
+    """Folder of a task: its job and id range, dealt over a bounded number of folders.
 
-
-def with_dedup_shard(df: DataFrame, key: str = "src", shards: int = DEDUP_SHARDS) -> DataFrame:
-    """Hash shard of the source key, for a layout by key instead of id."""
-    return df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    A job's neighbouring ids share a folder; jobs lie apart although the ids of each start at one.
+    """
+    spot = F.coalesce("job_id", F.lit(0)) * 31 + C.int_div("id", ids_per_bucket)
+    return df.withColumn("bucket", F.pmod(spot, F.lit(buckets)).cast("long"))
 
 
-def write_ledger(df: DataFrame, path: str, ids_per_bucket: int = IDS_PER_BUCKET, mode: str = "overwrite") -> None:
-    """Ledger by id range (K1), sorted by job and id so that job filters skip row groups.
+def write_ledger(
+    df: DataFrame, path: str, ids_per_bucket: int = IDS_PER_BUCKET, mode: str = "overwrite", buckets: int = BUCKETS
+) -> None:
+    """Ledger by job and id range (K1), sorted by job and id so that job filters skip row groups.
 
-    Range partitioning splits a bucket that many jobs or one huge job fill, and keeps the number of
-    files near tasks plus buckets.
+    An overwrite replaces the whole ledger. Range partitioning splits a bucket that one huge job
+    fills, and keeps the number of files near tasks plus buckets.
     """
+    _write_buckets(with_bucket(df, ids_per_bucket, buckets), path, mode, "static")
+
+
+def _write_buckets(df: DataFrame, path: str, mode: str, replaced: str) -> None:
     (
-        with_bucket(df, ids_per_bucket)
-        .repartitionByRange("bucket", "job_id", "id")
+        df.repartitionByRange("bucket", "job_id", "id")
         .sortWithinPartitions("bucket", "job_id", "id")
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", replaced)
         .partitionBy("bucket")
         .parquet(path)
     )
 
 
-def _finished_stage(spark: SparkSession, stage: str) -> bool:
-    try:
-        return spark.read.schema("done int").parquet(f"{stage}/done").limit(1).count() == 1
-    except AnalysisException:
-        return False
-
-
 def upsert_ledger(
     batch: DataFrame,
     path: str,
@@ -55,24 +53,32 @@ def upsert_ledger(
     ids_per_bucket: int = IDS_PER_BUCKET,
     stored: DataFrame | None = None,
     before: Callable[[DataFrame, DataFrame], None] | None = None,
+    buckets: int = BUCKETS,
 ) -> None:
     """Apply ``merge(ledger, batch)`` to the stored ledger, rewriting only the buckets touched (K2).
 
     The merged buckets are written to ``stage`` first and then replace the stored ones in one
-    dynamic partition overwrite. A run that is repeated with the same stage (same batch id) after a
-    failure finishes the swap from the stage instead of merging twice. ``before`` sees the touched
-    rows and the batch ahead of the merge, under the same guarantee. ``batch`` needs ``id``.
+    dynamic partition overwrite; buckets the merge has emptied are removed after it. A run that is
+    repeated with the same stage (same batch of the same stream) after a failure finishes the swap
+    from the stage instead of merging twice. ``before`` sees the touched rows and the batch ahead of
+    the merge, under the same guarantee. ``batch`` needs ``job_id`` and ``id``.
     """
     spark = batch.sparkSession
-    if not _finished_stage(spark, stage):
+    if not exists(spark, f"{stage}/done/_SUCCESS"):
         stored = spark.read.parquet(path) if stored is None else stored
-        touched = with_bucket(batch.select("id"), ids_per_bucket).select("bucket").distinct()
+        touched = with_bucket(batch.select("job_id", "id"), ids_per_bucket, buckets).select("bucket").distinct()
+        touched.write.mode("overwrite").parquet(f"{stage}/touched")
+        touched = spark.read.schema("bucket long").parquet(f"{stage}/touched")
         current = stored.join(touched, "bucket", "left_semi").drop("bucket")
         if before is not None:
             before(current, batch)
         merge(current, batch).write.mode("overwrite").parquet(f"{stage}/rows")
-        spark.range(1).select(F.lit(1).cast("int").alias("done")).write.mode("overwrite").parquet(f"{stage}/done")
-    write_ledger(spark.read.parquet(f"{stage}/rows"), path, ids_per_bucket)
+        spark.range(1).write.mode("overwrite").parquet(f"{stage}/done")
+    rows = with_bucket(spark.read.parquet(f"{stage}/rows"), ids_per_bucket, buckets)
+    _write_buckets(rows, path, "overwrite", "dynamic")
+    touched = spark.read.schema("bucket long").parquet(f"{stage}/touched")
+    for row in touched.join(rows.select("bucket"), "bucket", "left_anti").collect():  # at most ``buckets`` numbers
+        remove(spark, f"{path}/bucket={row.bucket}")
 
 
 def write_rejects(errors: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -11,6 +11,7 @@ from mediaops.functions import columns as C
 from mediaops.operators import inventory as inv
 from mediaops.operators import ledger, merges
 from mediaops.operators.ordered import carry_last
+from mediaops.sources.files import names
 from mediaops.sources.sinks import IDS_PER_BUCKET, upsert_ledger
 from mediaops.streaming.run import read_stages, read_table, run_batches, write_stage
 from mediaops.streaming.state import ANSWER, KEY, TOKENS, judge_messages
@@ -79,7 +80,7 @@ def follow_tasks(
             before=lambda current, rows: also(batch_moves(current, rows), batch_id),
         )
 
-    run_batches(events.select(*KEY, "seq", "status", "size"), handle, checkpoint)
+    run_batches(events.select(*KEY, "seq", "status", "size"), handle, path, checkpoint)
 
 
 def stream_job_counters(events: DataFrame, path: str, kind: str = "copy", checkpoint: str | None = None) -> DataFrame:
@@ -103,13 +104,13 @@ def stream_completion_monitor(
     spark = events.sparkSession
 
     def step(moves: DataFrame, batch_id: int) -> None:
-        current = jobs if batch_id == 0 else spark.read.schema(jobs.schema).parquet(f"{path}/jobs/batch={batch_id - 1}")
+        current = spark.read.schema(jobs.schema).parquet(f"{path}/jobs/batch={batch_id - 1}") if batch_id else jobs
         now = as_of if as_of is not None else F.current_timestamp()
         write_stage(ledger.complete_jobs(ledger.apply_deltas(current, job_deltas(moves)), now), f"{path}/jobs", batch_id)
 
     follow_tasks(events, path, step, checkpoint=checkpoint)
-    versions = spark.read.parquet(f"{path}/jobs")
-    return versions.filter(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")
+    last = max((int(n.removeprefix("batch=")) for n in names(spark, f"{path}/jobs")), default=None)
+    return jobs if last is None else spark.read.schema(jobs.schema).parquet(f"{path}/jobs/batch={last}")
 
 
 def stream_fenced_state(
@@ -138,7 +139,7 @@ def stream_fenced_state(
             before=lambda current, rows: write_stage(judge_messages(current, rows), f"{path}/out", batch_id),
         )
 
-    run_batches(messages.select(*KEY, "seq", "kind", "run_token", "status"), handle, checkpoint)
+    run_batches(messages.select(*KEY, "seq", "kind", "run_token", "status"), handle, path, checkpoint)
     return read_stages(spark, f"{path}/out", ANSWER)
 
 
@@ -172,7 +173,7 @@ def stream_new_objects(inventory: DataFrame, path: str, checkpoint: str | None =
         )
         write_stage(tasks, path, batch_id)
 
-    run_batches(inventory, handle, checkpoint)
+    run_batches(inventory, handle, path, checkpoint)
     return read_stages(spark, path, FOUND)
 
 
@@ -205,7 +206,10 @@ def request_rate(
 
 
 def worker_sessions(log: DataFrame, at: str = "event_ts", delay: str = WATERMARK, gap: str = "15 minutes") -> DataFrame:
-    """Activity sessions per worker, ended by fifteen silent minutes."""
+    """Activity sessions per worker, ended by fifteen silent minutes.
+
+    Sessions are merged where they are read first (a session setting), so a busy worker moves few rows.
+    """
     return (
         log.withColumn(at, F.col(at).cast("timestamp"))
         .withWatermark(at, delay)
@@ -225,7 +229,8 @@ def stream_upsert(
 ) -> None:
     """Apply each micro-batch of updates to the stored ledger (T10), idempotent by batch id.
 
-    Only the id buckets a batch touches are rewritten; ``ids_per_bucket`` must be the ledger's.
+    Only the buckets a batch touches are rewritten; ``ids_per_bucket`` must be the ledger's. Stages and
+    the checkpoint lie below ``stage_root``: a later run with the same root takes up new updates only.
     """
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
@@ -234,4 +239,4 @@ def stream_upsert(
     def handle(batch: DataFrame, batch_id: int) -> None:
         upsert_ledger(batch, ledger_path, merge, f"{stage_root.rstrip('/')}/batch={batch_id}", ids_per_bucket)
 
-    run_batches(updates, handle, checkpoint)
+    run_batches(updates, handle, stage_root, checkpoint)

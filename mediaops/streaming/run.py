@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaops.session import shared_dir
+from mediaops.sources.files import exists, names
 
 WATERMARK_SECONDS = 600
 
@@ -37,11 +37,35 @@ def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | Non
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
-    """Call ``handle(batch, batch_id)`` for everything available; handlers must be idempotent by id."""
+def claim(spark: SparkSession, path: str, checkpoint: str | None) -> str:
+    """Checkpoint of the stream that writes below ``path``: given, or kept there.
+
+    Stages are numbered by the checkpoint's batches, so a path that holds batches of another or a
+    lost checkpoint is refused: numbers would start again and new rows pass for finished ones.
+    """
+    path = path.rstrip("/")
+    checkpoint = (checkpoint or f"{path}/checkpoint").rstrip("/")
+    begun = exists(spark, f"{checkpoint}/metadata")
+    if exists(spark, f"{path}/owner/_SUCCESS"):
+        owner = spark.read.text(f"{path}/owner").first()[0]
+        held = set(names(spark, path)) - {"owner", "checkpoint"}
+        if owner != checkpoint or held and not begun:
+            raise ValueError(f"{path} holds batches of the checkpoint {owner}")
+    elif begun:
+        raise ValueError(f"the checkpoint {checkpoint} belongs to another path than {path}")
+    else:
+        spark.createDataFrame([(checkpoint,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/owner")
+    return checkpoint
+
+
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], path: str, checkpoint: str | None = None) -> None:
+    """Call ``handle(batch, batch_id)`` for everything new; handlers must be idempotent by id.
+
+    A later run with the same ``path`` goes on where the last one ended.
+    """
     query = (
         stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint or shared_dir(stream.sparkSession, "checkpoint"))
+        .option("checkpointLocation", claim(stream.sparkSession, path, checkpoint))
         .trigger(availableNow=True)
         .start()
     )
@@ -68,10 +92,7 @@ def read_stages(spark: SparkSession, path: str, schema: str, before: int | None
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stored table, empty while it does not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 Step = Callable[[DataFrame, DataFrame, object], tuple[DataFrame, DataFrame]]
@@ -88,12 +109,17 @@ def run_armed(
     """Run ``step(state, batch, mark) -> (state, output)`` over a stream with event time in ``us``.
 
     ``mark`` (a scalar column) is the watermark: the largest event time seen less the delay. Rows
-    older than the mark before the batch are late and dropped. ``path`` receives ``state``, ``mark``
-    and ``out`` with one directory per batch. State holds only keys with a pending deadline.
+    older than the mark before the batch are late: one that follows the pending event of its key is
+    judged like any other, the rest, whose deadlines are decided, is given out under ``late``.
+    ``path`` receives ``state``, ``mark``, ``out`` and ``late`` with one directory per batch. State
+    holds pending deadlines, and for some steps the rows newer than the mark.
     """
     spark = stream.sparkSession
     path = path.rstrip("/")
     delay = delay_seconds * 1_000_000
+    fields = [f.split()[0] for f in state_schema.split(", ")]
+    order = "seq" if "seq" in fields else "us"
+    keys = [f for f in fields if f not in ("seq", "us", "arm", "kind")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         before = read_stage(spark, f"{path}/mark", batch_id - 1, "us long")
@@ -102,8 +128,13 @@ def run_armed(
         write_stage(marks, f"{path}/mark", batch_id)
         mark = read_stage(spark, f"{path}/mark", batch_id, "us long").agg(F.max("us")).scalar()
         state = read_stage(spark, f"{path}/state", batch_id - 1, state_schema)
-        new_state, output = step(state, batch.filter(F.col("us") >= floor), mark)
+        held = (state.filter("arm") if "arm" in fields else state).groupBy(*keys).agg(F.min(order).alias("_held"))
+        late = batch.filter(F.col("us") < floor).join(held, keys, "left")
+        after = F.coalesce(F.col(order) > F.col("_held"), F.lit(False))
+        write_stage(late.filter(~after).select(*batch.columns), f"{path}/late", batch_id)
+        on_time = batch.filter(F.col("us") >= floor).unionByName(late.filter(after).select(*batch.columns))
+        new_state, output = step(state, on_time, mark)
         write_stage(output, f"{path}/out", batch_id)
         write_stage(new_state, f"{path}/state", batch_id)
 
-    run_batches(stream, handle, checkpoint)
+    run_batches(stream, handle, path, checkpoint)

@@ -156,7 +156,9 @@ def deadline_step(ttl: int):
     def step(state: DataFrame, batch: DataFrame, mark: Column):
         rows = state.unionByName(batch.select(*TASK, "seq", "us", "arm"))
         passed, pending = armed(rows, TASK, ttl, mark)
-        return pending, passed.select(*TASK, F.timestamp_micros("due").alias("at"))
+        # Rows newer than the watermark stay as what they are, so that an earlier one still to come meets its next row.
+        recent = rows.filter(F.col("us") > mark).join(pending.select(*TASK, "seq"), [*TASK, "seq"], "left_anti")
+        return pending.unionByName(recent.withColumn("arm", F.lit(False))), passed.select(*TASK, F.timestamp_micros("due").alias("at"))
 
     return step
 
@@ -253,7 +255,7 @@ def stream_pairs(inventory: DataFrame, path: str, checkpoint: str | None = None)
         write_stage(pairs, f"{path}/out", batch_id)
         write_stage(lone, f"{path}/state", batch_id)
 
-    run_batches(pair_sides(inventory), handle, checkpoint)
+    run_batches(pair_sides(inventory), handle, path, checkpoint)
     return read_stages(spark, f"{path}/out", PAIR)
 
 

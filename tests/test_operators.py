@@ -261,7 +261,7 @@ def test_ledger_layout_and_upsert(spark):
         new = batch.select("id", F.col("status").alias("new"))
         return current.join(new, "id", "left").withColumn("status", F.concat("status", F.coalesce("new", F.lit("")))).drop("new")
 
-    batch = spark.createDataFrame([(5, "+"), (95, "+")], "id long, status string")
+    batch = spark.createDataFrame([(1, 5, "+"), (1, 95, "+")], "job_id long, id long, status string")
     for _ in range(2):
         sinks.upsert_ledger(batch, path, merge, stage, ids_per_bucket=10)
     out = spark.read.parquet(path)
@@ -269,6 +269,38 @@ def test_ledger_layout_and_upsert(spark):
     assert sorted(one(out.filter("status <> 'PENDING'"), "id", "status")) == [(5, "PENDING+"), (95, "PENDING+")]
 
 
+def test_ledger_forgets_what_is_gone(spark):
+    path = shared_dir(spark, "ledger")
+
+    def rows(*ids):
+        return spark.createDataFrame([(j, i, "x") for j, i in ids], "job_id long, id long, status string")
+
+    sinks.write_ledger(rows((1, 1), (1, 60000), (2, 1)), path)
+    assert len(set(one(spark.read.parquet(path), "bucket"))) == 3  # jobs and id ranges lie apart
+    sinks.write_ledger(rows((1, 2), (1, 60000), (2, 1)), path)
+    assert sorted(one(spark.read.parquet(path), "job_id", "id")) == [(1, 2), (1, 60000), (2, 1)]
+    gone = rows((1, 60000))
+    for _ in range(2):
+        stage = shared_dir(spark, "stage")
+        sinks.upsert_ledger(gone, path, lambda cur, new: cur.join(new, ["job_id", "id"], "left_anti"), stage)
+    assert sorted(one(spark.read.parquet(path), "job_id", "id")) == [(1, 2), (2, 1)]
+
+
+def test_source_failures_by_stage(spark):
+    code = "<Error><Code>AccessDenied</Code></Error>"
+    rows = [
+        ("source_fetch", 403, code, "SourceAccessDenied", "source_fetch", False),
+        ("dest_put", 403, code, "AccessDenied", "dest_put", False),
+        ("source_fetch", 0, "read ended early", "FetchFailed", "source_fetch", True),
+        ("dest_put", None, "write ended early", "FetchFailed", "dest_put", True),
+        ("source_fetch", 0, "dial tcp: i/o timeout", "NetworkTimeout", "source_fetch", True),
+        ("unknown", 0, "what", "UnhandledError", "unknown", False),
+    ]
+    df = spark.createDataFrame(rows, "stage string, status_code int, error_message string, c string, s string, r boolean")
+    for r in errors.classify_errors(df).collect():
+        assert (r.error_class, r.error_stage, r.retryable) == (r.c, r.s, r.r)
+
+
 def test_manifest_line_numbers_across_splits(spark):
     path = shared_dir(spark, "manifest")
     lines = [f"line {n} " + "x" * (n % 40) for n in range(2000)]

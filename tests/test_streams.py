@@ -214,3 +214,76 @@ def test_completion_monitor_equals_replay(spark, feeds):
     }
     assert got == {j: (status[j], counts[j], ended[j]) for j in counts}
     assert got[3] == ("COMPLETED", [0, 0, 0, 0], now)
+
+
+def in_two_runs(spark, data, run):
+    """Results of a run over the first half of the files and of a second one, on the same path, over all of them."""
+    feed, path = shared_dir(spark, "feed"), shared_dir(spark, "path")
+    out = []
+    for half in (data[: len(data) // 2], data[len(data) // 2 :]):
+        spark.createDataFrame(half, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+        out.append(run(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed), path))
+    return out[-1]
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda e, p: ss.stream_worker_liveness(e, p),
+        lambda e, p: ss.stream_stale_tasks(e, p, claim_seconds=120, running_seconds=90),
+        lambda e, p: ss.stream_retry_due(e, p),
+        lambda e, p: ss.stream_checkpoint_expiry(e, p, ttl_seconds=300),
+        lambda e, p: sj.stream_fenced_state(e, p, ids_per_bucket=2),
+        lambda e, p: sj.stream_job_counters(e, p),
+    ],
+    ids=["liveness", "stale", "retry_due", "expiry", "fence", "counters"],
+)
+def test_a_second_run_goes_on(spark, feeds, run):
+    data, whole, _ = feeds
+    assert result(in_two_runs(spark, data, run)) == result(run(whole(), shared_dir(spark, "once")))
+
+
+def test_upsert_takes_up_new_updates(spark, feeds):
+    data, _, _ = feeds
+    base = spark.range(1, 7).select(
+        "id", (F.col("id") % 2 + 1).alias("job_id"), F.lit("s").alias("src"), F.lit(1).cast("long").alias("size"),
+        F.lit("").alias("run_token"), F.lit("PENDING").alias("status"), F.lit("").alias("error_message"),
+        F.lit("").alias("worker_id"), *[F.lit(None).cast("timestamp").alias(c) for c in ("started_at", "completed_at", "created_at", "updated_at")],
+    )
+    path = shared_dir(spark, "ledger")
+    sinks.write_ledger(base, path, ids_per_bucket=2)
+    in_two_runs(spark, data, lambda e, p: sj.stream_upsert(e, path, p, ids_per_bucket=2))
+    want, _ = merges.merge_fenced(base, spark.createDataFrame(data, SCHEMA))
+    assert sorted(map(str, spark.read.parquet(path).select(*base.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_path_refuses_another_checkpoint(spark, feeds):
+    _, whole, _ = feeds
+    path = shared_dir(spark, "path")
+    sj.stream_job_counters(whole(), path)
+    with pytest.raises(ValueError):
+        sj.stream_job_counters(whole(), path, checkpoint=shared_dir(spark, "other"))
+
+
+def test_late_cancel_counts(spark):
+    """Failed at 0:00, completed at 0:10, known after the watermark has passed 0:20: never due. Unknown late rows are given out."""
+    def at(minutes, seq, task, status):
+        return (seq, T0 + dt.timedelta(minutes=minutes), 1, task, task, "w", "", "", status, 0, "", "")
+
+    feed, path = shared_dir(spark, "feed"), shared_dir(spark, "path")
+    for part in ([at(0, 1, 1, "FAILED"), at(0, 2, 2, "FAILED")], [at(30, 9, 7, "RUNNING")], [at(10, 3, 1, "COMPLETED"), at(11, 4, 5, "FAILED")], [at(200, 10, 7, "RUNNING")]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed)
+    due = ss.stream_retry_due(events, path, cooldown_seconds=3600).collect()
+    assert [r.task_id for r in due] == [2]
+    assert [r.task_id for r in spark.read.parquet(f"{path}/late").collect()] == [5]
+
+
+def test_a_cancel_ahead_of_its_order(spark):
+    """A completion read one batch before the failure it follows: within the delay it still counts."""
+    feed = shared_dir(spark, "feed")
+    for part in ([(2, 5, "COMPLETED")], [(1, 1, "FAILED")], [(3, 300, "RUNNING")]):
+        rows = [(seq, T0 + dt.timedelta(minutes=m), 1, 1, 1, "w", "", "", st, 0, "", "") for seq, m, st in part]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed)
+    assert result(ss.stream_retry_due(events, shared_dir(spark, "due"), cooldown_seconds=3600)) == []

@@ -9,19 +9,24 @@ from mediaops.operators import reconcile as rec
 from workload.inventory import DEST
 from workload.registry import EVENTS_NOW, JOBS_NOW, query
 
-# The messages of v_errors and what they must come to, said in plain SQL (``SourceNotFound`` holds the
-# phrase ``enotfound``, so message 12 reads as a DNS failure when no status decides first).
-STAGE_CLASS = """case when stage = 'source_fetch' then case status_code when 404 then 'SourceNotFound' when 403 then 'SourceAccessDenied'
-      when 429 then 'SourceRateLimited' when 408 then 'SourceTimeout' when 500 then 'SourceUpstreamError' when 503 then 'SourceUpstreamError'
-      when 400 then 'SourceFetchFailed' end
-    when stage = 'dest_put' then case status_code when 404 then 'DestNotFound' when 403 then 'DestAccessDenied' when 429 then 'DestRateLimited'
-      when 408 then 'DestTimeout' when 500 then 'DestUpstreamError' when 503 then 'DestUpstreamError' when 400 then 'DestBadRequest' end end"""
-CLASSED = f"""select *, stage as stage0, case k when 7 then 'DestSlowDown' when 8 then 'AccessDenied' when 2 then 'DestSlowDown'
-      when 3 then 'DestNoSuchUpload' else coalesce({STAGE_CLASS}, case k when 0 then 'NetworkTimeout' when 1 then 'NetworkConnectionLost'
-        when 5 then 'DnsFailure' when 12 then 'DnsFailure' when 6 then 'InvalidUrl' else 'UnhandledError' end) end as error_class,
-    case when k in (2, 3, 7, 8) then 'dest_put' else stage end as error_stage, k in (3, 8, 9) as fatal
-  from (select *, attempt % 16 as k from v_errors)"""
-JUDGED = f"""select *, not fatal and (error_class in ('DestSlowDown', 'NetworkTimeout', 'NetworkConnectionLost', 'DnsFailure',
+# What the failures of v_errors come to, from the rules of the stage they happened in. A source's answer is judged by
+# its status alone; a destination's by the store's code, then its status; without a status the text decides, and a
+# read or write that says nothing known is a failed fetch. Elsewhere the code and the text decide.
+TEXT_CLASS = """case when lower(error_message) like '%timeout%' then 'NetworkTimeout'
+    when lower(error_message) like '%connection reset%' then 'NetworkConnectionLost'
+    when lower(error_message) like '%enotfound%' then 'DnsFailure' when lower(error_message) like '%unsupported protocol%' then 'InvalidUrl' end"""
+STORE_CLASS = """case when error_message like '%<Code>SlowDown</Code>%' then 'DestSlowDown'
+    when error_message like '%<Code>NoSuchUpload</Code>%' then 'DestNoSuchUpload' end"""
+CLASSED = f"""select *, stage as stage0, case when k in (7, 8) then json_extract_string(error_message, '$.error.code')
+    when stage = 'source_fetch' and status_code > 0 then case status_code when 404 then 'SourceNotFound' when 403 then 'SourceAccessDenied'
+      when 429 then 'SourceRateLimited' when 408 then 'SourceTimeout' when 400 then 'SourceFetchFailed' else 'SourceUpstreamError' end
+    when stage <> 'source_fetch' and store is not null then store
+    when stage = 'dest_put' and status_code > 0 then case status_code when 404 then 'DestNotFound' when 403 then 'DestAccessDenied'
+      when 429 then 'DestRateLimited' when 408 then 'DestTimeout' when 400 then 'DestBadRequest' else 'DestUpstreamError' end
+    when said is not null then said when stage in ('source_fetch', 'dest_put') then 'FetchFailed' else 'UnhandledError' end as error_class,
+    case when k in (7, 8) or stage <> 'source_fetch' and store is not null then 'dest_put' else stage end as error_stage, k in (3, 8, 9) as fatal
+  from (select *, attempt % 16 as k, {TEXT_CLASS} as said, {STORE_CLASS} as store from v_errors)"""
+JUDGED = f"""select *, not fatal and (error_class in ('DestSlowDown', 'NetworkTimeout', 'NetworkConnectionLost', 'DnsFailure', 'FetchFailed',
       'SourceRateLimited', 'SourceTimeout', 'SourceUpstreamError', 'DestRateLimited', 'DestTimeout', 'DestUpstreamError')
     or error_class = 'UnhandledError' and status_code in (408, 425, 429, 500, 502, 503, 504)) as retryable from ({CLASSED})"""
 

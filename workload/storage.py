@@ -26,7 +26,7 @@ def _(v):
 
 @query(
     "k1_write_ledger",
-    f"""select job_id, id, key as src, size, id // 50000 as bucket from (
+    f"""select job_id, id, key as src, size, (job_id * 31 + id // 50000) % 1024 as bucket from (
       select n.job_id, n.key, n.size, coalesce(m.top, 0) + row_number() over (partition by n.job_id order by pos) as id
       from ({NEW}) n left join (select job_id, max(id) as top from v_event_ledger group by 1) m on m.job_id = n.job_id)""",
 )
