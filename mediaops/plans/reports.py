@@ -73,10 +73,11 @@ def client_stats(jobs: DataFrame, meta: DataFrame) -> DataFrame:
 def share_of_total(totals: DataFrame, value: str = "size", label: str = "label") -> DataFrame:
     """Ratio of the total per slice with its cumulative start and end, largest first.
 
-    The running sum is windowed inside value magnitudes (powers of two), and the 64 magnitudes at
-    most are chained by their totals; no window holds the whole table.
+    The running sum is windowed inside narrow ranges of the value (1024 for each power of two), and the
+    ranges, 65,000 at most, are chained by their totals; no window holds the whole table. Only equal
+    values share a range however many there are.
     """
-    magnitude = F.floor(F.log2(F.greatest(F.col(value), F.lit(1)).cast("double"))).cast("int")
+    magnitude = F.floor(F.log2(F.greatest(F.col(value), F.lit(1)).cast("double")) * 1024).cast("int")
     sized = totals.withColumn("_m", magnitude)
     per_m = sized.groupBy("_m").agg(F.sum(value).alias("_s"))
     higher = Window.orderBy(F.desc("_m")).rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,8 @@ def read_inventory(spark: SparkSession, path: str, prefix: str = "", format: str
     """Object listing below a prefix (S1): bucket, key, size, etag, last_modified.
 
     ``parquet`` and ``csv`` read a stored bucket inventory, and the prefix reaches the scan as a
-    filter; ``files`` lists a file system through the ``binaryFile`` source without opening contents.
+    filter; a large bucket's listing is best stored that way. ``files`` lists a file system through the
+    ``binaryFile`` source without opening contents; the driver does the listing.
     """
     if format == "files":
         listed = (
@@ -34,7 +35,7 @@ def read_inventory(spark: SparkSession, path: str, prefix: str = "", format: str
     else:
         reader = spark.read.schema(schemas.INVENTORY)
         if format == "csv":
-            reader = reader.option("header", "true")
+            reader = reader.option("header", "true").option("escape", '"')
         listing = reader.format(format).load(path)
     return clean_listing(listing, prefix)
 
@@ -90,12 +91,16 @@ def read_url_manifest(spark: SparkSession, paths) -> DataFrame:
     earlier = Window.partitionBy("submission").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         rows.groupBy("submission", "_block")
-        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    return rows.join(splits, ["submission", "_block"]).select(
-        "submission", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line"
+    # The ids only order a split's lines, so it doesn't matter which task read the split.
+    inside = F.row_number().over(Window.partitionBy("submission", "_block").orderBy("_id"))
+    return (
+        rows.withColumn("_line", inside)
+        .join(splits, ["submission", "_block"])
+        .select("submission", (F.col("_before") + F.col("_line")).alias("line_no"), "line")
     )
 
 

@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 from mediaops.functions import columns as C
 from mediaops.functions.globs import glob_regex
 from mediaops.operators import inventory as inv
+from mediaops.session import shared_dir
+from mediaops.sources import readers
 from workload.registry import EVENTS_NOW, query
 
 CLEAN = "select * from v_inv_src where not key like '%/'"
 
 
-@query(
-    "s1_read_inventory",
-    """select job_id, pos, key, size, lower(trim(etag, '"')) as etag from v_inv_src
-    where key like 'src/%' and not key like '%/'""",
-)
+LISTED = """select 'b' || job_id % 5 as bucket, key, size, lower(trim(etag, '"')) as etag, @us(last_modified) as last_modified from v_inv_src
+    where key like 'src/%' and not key like '%/'"""
+
+
+def _stored_listing(v, format):
+    path = shared_dir(v.spark, "inventory")
+    bucket = F.concat(F.lit("b"), (F.col("job_id") % 5).cast("string")).alias("bucket")
+    listing = v.inv_src.select(bucket, "key", "size", "etag", "last_modified")
+    listing.write.option("header", "true").option("escape", '"').format(format).save(path)
+    return readers.read_inventory(v.spark, path, "src/", format)
+
+
+@query("s1_read_inventory", LISTED)
+def _(v):
+    return _stored_listing(v, "parquet")
+
+
+@query("s1_read_inventory_csv", LISTED)
 def _(v):
-    return inv.clean_listing(v.inv_src, "src/").select("job_id", "pos", "key", "size", "etag")
+    return _stored_listing(v, "csv")
 
 
 # What the patterns of v_jobs mean, said once more in plain SQL.
