@@ -34,7 +34,7 @@ def query(name: str):
 @query("op1_simhash_near_duplicates")
 def _simhash(spark, stages, table):
     found = simhash.near_duplicates(table("documents"), stages)
-    return found.select("doc_id", prints.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 @query("op2_huffman_ids")

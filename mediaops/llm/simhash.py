@@ -1,8 +1,10 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by searches of BK-trees.
 
-A pair within radius r agrees in at least one of r + 1 blocks of the fingerprint, so the forest has one
-set of trees for each value of each block; a tree larger than ``TREE`` is dealt into shards. Every
-fingerprint visits the shards of its own block values only, following edges within the radius.
+The forest has one set of trees for each value of each 16-bit block of the fingerprint; a tree larger than
+``TREE`` is dealt into shards. Every fingerprint visits the shards of its own block values only, following
+edges within the radius. With a radius below the number of blocks (3 of 64 bits) a linked pair agrees in some
+block, and no link is lost. For near copies by similarity, fingerprints have 384 bits: pairs at 0.8 differ in 58
+of them on average, and the chance that none of 24 blocks agrees is 0.17 at 0.8, 0.05 at 0.85 and 0.01 at 0.9.
 """
 
 from __future__ import annotations
@@ -19,45 +21,58 @@ from mediaops.llm.common import Stages, classes, row_key, slices, whole
 
 RADIUS = 3
 WORDS = 3
+BITS = 64
+# For near copies by similarity: five words; the bits that 0.8 of all shingles in common stand for, and a few more.
+SIMILAR = {"radius": 62, "words": 5, "bits": 384}
 TREE = 4096
+_BLOCK = 2
 _SEED = 42
 _VOTES = 1 << 16
 
 
-def simhash(text: str, words: int = WORDS) -> int:
-    """Majority vote over the bits of the shingles' XXH64; zero without words."""
+def simhash(text: str, words: int = WORDS, bits: int = BITS) -> int:
+    """Majority vote over the bits of the shingles' hashes (XXH64, for more bits XXH3-128); zero without words."""
     found = text.encode().lower().split()
     if not found:
         return 0
     line = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(line, _SEED)
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: len(found) - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], _SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _VOTES):
-        part = np.array(hashes[at : at + _VOTES], "<u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """(k1, k2, doc_id, fp) of every row; a null or empty text has fingerprint zero."""
+        shingles = [line]
+    else:
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(size + 1) - 1
+        starts = (ends - size)[: len(found) - words + 1].tolist()
+        shingles = [line[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+    votes = np.zeros(bits, np.int64)
+    for at in range(0, len(shingles), _VOTES):
+        part = shingles[at : at + _VOTES]
+        if bits == 64:
+            digests = [[xxhash.xxh64_digest(x, _SEED) for x in part]]
+        else:
+            digests = [[xxhash.xxh3_128_digest(x, _SEED + i) for x in part] for i in range(bits // 128)]
+        rows = [np.frombuffer(b"".join(d), np.uint8).reshape(len(part), -1) for d in digests]
+        votes += np.concatenate([np.unpackbits(r, axis=1).sum(axis=0, dtype=np.uint32) for r in rows])
+    return int.from_bytes(np.packbits(votes * 2 > len(shingles)).tobytes(), "big")
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, bits: int = BITS, text_col: str = "text") -> DataFrame:
+    """(k1, k2, doc_id, fp, node) of every row; a null or empty text has fingerprint zero.
+
+    ``fp`` holds the bits, highest first; ``node`` is a number for it: itself, or a hash of more than 64 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [simhash(t, words) for t in batch.column("text").to_pylist()]
+            prints = [simhash(t, words, bits).to_bytes(bits // 8, "big") for t in batch.column("text").to_pylist()]
+            nodes = prints if bits == 64 else [xxhash.xxh3_64_digest(p) for p in prints]
+            numbers = np.frombuffer(b"".join(nodes), ">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(found, np.uint64).view(np.int64))],
-                ["k1", "k2", "doc_id", "fp"],
+                [*batch.columns[:3], pa.array(prints, pa.binary()), pa.array(numbers)], ["k1", "k2", "doc_id", "fp", "node"]
             )
 
     k1, k2 = row_key(docs, text_col=text_col)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long"), whole(text_col).alias("text"))
-    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, fp long")
+    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, fp binary, node long")
 
 
 class BKTree:
@@ -91,13 +106,13 @@ class BKTree:
 
 
 def _linked(radius: int):
-    """Rows (key, shard, visitor, fp) in this order: builds each tree, then lets the visitors search it.
+    """Rows (key, shard, visitor, node, fp) in this order: builds each tree, then lets the visitors search it.
 
     Gives a spanning forest of the links that were found, not all of them: at most one a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree, up = None, BKTree(), {}
+        at, tree, up, number = None, BKTree(), {}, {}
 
         def top(x: int) -> int:
             while up[x] != x:
@@ -105,75 +120,68 @@ def _linked(radius: int):
             return x
 
         for batch in batches:
-            keys, shards, visits = (batch.column(i).to_pylist() for i in range(3))
-            values = batch.column(3).to_numpy().view(np.uint64).tolist()
             left, right = [], []
-            for key, shard, visit, value in zip(keys, shards, visits, values, strict=True):
+            for key, shard, visit, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (key, shard):
-                    at, tree, up = (key, shard), BKTree(), {}
+                    at, tree, up, number = (key, shard), BKTree(), {}, {}
+                value = int.from_bytes(fp, "big")
                 near = tree.near(value, radius)
                 if visit:
                     if near:
-                        left.append(value)
-                        right.append(near[0])
+                        left.append(node)
+                        right.append(number[near[0]])
                     value = near[0] if near else value
                 else:
                     tree.add(value)
-                    up[value] = value
+                    up[value], number[value] = value, node
                 for other in near:
                     a, b = top(value), top(other)
                     if a != b:
-                        left.append(a)
-                        right.append(b)
+                        left.append(number[a])
+                        right.append(number[b])
                         up[max(a, b)] = min(a, b)
-            cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, right)]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp`` at ``radius`` or fewer bits; a spanning forest for each tree."""
-    width = 64 // (radius + 1)
-    blocks = [
-        F.struct(
-            F.concat_ws(":", F.lit(i), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))).alias("key")
-        )
-        for i in range(radius + 1)
-    ]
-    rows = prints.select("fp", F.inline(F.array(*blocks)))
+def links(prints: DataFrame, radius: int = RADIUS, bits: int = BITS, tree: int = TREE) -> DataFrame:
+    """(a, b): links between distinct fingerprints (node, fp) at ``radius`` or fewer bits; a spanning forest for each tree."""
+    blocks = [F.concat(F.lit(f"{i}:"), F.hex(F.substring("fp", i * _BLOCK + 1, _BLOCK))) for i in range(bits // 8 // _BLOCK)]
+    rows = prints.select("node", "fp", F.explode(F.array(*blocks)).alias("key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree)
     large = large.select("key", F.ceil(F.col("n") / tree).alias("shards"))
     rows = rows.join(large, "key", "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("shards", F.lit(1).cast("long")))
-    rows = rows.select("key", "fp", own.alias("own"))
-    rows = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("shard"), "own", "fp")
-    rows = rows.select("key", "shard", (F.col("own") != F.col("shard")).cast("int").alias("visit"), "fp")
-    rows = rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "visit", "fp")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("shards", F.lit(1).cast("long")))
+    rows = rows.select("key", "node", "fp", own.alias("own"))
+    rows = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("shard"), "own", "node", "fp")
+    rows = rows.select("key", "shard", (F.col("own") != F.col("shard")).cast("int").alias("visit"), "node", "fp")
+    rows = rows.repartition("key", "shard").sortWithinPartitions("key", "shard", "visit", "node")
     return rows.mapInArrow(_linked(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, stages: Stages, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """(k1, k2, doc_id, fp, component_id) of every row: the smallest doc_id among the documents linked to it.
+def near_duplicates(
+    docs: DataFrame, stages: Stages, radius: int = RADIUS, words: int = WORDS, bits: int = BITS
+) -> DataFrame:
+    """(k1, k2, doc_id, fp, component_id, root) of every row: the smallest doc_id among the documents linked to it.
 
     Equal texts share a fingerprint and so a class; texts without words share fingerprint zero, linked like any
     other. A null doc_id is no smallest id unless a class has no other; no rows give no rows; repeated rows stay.
     Other columns of ``docs`` are not read.
     """
-    prints = stages.keep(fingerprints(docs, words), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = classes(links(distinct.select("fp"), radius), stages)
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = grouped.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = stages.keep(fingerprints(docs, words, bits), "prints")
+    distinct = prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"))
+    roots = classes(links(distinct.select("node", "fp"), radius, bits), stages)
+    grouped = distinct.drop("fp").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     grouped = stages.keep(grouped, "grouped")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stages.keep(grouped.join(least, "root").select("fp", "component_id", "root"), "named")
-    return prints.join(named, "fp").select("k1", "k2", "doc_id", "fp", "component_id", "root")
+    named = stages.keep(grouped.join(least, "root").select("node", "component_id", "root"), "named")
+    return prints.join(named, "node").select("k1", "k2", "doc_id", "fp", "component_id", "root")
 
 
-def keep_first(docs: DataFrame, stages: Stages, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+def keep_first(docs: DataFrame, stages: Stages, radius: int = RADIUS, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each class: the smallest doc_id (nulls last; ties: by a hash of the text, then any)."""
-    found = near_duplicates(docs, stages, radius, words)
+    found = near_duplicates(docs, stages, radius, words, bits)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("f")).select("f.k1", "f.k2")
     k1, k2 = row_key(docs)
     names = ("_llm_k1", "_llm_k2")

@@ -85,7 +85,7 @@ def test_simhash_classes(spark, docs):
     found = simhash.near_duplicates(frame(spark, rows), stages(spark)).collect()
     values = [plain_simhash(t or "") for _, t in rows]
     want = Counter(zip((i for i, _ in rows), values, plain_components([i for i, _ in rows], values), strict=True))
-    assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in found) == want
+    assert Counter((r.doc_id, int(r.fp.hex(), 16), r.component_id) for r in found) == want
     assert simhash.near_duplicates(frame(spark, []), stages(spark)).count() == 0
 
 
@@ -93,9 +93,10 @@ def test_sharded_trees_lose_no_link(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
     values = sorted({b ^ sum(1 << rng.randrange(24, 64) for _ in range(rng.randrange(4))) for b in base for _ in range(12)})
-    df = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "fp long")
+    rows = [(int(np.uint64(v).astype(np.int64)), bytearray(v.to_bytes(8, "big"))) for v in values]
+    df = spark.createDataFrame(rows, "node long, fp binary")
     for tree in (3, 4096):
-        roots = classes(simhash.links(df, 3, tree), stages(spark)).collect()
+        roots = classes(simhash.links(df, 3, tree=tree), stages(spark)).collect()
         got = {r.node & (2**64 - 1): r.root for r in roots}
         want = plain_components(values, values)
         groups = defaultdict(set)
@@ -113,6 +114,24 @@ def test_keep_first(spark, docs):
     assert len(kept) == groups and len(set(kept)) == groups
 
 
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(3000)]
+    rows, similar = [], 0
+    for group in range(60):
+        own = rng.choices(vocabulary, k=rng.randint(60, 400))
+        rows.append((10 * group, " ".join(own)))
+        other = list(own)
+        for _ in range(max(1, len(own) // 60)):
+            other[rng.randrange(len(other))] = rng.choice(vocabulary)
+        rows.append((10 * group + 1, " ".join(other)))
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (own, other))
+        similar += len(a & b) / len(a | b) >= 0.8
+    kept = {r.doc_id for r in simhash.keep_first(frame(spark, rows), stages(spark), **simhash.SIMILAR).collect()}
+    assert similar >= 45 and {10 * g for g in range(60)} <= kept
+    assert sum(10 * g + 1 not in kept for g in range(60)) >= 0.9 * similar
+
+
 # --- Huffman -------------------------------------------------------------------------------------------
 
 
