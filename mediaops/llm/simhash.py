@@ -174,7 +174,7 @@ def near_duplicates(
     roots = classes(links(distinct.select("node", "fp"), radius, bits), stages)
     grouped = distinct.drop("fp").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     grouped = stages.keep(grouped, "grouped")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stages.keep(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = stages.keep(grouped.join(least, "root").select("node", "component_id", "root"), "named")
     return prints.join(named, "node").select("k1", "k2", "doc_id", "fp", "component_id", "root")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from mediaops.llm.common import slices, whole
 
 # Labelled documents the model is fitted on, at most this many of each label.
-FIT_TOXIC, FIT_CLEAN = 1200, 2400
+FIT_TOXIC, FIT_CLEAN = 1000, 2000
 # A feature labels tokens if it is this many times likelier in toxic documents and explains this share of them.
 RATIO, SHARE = 30.0, 0.01
 THRESHOLD = 0.7
@@ -158,17 +158,18 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 40) -> Field:
         model.calibration = (float(np.log((n[1] + 0.5) / (n[0] + 0.5))), 0.0, 0.0)
         return model
     chosen = label_tokens(texts, toxic)
-    words, sizes, tags, ends, keep_sizes, keep_words, keep_tags = [], [], [], [], [], [], []
+    words, sizes, ends, keep_sizes, keep_words, keep_tags = [], [], [], [], [], []
+    pool: dict[str, str] = {}  # one object for each distinct word
     for number, (text, y) in enumerate(zip(texts, toxic, strict=True)):
         own, own_sizes = _tokens(text)
+        own = [pool.setdefault(w, w) for w in own]
         marked = [int(bool(y) and not chosen.isdisjoint(_marks(w))) for w in own]
         words += own
         sizes += own_sizes
-        tags += marked
         ends.append(len(words))
         at = 0
         for k, size in enumerate(own_sizes):  # all chains with a toxic word, and some of the others
-            if any(marked[at : at + size]) or (k + number) % 4 == 0:
+            if any(marked[at : at + size]) or (k + number) % 6 == 0:
                 keep_words += own[at : at + size]
                 keep_tags += marked[at : at + size]
                 keep_sizes.append(size)
