@@ -53,10 +53,14 @@ class Pieces:
         self.follows: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # Words end where no piece goes on: before a mark, and around line ends if no piece has one.
+        # Words end where no piece goes on: before a mark, around line ends, and between a letter and a sign.
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)
+        after = {m[1] for p in scores for m in re.finditer(r"(?<=[^\W\d_])([^\w\s])", p)}
+        signs = "".join(re.escape(c) for c in ".,;:!?)\"'-" if c not in after)
+        no = f"[^{SPACE}\n{signs}]*"
+        rest = f"{no}(?:(?<![^\\W\\d_])[{signs}]{no})*" if signs else no
         lines = any("\n" in p for p in scores)
-        pattern = ".+" if inside else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+        pattern = ".+" if inside or lines else f"\n|{SPACE}+{rest}|[^{SPACE}\n]{rest}"
         self.words = re.compile(pattern, re.DOTALL)
 
     def merged(self, text: str) -> list[str]:
