@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from mediaops.llm.common import slices, whole
 
 SPACE = "▁"
-_KNOWN, _PAIRS = 250_000, 500_000
+_KNOWN, _PAIRS = 350_000, 500_000
 
 
 class Pieces:
