@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from mediaops.llm.common import slices, whole
 
 SPACE = "▁"
-_KNOWN, _PAIRS = 350_000, 500_000
+# Words a task keeps, twice, and pairs: memory against time, results are the same.
+KNOWN, _PAIRS = 300_000, 300_000
 
 
 class Pieces:
@@ -53,6 +54,7 @@ class Pieces:
         self.follows: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.keep = KNOWN
         # Words end where no piece goes on: before a mark, around line ends, and between a letter and a sign.
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)
         after = {m[1] for p in scores for m in re.finditer(r"(?<=[^\W\d_])([^\w\s])", p)}
@@ -137,7 +139,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; an empty one has none."""
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > _KNOWN:
+        if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = {w for words in split for w in words}.difference(known)
@@ -146,6 +148,9 @@ class Pieces:
         known.update((word, self._numbers(parts)) for word, parts in self.segment(sorted(new - again)))
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
+    def forget(self) -> None:
+        self.known, self.older, self.follows = {}, {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """The text: pieces put together, marks turned to spaces, the first one dropped; bytes as UTF-8."""
         text = b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
@@ -165,7 +170,7 @@ def load(path: str, merges: bool = True) -> Pieces:
     return Pieces(scores, [i for i in range(n) if model.is_byte(i)], model.unk_id(), merges)
 
 
-def encode(docs: DataFrame, path: str, merges: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, merges: bool = True, keep: int = KNOWN) -> DataFrame:
     """(doc_id, n_chars, n_pieces, ids, ids_crc32, same) of every row of ``docs`` (doc_id, text).
 
     ``same``: the ids decode to the text. ids_crc32 is that of the ids as little-endian unsigned 32-bit integers.
@@ -175,6 +180,7 @@ def encode(docs: DataFrame, path: str, merges: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path, merges)
+        model.keep = keep
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = model.encode(texts)
@@ -192,6 +198,7 @@ def encode(docs: DataFrame, path: str, merges: bool = True) -> DataFrame:
                 ],
                 ["doc_id", "n_chars", "n_pieces", "ids", "ids_crc32", "same"],
             )
+        model.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
     schema = "doc_id long, n_chars long, n_pieces long, ids array<int>, ids_crc32 long, same boolean"
