@@ -25,7 +25,7 @@ from mediaops.llm.common import slices, whole
 
 SPACE = "▁"
 # Words a task keeps, twice, and pairs: memory against time, results are the same.
-KNOWN, _PAIRS = 300_000, 300_000
+KNOWN, _PAIRS = 350_000, 500_000
 
 
 class Pieces:
@@ -170,12 +170,13 @@ def load(path: str, merges: bool = True) -> Pieces:
     return Pieces(scores, [i for i in range(n) if model.is_byte(i)], model.unk_id(), merges)
 
 
-def encode(docs: DataFrame, path: str, merges: bool = True, keep: int = KNOWN) -> DataFrame:
+def encode(docs: DataFrame, path: str, merges: bool = True, keep: int = KNOWN, lasting: bool = True) -> DataFrame:
     """(doc_id, n_chars, n_pieces, ids, ids_crc32, same) of every row of ``docs`` (doc_id, text).
 
     ``same``: the ids decode to the text. ids_crc32 is that of the ids as little-endian unsigned 32-bit integers.
     A text that starts with the mark itself, or holds it, decodes to a space there. Null texts are empty and have
     no ids; null and repeated ids stay rows; no rows give none; other columns are not read.
+    A worker keeps ``keep`` words at a time, twice, and from task to task if ``lasting``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,8 @@ def encode(docs: DataFrame, path: str, merges: bool = True, keep: int = KNOWN) -
                 ],
                 ["doc_id", "n_chars", "n_pieces", "ids", "ids_crc32", "same"],
             )
-        model.forget()
+        if not lasting:
+            model.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
     schema = "doc_id long, n_chars long, n_pieces long, ids array<int>, ids_crc32 long, same boolean"
