@@ -8,8 +8,11 @@ small table of (id, code length); canonical codes follow from the lengths.
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +30,8 @@ LIMIT = 18
 BLOCK = 512
 RUN = 1 << 20
 END = 0
+# Words a task keeps, twice: memory against time, results are the same. Longer words aren't kept.
+KNOWN, LONG_WORD = 300_000, 64
 
 
 # --- ids of a text -------------------------------------------------------------------------------------
@@ -39,6 +44,55 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class Encoder:
+    """Ids of texts; for byte-level vocabularies each distinct word is given to the library once.
+
+    Words begin where the library's own split always begins a piece: with the white space after something else, and
+    with a sign after a Latin letter. A white space that not all versions of Unicode call one is no such place.
+    """
+
+    _WHITE, _SIGNS = " \t\n\r", ".,;:!?)"
+    _DOUBT = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+
+    def __init__(self, path: str, keep: int = KNOWN):
+        self.library, self.keep = tokenizer(path), keep
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        rest = f"[^{self._WHITE}{self._SIGNS}]*"
+        more = f"(?:(?<![A-Za-z])[{self._SIGNS}]{rest}|(?<=[{self._DOUBT}])[{self._WHITE}]+{rest})*"
+        pattern = f"(?:[{self._WHITE}]+|[^{self._WHITE}]){rest}{more}"
+        self.words = re.compile(pattern if self._splits() else ".+", re.DOTALL)
+
+    def _splits(self) -> bool:
+        """Whether the library splits texts by its byte-level rule, and no added token holds a place to cut."""
+        made = json.loads(self.library.to_str())
+        before = made["pre_tokenizer"] or {}
+        rule = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        marks = set(self._WHITE + self._SIGNS)
+        plain = all(
+            not (marks.intersection(t["content"]) or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in made["added_tokens"]
+        )
+        return bool(rule and plain and made["normalizer"] is None)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text, as unsigned 32-bit integers."""
+        split = [self.words.findall(t) for t in texts]
+        if len(self.known) > self.keep:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
+        found = self.library.encode_batch_fast(new, add_special_tokens=False)
+        known.update((w, array("I", x.ids).tobytes()) for w, x in zip(new, found, strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
+        return out
+
+
 def _pack(ids: np.ndarray) -> bytes:
     """Ids by byte planes, compressed."""
     planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -54,10 +108,10 @@ def token_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, n, ids) of every row: its ids with ``end`` appended, packed; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1 << 20):
-            texts = batch.column("text").to_pylist()
-            found = [[*x.ids, end] for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-            packed = [_pack(np.array(x, np.uint32)) for x in found]
+        encoder, last = Encoder(path), array("I", [end]).tobytes()
+        for batch in slices(batches):
+            found = [np.frombuffer(x + last, np.uint32) for x in encoder.ids(batch.column("text").to_pylist())]
+            packed = [_pack(x) for x in found]
             count = pa.array(map(len, found), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), count, pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
 
@@ -172,12 +226,11 @@ FILE = (
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for data in batch.column(0):
-            found = np.bincount(_unpack(data.as_py()))
-            if len(found) > len(total):
-                total = np.r_[total, np.zeros(len(found) - len(total), np.int64)]
-            total[: len(found)] += found
+    for batch in slices(batches, "ids"):
+        found = np.bincount(np.concatenate([_unpack(data) for data in batch.column(0).to_pylist()]))
+        if len(found) > len(total):
+            total = np.r_[total, np.zeros(len(found) - len(total), np.int64)]
+        total[: len(found)] += found
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
