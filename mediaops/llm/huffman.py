@@ -30,13 +30,19 @@ LIMIT = 18
 BLOCK = 512
 RUN = 1 << 20
 END = 0
-# Words a task keeps, twice: memory against time, results are the same. Longer words aren't kept.
-KNOWN, LONG_WORD = 300_000, 64
+# Words a worker keeps, twice: memory against time, results are the same. Longer words aren't kept.
+KNOWN, LONG_WORD = 400_000, 64
 
 
 # --- ids of a text -------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for a worker, so that its words last from task to task."""
+    return Encoder(path)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     """The library's tokenizer, on one thread: Spark runs as many tasks as there are cores."""
@@ -61,7 +67,16 @@ class Encoder:
         rest = f"[^{self._WHITE}{self._SIGNS}]*"
         more = f"(?:(?<![A-Za-z])[{self._SIGNS}]{rest}|(?<=[{self._DOUBT}])[{self._WHITE}]+{rest})*"
         pattern = f"(?:[{self._WHITE}]+|[^{self._WHITE}]){rest}{more}"
-        self.words = re.compile(pattern if self._splits() else ".+", re.DOTALL)
+        self.splits = self._splits()
+        self.words = re.compile(pattern if self.splits else ".+", re.DOTALL)
+        # Words that may stand one after the other in one text, as the next one's white space parts them.
+        self.chained = re.compile(f"[{self._WHITE}].*[^{self._WHITE}{self._DOUBT}]", re.DOTALL)
+        vocabulary = self.library.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for piece, i in vocabulary.items():  # a byte-level piece has a letter for each byte
+            self.bytes[i] = len(piece)
+        for i, token in self.library.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
 
     def _splits(self) -> bool:
         """Whether the library splits texts by its byte-level rule, and no added token holds a place to cut."""
@@ -74,6 +89,19 @@ class Encoder:
         )
         return bool(rule and plain and made["normalizer"] is None)
 
+    def _learn(self, new: set[str]) -> None:
+        chain = [w for w in new if self.splits and self.chained.fullmatch(w)]
+        alone = list(new.difference(chain))
+        found = self.library.encode_batch_fast([*alone, "".join(chain)], add_special_tokens=False)
+        self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(alone, found, strict=False))
+        ids = np.array(found[-1].ids, np.uint32)
+        word_ends = np.cumsum(np.fromiter((len(w.encode()) for w in chain), np.int64, len(chain)))
+        cuts = 4 * (np.searchsorted(np.cumsum(self.bytes[ids]), word_ends) + 1)
+        data, start = ids.tobytes(), 0
+        for w, end in zip(chain, cuts.tolist(), strict=True):
+            self.known[w] = data[start:end]
+            start = end
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text, as unsigned 32-bit integers."""
         split = [self.words.findall(t) for t in texts]
@@ -83,9 +111,8 @@ class Encoder:
         new = set().union(*split).difference(known)
         again = new.intersection(older)
         known.update((w, older[w]) for w in again)
-        new = list(new - again)
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        known.update((w, array("I", x.ids).tobytes()) for w, x in zip(new, found, strict=True))
+        new -= again
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > LONG_WORD:
@@ -108,9 +135,9 @@ def token_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, n, ids) of every row: its ids with ``end`` appended, packed; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), array("I", [end]).tobytes()
+        last = array("I", [end]).tobytes()
         for batch in slices(batches):
-            found = [np.frombuffer(x + last, np.uint32) for x in encoder.ids(batch.column("text").to_pylist())]
+            found = [np.frombuffer(x + last, np.uint32) for x in encoder(path).ids(batch.column("text").to_pylist())]
             packed = [_pack(x) for x in found]
             count = pa.array(map(len, found), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), count, pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])

@@ -165,6 +165,17 @@ def test_code(n):
         assert (book.decode(*book.encode(ids), len(ids)) == ids).all()
 
 
+def test_words_encoded_once_give_the_librarys_ids():
+    rng = random.Random(7)
+    letters = [*" \t\n\r aZé'.,;:!?)(\x00\x0b\x1c\x85\xa0\u180e\u200b\u2003\u3000\ufeff٣9½漢😀\u0301_", "<|endoftext|>", " the", "'ve", "  "]
+    texts = ["", *("".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(20_000)), "x" * 1000 + " y"]
+    own, library = huffman.Encoder(BYTE_BPE, keep=2000), huffman.tokenizer(BYTE_BPE)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        found = [np.frombuffer(x, np.uint32).tolist() for x in own.ids(part)]
+        assert found == [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
+
+
 def test_limited_lengths_are_optimal():
     # Fibonacci counts make the deepest tree; compared with all ways to give six symbols lengths up to four.
     counts = {i: c for i, c in enumerate((1, 1, 2, 3, 5, 8))}
