@@ -21,8 +21,9 @@ def clean_listing(listing: DataFrame, prefix: str = "") -> DataFrame:
 def glob_filter(inventory: DataFrame, jobs: DataFrame) -> DataFrame:
     """Objects passing their job's include and exclude globs.
 
-    The patterns become regular expressions once per job row; the listing then joins by job. A
-    malformed pattern filters nothing.
+    The patterns become regular expressions once per job row; the listing then joins by job, so a job's
+    objects follow each other. ``regexp_instr`` keeps the last compiled pattern, where ``rlike`` would
+    compile one for each object. A malformed pattern filters nothing.
     """
     rules = jobs.select(
         "job_id",
@@ -31,8 +32,8 @@ def glob_filter(inventory: DataFrame, jobs: DataFrame) -> DataFrame:
         glob_regex("include").alias("_include_re"),
         glob_regex("exclude").alias("_exclude_re"),
     )
-    wanted = F.col("_include_re").isNull() | F.rlike(glob_subject("_include", "key"), F.col("_include_re"))
-    unwanted = F.col("_exclude_re").isNotNull() & F.rlike(glob_subject("_exclude", "key"), F.col("_exclude_re"))
+    wanted = F.col("_include_re").isNull() | (F.regexp_instr(glob_subject("_include", "key"), F.col("_include_re")) > 0)
+    unwanted = F.col("_exclude_re").isNotNull() & (F.regexp_instr(glob_subject("_exclude", "key"), F.col("_exclude_re")) > 0)
     return (
         inventory.filter(~F.endswith("key", F.lit("/")))
         .join(rules, "job_id")
