@@ -64,13 +64,11 @@ class Encoder:
         self.library, self.keep = tokenizer(path), keep
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        rest = f"[^{self._WHITE}{self._SIGNS}]*"
-        more = f"(?:(?<![A-Za-z])[{self._SIGNS}]{rest}|(?<=[{self._DOUBT}])[{self._WHITE}]+{rest})*"
-        pattern = f"(?:[{self._WHITE}]+|[^{self._WHITE}]){rest}{more}"
+        rest = f"[^{self._WHITE}{self._SIGNS}]*+"
+        more = f"(?:(?<![A-Za-z])[{self._SIGNS}]{rest}|(?<=[{self._DOUBT}])[{self._WHITE}]++{rest})*+"
+        pattern = f"(?:[{self._WHITE}]++|[^{self._WHITE}]){rest}{more}"
         self.splits = self._splits()
         self.words = re.compile(pattern if self.splits else ".+", re.DOTALL)
-        # Words that may stand one after the other in one text, as the next one's white space parts them.
-        self.chained = re.compile(f"[{self._WHITE}].*[^{self._WHITE}{self._DOUBT}]", re.DOTALL)
         vocabulary = self.library.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for piece, i in vocabulary.items():  # a byte-level piece has a letter for each byte
@@ -90,7 +88,8 @@ class Encoder:
         return bool(rule and plain and made["normalizer"] is None)
 
     def _learn(self, new: set[str]) -> None:
-        chain = [w for w in new if self.splits and self.chained.fullmatch(w)]
+        # Words that may stand one after the other in one text, as the next one's white space parts them.
+        chain = [w for w in new if self.splits and w[0] in self._WHITE and ("!" <= w[-1] <= "~" or w[-1].isalnum())]
         alone = list(new.difference(chain))
         found = self.library.encode_batch_fast([*alone, "".join(chain)], add_special_tokens=False)
         self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(alone, found, strict=False))
@@ -196,19 +195,17 @@ class Book:
     """Canonical codes: by length, then by id."""
 
     def __init__(self, lengths: dict[int, int]):
-        order = sorted(lengths, key=lambda s: (lengths[s], s))
-        self.widest = max(lengths.values(), default=1)
-        size = max(order, default=0) + 1
-        self.code, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        ids = np.array(sorted(lengths), np.int64)
+        size = np.array([lengths[s] for s in ids.tolist()], np.int64)
+        order = np.argsort(size, kind="stable")
+        ids, size = ids[order], size[order]
+        self.widest = int(size.max(initial=1))
+        # Each code's share of the table; what stands before it is its number.
+        share = 1 << (self.widest - size)
+        self.code, self.length = np.zeros(ids.max(initial=0) + 1, np.uint64), np.zeros(ids.max(initial=0) + 1, np.int64)
+        self.code[ids], self.length[ids] = (np.cumsum(share) - share) >> (self.widest - size), size
         self.table = np.zeros(1 << self.widest, np.uint32)
-        code = last = 0
-        for s in order:
-            code <<= lengths[s] - last
-            last = lengths[s]
-            self.code[s], self.length[s] = code, last
-            low = code << (self.widest - last)
-            self.table[low : low + (1 << (self.widest - last))] = s << 5 | last
-            code += 1
+        self.table[: int(share.sum())] = np.repeat(ids << 5 | size, share)
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
         """The bits in 32-bit words, highest first, and the bit offset of every ``block``-th id."""
