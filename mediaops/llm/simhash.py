@@ -3,17 +3,22 @@
 The forest has one set of trees for each value of each 16-bit block of the fingerprint; a tree larger than
 ``TREE`` is dealt into shards. Every fingerprint visits the shards of its own block values only, following
 edges within the radius. With a radius below the number of blocks (3 of 64 bits) a linked pair agrees in some
-block, and no link is lost. For near copies by similarity, fingerprints have 384 bits: pairs at 0.8 differ in 58
-of them on average, and the chance that none of 24 blocks agrees is 0.17 at 0.8, 0.05 at 0.85 and 0.01 at 0.9.
+block, and no link is lost.
+
+Bits only estimate a similarity. Near copies by similarity are therefore found and measured on the shingles
+themselves: of two sets at 0.8 or more, put in any one order, the first fifths share a shingle, so documents meet at
+these, and the Jaccard similarity of those that meet is counted. Neither step loses or adds a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +27,13 @@ from mediaops.llm.common import Stages, classes, row_key, slices, whole
 RADIUS = 3
 WORDS = 3
 BITS = 64
-# For near copies by similarity: five words; the bits that 0.8 of all shingles in common stand for, and a few more.
-SIMILAR = {"radius": 62, "words": 5, "bits": 384}
+# For near copies by similarity: the Jaccard similarity of sets of five-word shingles.
+SIMILAR = {"words": 5, "similarity": 0.8}
 TREE = 4096
+# Members of a shared shingle that meet all others in the first round, and how many times more do after each further one.
+HUBS, MORE = 4, 4
+# One document in so many is looked at for common shingles, at most so many of which come last in the order.
+SAMPLE, COMMON = 16, 200_000
 _BLOCK = 2
 _SEED = 42
 _VOTES = 1 << 16
@@ -179,9 +188,152 @@ def near_duplicates(
     return prints.join(named, "node").select("k1", "k2", "doc_id", "fp", "component_id", "root")
 
 
-def keep_first(docs: DataFrame, stages: Stages, radius: int = RADIUS, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each class: the smallest doc_id (nulls last; ties: by a hash of the text, then any)."""
-    found = near_duplicates(docs, stages, radius, words, bits)
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; a text of fewer words is one shingle, one without words none."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.empty(0, np.int64)
+    hashes = np.zeros(max(len(found), words), np.uint64)
+    hashes[: len(found)] = [xxhash.xxh3_64_intdigest(w) for w in found]
+    mixed = np.zeros(len(hashes) - words + 1, np.uint64)
+    for i in range(words):
+        mixed = (mixed ^ hashes[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
+
+
+def _least_shared(n: int, similarity: float) -> int:
+    """Of a set's ``n`` shingles those that a set at ``similarity`` has, at least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _sets(words: int, similarity: float = 0, common: Broadcast | None = None):
+    """Rows (.., text) to (.., node, n, rare, set): node is a hash of the set, zero without words.
+
+    With ``common``, only the part of the set at which similar ones meet, those shingles last; rare is the share of others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes, sizes, rare, sets = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                own = shingle_set(text, words)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0)
+                sizes.append(len(own))
+                rare.append(0.0)
+                if common is not None and len(own):
+                    last = np.isin(own, common.value)
+                    rare[-1] = 1 - float(last.mean())
+                    own = np.concatenate([own[~last], own[last]])[: len(own) - _least_shared(len(own), similarity) + 1]
+                sets.append(own)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets))
+            cols = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(rare, pa.float64())]
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), flat))
+            at = batch.schema.get_field_index("text")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *cols], [*batch.schema.names[:at], "node", "n", "rare", "set"])
+
+    return run
+
+
+def _meetings(first: int, last: int, similarity: float):
+    """Rows (key, node, n, rest, root) in one order within each key: its members ``first`` to ``last`` - 1 meet all later ones.
+
+    (a, b, na, nb) of those that meet, if their roots differ and the similarity is possible when this key is the first they
+    share: then they have no more in common than the smaller ``rest``, the shingles from there on. (key, null..) of keys with
+    members that have not met all others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rank, hubs = None, 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            # the batch's first and last row may go with those before and after it
+            some = np.r_[True, same] | np.r_[same, True]
+            some[-1] = True
+            out = []
+            for key, node, n, rest, root in zip(*(c.to_numpy()[some].tolist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, rank, hubs = key, 0, []
+                for node2, n2, rest2, root2 in hubs:
+                    if root != root2 and min(rest, rest2) * (1 + similarity) + 1e-9 >= similarity * (n + n2):
+                        out.append((node2, node, n2, n))
+                if first <= rank < last:
+                    hubs.append((node, n, rest, root))
+                elif rank == last + 1:
+                    out.append((key, None, None, None))
+                rank += 1
+            cols = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb"])
+
+    return run
+
+
+def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: float) -> DataFrame:
+    """(k1, k2, doc_id, node, root) of every row: classes of the links between texts at ``similarity`` or more.
+
+    That is the Jaccard similarity of the sets of shingles; all texts without words are one class. Members of a large
+    group meet a few of it first, and those found alike by then need not meet each other.
+    """
+    spark = docs.sparkSession
+    k1, k2 = row_key(docs)
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long"), whole().alias("text"))
+    kinds = "node long, n long, rare double, set array<long>"
+    # Any order of the shingles finds all: that the common ones are those of a sample only saves meetings.
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    often = sample.mapInArrow(_sets(words), kinds).select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    often = often.where("c >= 4").orderBy(F.desc("c"), "s").limit(COMMON).select("s").toPandas()["s"]
+    common = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64)))
+    prints = rows.mapInArrow(_sets(words, similarity, common), "k1 long, k2 long, doc_id long, " + kinds)
+    prints = stages.keep(prints, "prints")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "set")))
+    nodes = stages.keep(nodes, "nodes")
+    keys = nodes.select("node", "n", "rare", F.posexplode("set").alias("at", "key"))
+    keys = keys.select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest"), "rare")
+    open_keys, roots, found, first, last = keys.withColumn("root", F.col("node")), None, None, 0, HUBS
+    while True:
+        # a group's original holds what its copies share: it comes before them
+        met = open_keys.repartition("key").sortWithinPartitions("key", "rare", "node").select("key", "node", "n", "rest", "root")
+        met = met.mapInArrow(_meetings(first, last, similarity), "a long, b long, na long, nb long")
+        met = stages.keep(met, f"met-{first}")
+        pairs = stages.keep(met.where("b is not null").distinct(), f"pairs-{first}")
+        chosen = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        chosen = nodes.join(chosen, "node").select("rep.k1", "rep.k2")
+        sets = rows.join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("text").mapInArrow(_sets(words), kinds)
+        sets = stages.keep(sets.select("node", "set"), f"sets-{first}")
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        links = both.where(shared + 1e-9 >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+        links = stages.keep(links, f"links-{first}")
+        found = links if found is None else found.union(links)
+        roots = classes(found, stages, f"stars-{first}")
+        left = keys.join(met.where("b is null").select(F.col("a").alias("key")), "key", "left_semi")
+        left = left.join(roots, "node", "left").select("key", "node", "n", "rest", "rare", F.coalesce("root", "node").alias("root"))
+        left = stages.keep(left, f"left-{first}")
+        # done with: keys whose members are all of one root, but for those too far on to be like even the smallest
+        able = left.join(left.groupBy("key").agg(F.min("n").alias("least")), "key")
+        able = able.where(F.col("rest") * (1 + similarity) + 1e-9 >= similarity * (F.col("n") + F.col("least")))
+        several = able.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        open_keys = stages.keep(left.join(several, "key", "left_semi"), f"open-{first}")
+        if open_keys.isEmpty():
+            return prints.join(roots, "node", "left").select("k1", "k2", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+        first, last = last, last * MORE
+
+
+def keep_first(
+    docs: DataFrame, stages: Stages, radius: int = RADIUS, words: int = WORDS, bits: int = BITS, similarity: float | None = None
+) -> DataFrame:
+    """``docs`` with one row of each class: the smallest doc_id (nulls last; ties: by a hash of the text, then any).
+
+    With a ``similarity``, classes are those of ``similar_copies``; else they are linked by fingerprints.
+    """
+    if similarity is None:
+        found = near_duplicates(docs, stages, radius, words, bits)
+    else:
+        found = similar_copies(docs, stages, words, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("f")).select("f.k1", "f.k2")
     k1, k2 = row_key(docs)
     names = ("_llm_k1", "_llm_k2")
