@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from mediaops.llm.common import Stages, row_key, slices, whole
 
-WINDOW = 2
+# A line alone is a run: every later copy of a line goes, whatever its length and its neighbours.
+WINDOW = 1
 
 
 def line_hashes(text: str) -> tuple[list[int], np.ndarray]:

@@ -132,6 +132,37 @@ def test_near_copies_by_similarity(spark):
     assert sum(10 * g + 1 not in kept for g in range(60)) >= 0.9 * similar
 
 
+@pytest.mark.parametrize("hubs", [1, 4])
+def test_similar_copies_are_those_counted(spark, monkeypatch, hubs):
+    monkeypatch.setattr(simhash, "HUBS", hubs)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(2000)]
+    rows = [(9000, None), (9001, " \n"), (9002, "One  two"), (9003, "one two"), (9004, "one two three")]
+    for group in range(40):
+        own = rng.choices(vocabulary, k=rng.randint(8, 200))
+        for copy in range(12 if group < 3 else 2):
+            other = list(own)
+            for _ in range(copy and round(len(own) * rng.uniform(0.01, 0.04))):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            # a passage at the end of all that makes no copies
+            rows.append((100 * group + copy, " ".join(other + vocabulary[: 10 if group % 2 else 0])))
+    # repeated shingles count once: much of one, but little of the set
+    rows += [(9100 + i, "again " * 100 + " ".join(rng.choices(vocabulary, k=30))) for i in range(3)]
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    up = list(range(len(rows)))
+    close = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            close += 0.75 <= shared / len(sets[i] | sets[j]) < 0.85
+            if 10 * shared >= 8 * len(sets[i] | sets[j]):
+                up = [up[j] if x == up[i] else x for x in up]
+    want = {min(i for (i, _), u in zip(rows, up, strict=True) if u == v) for v in set(up)}
+    kept = {r.doc_id for r in simhash.keep_first(frame(spark, rows), stages(spark), **simhash.SIMILAR).collect()}
+    assert close >= 20 and kept == want
+
+
 # --- Huffman -------------------------------------------------------------------------------------------
 
 
@@ -517,6 +548,13 @@ def test_repeated_lines(spark, docs, window):
     assert lines.remove_later_runs(frame(spark, []), stages(spark)).count() == 0
 
 
+def test_single_lines(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\nd"), (3, long), (4, "e\n\nb"), (5, "one line"), (6, "one line "), (7, "f\nf")]
+    found = {r.doc_id: (r._llm_kept, r._llm_gone) for r in lines.remove_later_runs(frame(spark, rows), stages(spark)).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("c\nd", 1), 3: ("", 1), 4: ("e\n", 1), 5: ("one line", 0), 6: ("", 1), 7: ("f", 1)}
+
+
 # --- fingerprints --------------------------------------------------------------------------------------
 
 
