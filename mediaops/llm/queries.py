@@ -1,4 +1,4 @@
-"""The ten operators on the given tables, one query each."""
+"""The operators on training text on the given tables, one query each, and DuckDB statements where SQL has them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaops.llm import huffman, licenses, lines, pieces, prints, private, simhash, suffixes, templates, toxicity
+from mediaops.llm import (
+    huffman,
+    licenses,
+    lines,
+    manifest,
+    pieces,
+    prints,
+    private,
+    quality,
+    ranked,
+    simhash,
+    statements,
+    suffixes,
+    templates,
+    toxicity,
+)
 from mediaops.llm.common import Stages
 from mediaops.session import configure
 
@@ -90,3 +105,24 @@ def _lines(spark, stages, table):
 @query("op10_fingerprints")
 def _prints(spark, stages, table):
     return prints.compare_with_edits(table("documents"), stages)
+
+
+@query("op11_quality_ratio")
+def _quality(spark, stages, table):
+    found = quality.judge(table("documents").select("doc_id", "text"), table("labels"), stages)
+    return found.drop("text")
+
+
+@query("op12_merkle_manifest")
+def _manifest(spark, stages, table):
+    found = manifest.manifest(table("documents"), stages)
+    return found.withColumn("n_copied", F.size(F.coalesce("version", F.array().cast("array<binary>"))).cast("long")).drop("version")
+
+
+@query("op13_ranked_search")
+def _ranked(spark, stages, table):
+    return ranked.search(table("documents"), table("benchmark"), stages)
+
+
+ORACLES["op12_merkle_manifest"] = statements.MANIFEST
+ORACLES["op13_ranked_search"] = statements.RANKED
