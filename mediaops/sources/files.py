@@ -21,6 +21,12 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file that says a step is done; its folders are made."""
+    store, place = _store(spark, path)
+    store.create(place, True).close()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where there is no folder."""
     store, place = _store(spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from mediaops import schemas
 from mediaops.operators.inventory import clean_listing
+from mediaops.sources.changes import read_rows, versions
 
 
 def read_inventory(spark: SparkSession, path: str, prefix: str = "", format: str = "parquet", bucket: str = "") -> DataFrame:
@@ -41,9 +42,9 @@ def read_inventory(spark: SparkSession, path: str, prefix: str = "", format: str
 
 
 def read_ledger(spark: SparkSession, path: str, kind: str = "copy") -> DataFrame:
-    """Task rows with the fixed schema of their kind: copy, download or merge."""
+    """Task rows with the fixed schema of their kind: copy, download or merge, changes folded in."""
     fields = ", ".join(s.strip() for s in schemas.TASKS[kind].split(","))
-    return spark.read.schema(fields).parquet(path)
+    return read_rows(spark, path, fields) if versions(spark, path) else spark.read.schema(fields).parquet(path)
 
 
 ZERO_TIME = "0001-01-01T00:00:00Z"

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops.functions import columns as C
-from mediaops.sources.files import exists, remove
+from mediaops.sources import changes
+from mediaops.sources.files import exists, mark, names
 
 IDS_PER_BUCKET = 50_000
 BUCKETS = 1024
+# Upserts between two compactions.
+VERSIONS = 16
 
 
 def with_bucket(df: DataFrame, ids_per_bucket: int = IDS_PER_BUCKET, buckets: int = BUCKETS) -> DataFrame:
-    """Folder of a task: its job and id range, dealt over a bounded number of folders.
+    """Folder of a task: its job and id range, dealt over a bounded number of folders; never null.
 
-    A job's neighbouring ids share a folder; jobs lie apart although the ids of each start at one.
+    A job's neighbouring ids share a folder; jobs lie apart although the ids of each start at one. Rows
+    without an id lie with the job's first.
     """
-    spot = F.coalesce("job_id", F.lit(0)) * 31 + C.int_div("id", ids_per_bucket)
+    spot = F.coalesce("job_id", F.lit(0)) * 31 + C.int_div(F.coalesce("id", F.lit(0)), ids_per_bucket)
     return df.withColumn("bucket", F.pmod(spot, F.lit(buckets)).cast("long"))
 
 
@@ -28,10 +33,12 @@ def write_ledger(
 ) -> None:
     """Ledger by job and id range (K1), sorted by job and id so that job filters skip row groups.
 
-    An overwrite replaces the whole ledger. Range partitioning splits a bucket that one huge job
-    fills, and keeps the number of files near tasks plus buckets.
+    An overwrite replaces the whole ledger, changes beside it included. Range partitioning splits a
+    bucket that one huge job fills, and keeps the number of files near tasks plus buckets.
     """
     _write_buckets(with_bucket(df, ids_per_bucket, buckets), path, mode, "static")
+    if mode == "overwrite":
+        changes.forget(df.sparkSession, path)
 
 
 def _write_buckets(df: DataFrame, path: str, mode: str, replaced: str) -> None:
@@ -51,34 +58,50 @@ def upsert_ledger(
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     stage: str,
     ids_per_bucket: int = IDS_PER_BUCKET,
-    stored: DataFrame | None = None,
+    schema: str | None = None,
     before: Callable[[DataFrame, DataFrame], None] | None = None,
     buckets: int = BUCKETS,
+    versions: int = VERSIONS,
 ) -> None:
-    """Apply ``merge(ledger, batch)`` to the stored ledger, rewriting only the buckets touched (K2).
-
-    The merged buckets are written to ``stage`` first and then replace the stored ones in one
-    dynamic partition overwrite; buckets the merge has emptied are removed after it. A run that is
-    repeated with the same stage (same batch of the same stream) after a failure finishes the swap
-    from the stage instead of merging twice. ``before`` sees the touched rows and the batch ahead of
-    the merge, under the same guarantee. ``batch`` needs ``job_id`` and ``id``.
+    """Apply ``merge(rows, batch)`` to the stored rows of the batch's keys (K2), writing only what it changes.
+
+    The folders that hold the keys are read, no other; the merged rows go beside the ledger as one more
+    version, a key that the merge leaves out as gone. ``changes.read_rows`` folds them in, and after
+    ``versions`` of them ``compact_ledger`` does so for good. A run that is repeated with the same
+    stage (same batch of the same stream) writes the same version again, or nothing where it was
+    finished. ``before`` sees the rows and the batch ahead of the merge, under the same guarantee.
+    ``batch`` needs ``job_id`` and ``id``; ``schema`` is needed where no ledger is stored yet.
     """
     spark = batch.sparkSession
-    if not exists(spark, f"{stage}/done/_SUCCESS"):
-        stored = spark.read.parquet(path) if stored is None else stored
-        touched = with_bucket(batch.select("job_id", "id"), ids_per_bucket, buckets).select("bucket").distinct()
-        touched.write.mode("overwrite").parquet(f"{stage}/touched")
-        touched = spark.read.schema("bucket long").parquet(f"{stage}/touched")
-        current = stored.join(touched, "bucket", "left_semi").drop("bucket")
+    if exists(spark, f"{stage}/done"):
+        return
+    stored = changes.versions(spark, path)
+    begun = [int(n.removeprefix("version-")) for n in names(spark, stage) if n.startswith("version-")]
+    version = begun[0] if begun else max(stored, default=0) + 1
+    if not begun:
+        mark(spark, f"{stage}/version-{version}")
+    if version not in stored:
+        schema = changes.ledger_schema(spark, path, schema)
+        keys = with_bucket(batch.select("job_id", "id"), ids_per_bucket, buckets).distinct()
+        touched = [r.bucket for r in keys.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        found = changes.read_rows(spark, path, schema, version, touched, keep_bucket=True)
+        found.join(keys, changes.same_keys(found, keys), "left_semi").write.mode("overwrite").parquet(f"{stage}/current")
+        old = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.LongType())])).parquet(f"{stage}/current")
+        current = old.drop("bucket")
         if before is not None:
             before(current, batch)
-        merge(current, batch).write.mode("overwrite").parquet(f"{stage}/rows")
-        spark.range(1).write.mode("overwrite").parquet(f"{stage}/done")
-    rows = with_bucket(spark.read.parquet(f"{stage}/rows"), ids_per_bucket, buckets)
-    _write_buckets(rows, path, "overwrite", "dynamic")
-    touched = spark.read.schema("bucket long").parquet(f"{stage}/touched")
-    for row in touched.join(rows.select("bucket"), "bucket", "left_anti").collect():  # at most ``buckets`` numbers
-        remove(spark, f"{path}/bucket={row.bucket}")
+        merge(current, batch).select(*schema.names).write.mode("overwrite").parquet(f"{stage}/rows")
+        rows = with_bucket(spark.read.schema(schema).parquet(f"{stage}/rows"), ids_per_bucket, buckets)
+        gone = old.join(rows, changes.same_keys(old, rows), "left_anti").withColumn("gone", F.lit(True))
+        changes.put_version(rows.withColumn("gone", F.lit(False)).unionByName(gone), path, version)
+    if len(changes.versions(spark, path)) >= versions:
+        compact_ledger(spark, path, f"{stage}/compact", schema=schema)
+    mark(spark, f"{stage}/done")
+
+
+def compact_ledger(spark: SparkSession, path: str, stage: str, share: float = changes.SHARE, schema: str | None = None) -> None:
+    """Fold the changes beside a ledger into the folders where they are more than ``share`` of the rows."""
+    changes.compact(spark, path, stage, lambda rows: _write_buckets(rows, path, "overwrite", "dynamic"), share, schema)
 
 
 def write_rejects(errors: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -13,7 +13,7 @@ from mediaops.operators import ledger, merges
 from mediaops.operators.ordered import carry_last
 from mediaops.sources.files import names
 from mediaops.sources.sinks import IDS_PER_BUCKET, upsert_ledger
-from mediaops.streaming.run import read_stages, read_table, run_batches, write_stage
+from mediaops.streaming.run import read_stage, read_stages, run_batches, write_stage
 from mediaops.streaming.state import ANSWER, KEY, TOKENS, judge_messages
 
 WATERMARK = "10 minutes"
@@ -66,7 +66,6 @@ def follow_tasks(
 
     The moves are handed over before the state advances, so a repeated batch sees the same moves.
     """
-    spark = events.sparkSession
     path = path.rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -76,7 +75,7 @@ def follow_tasks(
             _latest_seen,
             f"{path}/stage/batch={batch_id}",
             ids_per_bucket,
-            stored=read_table(spark, f"{path}/seen", SEEN + ", bucket long"),
+            schema=SEEN,
             before=lambda current, rows: also(batch_moves(current, rows), batch_id),
         )
 
@@ -118,26 +117,21 @@ def stream_fenced_state(
 ) -> DataFrame:
     """Latest task state under run-token fencing (T7): an answer per message, split by ``accepted``.
 
-    Tokens and states are kept by id range, and only ranges a batch touches are rewritten. No
-    watermark applies: late messages are judged, not dropped.
+    A batch is judged once; tokens and states follow from its answers and are written beside those kept by
+    id range. No watermark applies: late messages are judged, not dropped.
     """
     spark = messages.sparkSession
     path = path.rstrip("/")
 
-    def advance(current: DataFrame, batch: DataFrame) -> DataFrame:
-        last = ledger.latest_update(judge_messages(current, batch).select(*KEY, "seq", "run_token", "status"), KEY)
-        return current.join(last.select(*KEY), KEY, "left_anti").unionByName(last.drop("seq"))
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        upsert_ledger(
-            batch,
-            f"{path}/tokens",
-            advance,
-            f"{path}/stage/batch={batch_id}",
-            ids_per_bucket,
-            stored=read_table(spark, f"{path}/tokens", TOKENS + ", bucket long"),
-            before=lambda current, rows: write_stage(judge_messages(current, rows), f"{path}/out", batch_id),
-        )
+        def answer(current: DataFrame, rows: DataFrame) -> None:
+            write_stage(judge_messages(current, rows), f"{path}/out", batch_id)
+
+        def advance(current: DataFrame, rows: DataFrame) -> DataFrame:
+            answers = read_stage(spark, f"{path}/out", batch_id, ANSWER)
+            return ledger.latest_update(answers.select(*KEY, "seq", "run_token", "status"), KEY).drop("seq")
+
+        upsert_ledger(batch, f"{path}/tokens", advance, f"{path}/stage/batch={batch_id}", ids_per_bucket, schema=TOKENS, before=answer)
 
     run_batches(messages.select(*KEY, "seq", "kind", "run_token", "status"), handle, path, checkpoint)
     return read_stages(spark, f"{path}/out", ANSWER)
@@ -229,8 +223,9 @@ def stream_upsert(
 ) -> None:
     """Apply each micro-batch of updates to the stored ledger (T10), idempotent by batch id.
 
-    Only the buckets a batch touches are rewritten; ``ids_per_bucket`` must be the ledger's. Stages and
-    the checkpoint lie below ``stage_root``: a later run with the same root takes up new updates only.
+    A batch writes the rows it changes beside the ledger; ``ids_per_bucket`` must be the ledger's and
+    ``changes.read_rows`` reads it. Stages and the checkpoint lie below ``stage_root``: a later run with
+    the same root takes up new updates only.
     """
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:

@@ -90,11 +90,6 @@ def read_stages(spark: SparkSession, path: str, schema: str, before: int | None
     return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, empty while it does not exist yet."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
 Step = Callable[[DataFrame, DataFrame, object], tuple[DataFrame, DataFrame]]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from mediaops.operators import errors, formats, intake, ledger, parts, reconcile
 from mediaops.operators import inventory as inv
 from mediaops.plans import reports
-from mediaops.sources import readers, sinks
 from mediaops.session import shared_dir
+from mediaops.sources import changes, readers, sinks
+from mediaops.sources.files import remove
 
 MIB = 1 << 20
 
@@ -264,7 +266,7 @@ def test_ledger_layout_and_upsert(spark):
     batch = spark.createDataFrame([(1, 5, "+"), (1, 95, "+")], "job_id long, id long, status string")
     for _ in range(2):
         sinks.upsert_ledger(batch, path, merge, stage, ids_per_bucket=10)
-    out = spark.read.parquet(path)
+    out = changes.read_rows(spark, path)
     assert out.count() == 100
     assert sorted(one(out.filter("status <> 'PENDING'"), "id", "status")) == [(5, "PENDING+"), (95, "PENDING+")]
 
@@ -283,9 +285,84 @@ def test_ledger_forgets_what_is_gone(spark):
     for _ in range(2):
         stage = shared_dir(spark, "stage")
         sinks.upsert_ledger(gone, path, lambda cur, new: cur.join(new, ["job_id", "id"], "left_anti"), stage)
+        assert sorted(one(changes.read_rows(spark, path), "job_id", "id")) == [(1, 2), (2, 1)]
+    sinks.compact_ledger(spark, path, shared_dir(spark, "stage"))
     assert sorted(one(spark.read.parquet(path), "job_id", "id")) == [(1, 2), (2, 1)]
 
 
+def ledger_rows(spark, *rows):
+    return spark.createDataFrame(rows, "job_id long, id long, status string")
+
+
+def put(current, batch):
+    """The batch's rows instead of the stored ones; a status of '-' removes the row."""
+    kept = current.join(batch, (current.job_id.eqNullSafe(batch.job_id)) & (current.id.eqNullSafe(batch.id)), "left_anti")
+    return kept.unionByName(batch.filter("status <> '-'"))
+
+
+def test_upsert_keeps_rows_without_ids(spark):
+    path = shared_dir(spark, "ledger")
+    sinks.write_ledger(ledger_rows(spark, (1, None, "a"), (1, None, "b"), (None, 4, "c"), (2, 1, "d")), path)
+    sinks.upsert_ledger(ledger_rows(spark, (2, None, "e")), path, lambda cur, new: cur.unionByName(new), shared_dir(spark, "stage"))
+    want = [(1, None, "a"), (1, None, "b"), (2, None, "e"), (2, 1, "d"), (None, 4, "c")]
+    assert sorted(map(str, changes.read_rows(spark, path).collect())) == sorted(map(str, ledger_rows(spark, *want).collect()))
+    sinks.compact_ledger(spark, path, shared_dir(spark, "stage"), share=0)
+    assert sorted(map(str, spark.read.parquet(path).drop("bucket").collect())) == sorted(map(str, ledger_rows(spark, *want).collect()))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 9.0])
+def test_compaction_changes_no_row(spark, share):
+    """Random upserts, compactions between them, against a dictionary; what is written follows the batch."""
+    rng, path = random.Random(int(share)), shared_dir(spark, "ledger")
+    want = {(j, i): "s" for j in (1, 2) for i in range(1, 61)}
+    sinks.write_ledger(ledger_rows(spark, *((*k, v) for k, v in want.items())), path, ids_per_bucket=10)
+    for n in range(5):
+        keys = [(rng.randint(1, 3), rng.randint(1, 70)) for _ in range(rng.randint(1, 12))]
+        batch = {k: rng.choice([f"u{n}", f"w{n}", "-"]) for k in keys}
+        sinks.upsert_ledger(ledger_rows(spark, *((*k, v) for k, v in batch.items())), path, put, shared_dir(spark, "stage"), ids_per_bucket=10)
+        want = {k: v for k, v in {**want, **batch}.items() if v != "-"}
+        newest = changes.versions(spark, path)[-1]
+        assert spark.read.parquet(f"{path}-changes/version={newest}").count() <= len(batch)
+        if n % 2:
+            stage = shared_dir(spark, "stage")
+            for _ in range(2):
+                sinks.compact_ledger(spark, path, stage, share)
+            assert len(changes.versions(spark, path)) == 1
+        assert {(r.job_id, r.id): r.status for r in changes.read_rows(spark, path).collect()} == want
+        assert changes.read_rows(spark, path).count() == len(want)
+    if share == 0:
+        assert {(r.job_id, r.id): r.status for r in spark.read.parquet(path).collect()} != {} and changes.versions(spark, path)
+
+
+def test_upserts_compact_by_themselves(spark):
+    path = shared_dir(spark, "ledger")
+    sinks.write_ledger(ledger_rows(spark, *((1, i, "s") for i in range(9))), path)
+    for n in range(4):
+        sinks.upsert_ledger(ledger_rows(spark, (1, n, f"u{n}")), path, put, shared_dir(spark, "stage"), versions=2)
+        assert len(changes.versions(spark, path)) <= 2
+    assert sorted(one(changes.read_rows(spark, path), "id", "status")) == [(i, f"u{i}" if i < 4 else "s") for i in range(9)]
+
+
+def test_an_interrupted_upsert_is_written_once(spark):
+    """A run that fails after the merge, or before its mark, and is run again with the same stage."""
+    path, stage = shared_dir(spark, "ledger"), shared_dir(spark, "stage")
+    sinks.write_ledger(ledger_rows(spark, (1, 1, "s"), (1, 2, "s")), path)
+
+    def add(current, batch):
+        return current.withColumn("status", F.concat("status", F.lit("+")))
+
+    def fails(current, batch):
+        raise RuntimeError
+
+    batch = ledger_rows(spark, (1, 1, "x"))
+    with pytest.raises(RuntimeError):
+        sinks.upsert_ledger(batch, path, fails, stage)
+    for _ in range(3):
+        sinks.upsert_ledger(batch, path, add, stage)
+        remove(spark, f"{stage}/done")
+    assert sorted(one(changes.read_rows(spark, path), "id", "status")) == [(1, "s+"), (2, "s")]
+
+
 def test_source_failures_by_stage(spark):
     code = "<Error><Code>AccessDenied</Code></Error>"
     rows = [

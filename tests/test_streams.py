@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mediaops.operators import ledger, merges
 from mediaops.session import shared_dir
-from mediaops.sources import sinks
+from mediaops.sources import changes, sinks
 from mediaops.streaming import jobs as sj
 from mediaops.streaming import state as ss
 
@@ -145,7 +145,7 @@ def test_upsert_equals_batch_merge(spark, feeds):
     sinks.write_ledger(base, path, ids_per_bucket=2)
     sj.stream_upsert(pieces(), path, stage, ids_per_bucket=2)
     want, _ = merges.merge_fenced(base, spark.createDataFrame(data, SCHEMA))
-    got = spark.read.parquet(path).select(*base.columns)
+    got = changes.read_rows(spark, path).select(*base.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
@@ -254,7 +254,7 @@ def test_upsert_takes_up_new_updates(spark, feeds):
     sinks.write_ledger(base, path, ids_per_bucket=2)
     in_two_runs(spark, data, lambda e, p: sj.stream_upsert(e, path, p, ids_per_bucket=2))
     want, _ = merges.merge_fenced(base, spark.createDataFrame(data, SCHEMA))
-    assert sorted(map(str, spark.read.parquet(path).select(*base.columns).collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, changes.read_rows(spark, path).select(*base.columns).collect())) == sorted(map(str, want.collect()))
 
 
 def test_a_path_refuses_another_checkpoint(spark, feeds):

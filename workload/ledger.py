@@ -221,8 +221,8 @@ FENCE = """with t as (select l.job_id, l.id, coalesce(nullif(l.run_token, ''), (
     u as (select e.*, t.force, e.run_token in ('', t.force) as ok from v_task_events e join t on t.job_id = e.job_id and t.id = e.task_id)"""
 
 
-@query(
-    "m2_merge_fenced",
+# Each task after all its accepted updates.
+MERGED = (
     FENCE
     + """, f as (select job_id, task_id, any_value(force) as force, arg_max(status, seq) as status,
         arg_max(error_message, seq) as error, arg_max(size, seq) filter (size > 0) as size,
@@ -232,9 +232,11 @@ FENCE = """with t as (select l.job_id, l.id, coalesce(nullif(l.run_token, ''), (
     select l.job_id, l.id, coalesce(f.status, l.status) as status, coalesce(force, run_token) as run_token,
       coalesce(error, error_message) as error_message, coalesce(f.size, l.size) as size, coalesce(worker, worker_id) as worker_id,
       @us(coalesce(started_at, started)) as started_at, @us(coalesce(completed_at, ended)) as completed_at,
-      @us(coalesce(touched, updated_at)) as updated_at
-    from v_event_ledger l left join f on f.job_id = l.job_id and f.task_id = l.id""",
+      @us(coalesce(touched, updated_at)) as updated_at"""
 )
+
+
+@query("m2_merge_fenced", MERGED + " from v_event_ledger l left join f on f.job_id = l.job_id and f.task_id = l.id")
 def _(v):
     updates = v.task_events.withColumnRenamed("task_id", "id")
     merged, _ = merges.merge_fenced(v.event_ledger, updates)

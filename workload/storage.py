@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from mediaops.operators import intake, merges
 from mediaops.operators import inventory as inv
 from mediaops.session import shared_dir
-from mediaops.sources import readers, sinks
+from mediaops.sources import changes, readers, sinks
 from workload.inventory import NEW
-from workload.ledger import FENCE
+from workload.ledger import MERGED
 from workload.intake import VALID
 from workload.registry import JOBS_NOW, query
 
+# The columns that a merge doesn't touch.
+WHOLE = """, src, audio_url, video_url, @us(created_at) as created_at
+    from v_event_ledger l left join f on f.job_id = l.job_id and f.task_id = l.id"""
+
 TASK = """id, job_id, src, size, run_token, status, error_message, worker_id, @us(started_at) as started_at,
   @us(completed_at) as completed_at, @us(created_at) as created_at, @us(updated_at) as updated_at"""
 
@@ -40,10 +44,7 @@ def _(v):
 
 @query(
     "k2_upsert_ledger",
-    FENCE
-    + """, f as (select job_id, task_id, arg_max(status, seq) as status, arg_max(error_message, seq) as error from u where ok group by 1, 2)
-    select l.job_id, l.id, coalesce(f.status, l.status) as status, coalesce(error, error_message) as error_message
-    from v_event_ledger l left join f on f.job_id = l.job_id and f.task_id = l.id""",
+    MERGED + WHOLE,
 )
 def _(v):
     path, stage = shared_dir(v.spark, "ledger"), shared_dir(v.spark, "upsert")
@@ -51,7 +52,7 @@ def _(v):
     updates = v.task_events.withColumnRenamed("task_id", "id")
     for _ in range(2):  # the repeated run finds its stage finished and changes nothing
         sinks.upsert_ledger(updates, path, lambda cur, new: merges.merge_fenced(cur, new)[0], stage, ids_per_bucket=30)
-    return v.spark.read.parquet(path).select("job_id", "id", "status", "error_message")
+    return changes.read_rows(v.spark, path)
 
 
 @query(

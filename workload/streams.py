@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediaops.session import shared_dir
-from mediaops.sources import sinks
+from mediaops.sources import changes, sinks
 from mediaops.streaming import jobs as sj
 from mediaops.streaming import state as ss
 from mediaops.streaming.run import run_available
 from workload.inventory import SIDES
-from workload.ledger import COPY_BUCKET, FENCE, SUCCESS, delta_sql
+from workload.ledger import COPY_BUCKET, MERGED, SUCCESS, delta_sql
 from workload.registry import JOBS_NOW, query
+from workload.storage import WHOLE
 from workload.views import Views
 
 
@@ -207,18 +208,14 @@ def _(v):
 
 @query(
     "t10_stream_upsert",
-    FENCE
-    + """, f as (select job_id, task_id, any_value(force) as force, arg_max(status, seq) as status, arg_max(size, seq) filter (size > 0) as size
-      from u where ok group by 1, 2)
-    select l.job_id, l.id, coalesce(f.status, l.status) as status, coalesce(force, run_token) as run_token, coalesce(f.size, l.size) as size
-    from v_event_ledger l left join f on f.job_id = l.job_id and f.task_id = l.id""",
+    MERGED + WHOLE,
 )
 def _(v):
     path, stage = shared_dir(v.spark, "ledger"), shared_dir(v.spark, "upsert")
     sinks.write_ledger(v.event_ledger, path, ids_per_bucket=20)
     updates = streamed(v, "events").task_events.withColumnRenamed("task_id", "id")
     sj.stream_upsert(updates, path, stage, ids_per_bucket=20)
-    return v.spark.read.parquet(path).select("job_id", "id", "status", "run_token", "size")
+    return changes.read_rows(v.spark, path)
 
 
 @query(
