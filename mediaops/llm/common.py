@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.session import shared_dir
+from mediaops.sources.files import remove
 
 
 class Stages:
@@ -24,6 +25,11 @@ class Stages:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *written: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in written:
+            remove(self.spark, f"{self.folder}/{name}")
+
 
 def whole(text: str | Column = "text") -> Column:
     """The text, an empty one where it is null."""
@@ -75,3 +81,4 @@ def classes(edges: DataFrame, stages: Stages, name: str = "stars") -> DataFrame:
         met = large.join(least, "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stages.keep(small.union(met.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
+        stages.drop(f"{name}-{step - 1}")

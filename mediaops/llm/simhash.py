@@ -34,6 +34,8 @@ TREE = 4096
 HUBS, MORE = 4, 4
 # One document in so many is looked at for common shingles, at most so many of which come last in the order.
 SAMPLE, COMMON = 16, 200_000
+# So many keys of documents (16 bytes each) are broadcast; more are met by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _BLOCK = 2
 _SEED = 42
 _VOTES = 1 << 16
@@ -210,7 +212,8 @@ def _least_shared(n: int, similarity: float) -> int:
 def _sets(words: int, similarity: float = 0, common: Broadcast | None = None):
     """Rows (.., text) to (.., node, n, rare, set): node is a hash of the set, zero without words.
 
-    With ``common``, only the part of the set at which similar ones meet, those shingles last; rare is the share of others.
+    With ``common``, only the part of the set at which similar ones meet, those shingles last; rare is the share of others
+    in hundredths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +223,15 @@ def _sets(words: int, similarity: float = 0, common: Broadcast | None = None):
                 own = shingle_set(text, words)
                 nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0)
                 sizes.append(len(own))
-                rare.append(0.0)
+                rare.append(0)
                 if common is not None and len(own):
                     last = np.isin(own, common.value)
-                    rare[-1] = 1 - float(last.mean())
+                    rare[-1] = round(100 - 100 * float(last.mean()))
                     own = np.concatenate([own[~last], own[last]])[: len(own) - _least_shared(len(own), similarity) + 1]
                 sets.append(own)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = pa.array(np.concatenate(sets))
-            cols = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(rare, pa.float64())]
+            cols = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32())]
             cols.append(pa.ListArray.from_arrays(pa.array(ends), flat))
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *cols], [*batch.schema.names[:at], "node", "n", "rare", "set"])
@@ -236,6 +239,17 @@ def _sets(words: int, similarity: float = 0, common: Broadcast | None = None):
     return run
 
 
+def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of their key those whose key comes more than once (and some at the ends of batches)."""
+    for batch in batches:
+        if batch.num_rows:
+            keys = batch.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            some = np.r_[True, same] | np.r_[same, True]
+            some[-1] = True  # the batch's first and last row may go with those before and after it
+            yield batch.filter(pa.array(some))
+
+
 def _meetings(first: int, last: int, similarity: float):
     """Rows (key, node, n, rest, root) in one order within each key: its members ``first`` to ``last`` - 1 meet all later ones.
 
@@ -249,13 +263,8 @@ def _meetings(first: int, last: int, similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            same = keys[1:] == keys[:-1]
-            # the batch's first and last row may go with those before and after it
-            some = np.r_[True, same] | np.r_[same, True]
-            some[-1] = True
             out = []
-            for key, node, n, rest, root in zip(*(c.to_numpy()[some].tolist() for c in batch.columns), strict=True):
+            for key, node, n, rest, root in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
                 if key != now:
                     now, rank, hubs = key, 0, []
                 for node2, n2, rest2, root2 in hubs:
@@ -281,7 +290,12 @@ def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: floa
     spark = docs.sparkSession
     k1, k2 = row_key(docs)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long"), whole().alias("text"))
-    kinds = "node long, n long, rare double, set array<long>"
+    kinds = "node long, n int, rare int, set array<long>"
+
+    def some(df: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
+        """Rows of ``df`` with the keys in ``chosen``: broadcast up to a number of rows, else by a shuffle."""
+        return df.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, by, "left_semi")
+
     # Any order of the shingles finds all: that the common ones are those of a sample only saves meetings.
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     often = sample.mapInArrow(_sets(words), kinds).select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
@@ -290,9 +304,15 @@ def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: floa
     prints = rows.mapInArrow(_sets(words, similarity, common), "k1 long, k2 long, doc_id long, " + kinds)
     prints = stages.keep(prints, "prints")
     nodes = prints.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "set")))
-    nodes = stages.keep(nodes, "nodes")
-    keys = nodes.select("node", "n", "rare", F.posexplode("set").alias("at", "key"))
-    keys = keys.select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest"), "rare")
+    keys = nodes.select("node", "n", "rare", "rep", F.posexplode("set").alias("at", "key"))
+    keys = keys.select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest"), "rare", "rep.k1", "rep.k2")
+    # Most shingles stand alone and move this once only.
+    met = keys.repartition("key").sortWithinPartitions("key")
+    kinds_of_key = "key long, node long, n int, rest int, rare int, k1 long, k2 long"
+    keys = stages.keep(met.mapInArrow(_met_twice, kinds_of_key), "keys")
+    chosen = keys.select("k1", "k2").distinct()
+    sets = some(rows, chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text").mapInArrow(_sets(words), kinds)
+    sets = stages.keep(sets.select("node", "set"), "sets")
     open_keys, roots, found, first, last = keys.withColumn("root", F.col("node")), None, None, 0, HUBS
     while True:
         # a group's original holds what its copies share: it comes before them
@@ -301,10 +321,8 @@ def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: floa
         met = stages.keep(met, f"met-{first}")
         pairs = stages.keep(met.where("b is not null").distinct(), f"pairs-{first}")
         chosen = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        chosen = nodes.join(chosen, "node").select("rep.k1", "rep.k2")
-        sets = rows.join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("text").mapInArrow(_sets(words), kinds)
-        sets = stages.keep(sets.select("node", "set"), f"sets-{first}")
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        own = some(sets, chosen, ["node"])
+        both = pairs.join(own.toDF("a", "set_a"), "a").join(own.toDF("b", "set_b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         links = both.where(shared + 1e-9 >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b")
         links = stages.keep(links, f"links-{first}")
@@ -317,8 +335,10 @@ def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: floa
         able = left.join(left.groupBy("key").agg(F.min("n").alias("least")), "key")
         able = able.where(F.col("rest") * (1 + similarity) + 1e-9 >= similarity * (F.col("n") + F.col("least")))
         several = able.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        open_keys = stages.keep(left.join(several, "key", "left_semi"), f"open-{first}")
+        before, open_keys = f"open-{last}", stages.keep(left.join(several, "key", "left_semi"), f"open-{last * MORE}")
+        stages.drop(f"met-{first}", f"pairs-{first}", f"left-{first}", before)
         if open_keys.isEmpty():
+            stages.drop("keys", "sets")
             return prints.join(roots, "node", "left").select("k1", "k2", "doc_id", "node", F.coalesce("root", "node").alias("root"))
         first, last = last, last * MORE
 

@@ -513,8 +513,8 @@ def test_every_near_notice_is_found():
 # --- repeated lines ------------------------------------------------------------------------------------
 
 
-def plain_lines(rows, window):
-    seen, out = {}, {}
+def plain_lines(rows, window, long, often):
+    seen, alone, count, out = {}, {}, Counter(), {}
     keyed = sorted(rows, key=lambda r: (r[0] or 0, r[2]))
     for key in (False, True):
         for i, text, k2 in keyed:
@@ -522,37 +522,51 @@ def plain_lines(rows, window):
             numbers = [n for n, x in enumerate(own) if x.strip()]
             words = [own[n].strip() for n in numbers]
             dead = set()
-            for at in range(len(words) - window + 1):
+            for at in range(len(words)):
+                here, line = (i or 0, k2, at), words[at]
                 run = tuple(words[at : at + window])
                 if not key:
-                    seen.setdefault(run, (i or 0, k2, at))
-                elif seen[run] < (i or 0, k2, at):
+                    seen.setdefault(run, here)
+                    alone.setdefault(line, here)
+                    count[line] += 1
+                    continue
+                if len(run) == window and seen[run] < here:
                     dead |= {numbers[at + j] for j in range(window)}
+                if alone[line] < here and (len(line.split()) >= long or count[line] >= often):
+                    dead.add(numbers[at])
             out[i, text] = "\n".join(x for n, x in enumerate(own) if n not in dead)
     return out
 
 
-@pytest.mark.parametrize("window", [2, 3])
-def test_repeated_lines(spark, docs, window):
+def with_hash(df):
+    text = F.coalesce("text", F.lit(""))
+    return [tuple(r) for r in df.select("doc_id", text.alias("t"), F.xxhash64(F.col("doc_id").isNull(), text)).collect()]
+
+
+@pytest.mark.parametrize("window,long,often", [(lines.WINDOW, lines.LONG, lines.OFTEN), (3, 999, 9999), (2, 4, 9999), (4, 999, 5), (1, 1, 1)])
+def test_repeated_lines(spark, docs, window, long, often):
     rng = random.Random(window)
-    more = [(300 + i, "\n".join(rng.choices(["p", "q ", "r", "", "s", "t"], k=rng.randint(1, 9)))) for i in range(60)]
+    letters = ["p", "q ", "r", "", "s", "t", "u v w x", " ".join("abcdefghijklmnopqrstuvwxyz")]
+    more = [(300 + i, "\n".join(rng.choices(letters, k=rng.randint(1, 9)))) for i in range(60)]
+    more += [(370 + i, f"x{i // 2}\ny{i}") for i in range(20)]
     rows = docs + more + [(400, "\n".join(t for _, t in docs[:6]))]
     df = frame(spark, rows)
-    found = lines.remove_later_runs(df, stages(spark), window)
+    found = lines.remove_later_runs(df, stages(spark), window, long, often)
     assert found.columns[: len(df.columns)] == df.columns
-    keys = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))).collect()
-    want = plain_lines([tuple(k) for k in keys], window)
-    for r in found.collect():
+    want = plain_lines(with_hash(df), window, long, often)
+    found = found.collect()
+    for r in found:
         assert r._llm_kept == want[r.doc_id, r.text or ""]
-    assert found.count() == len(rows) and any(r._llm_gone for r in found.collect())
+    assert len(found) == len(rows) and any(r._llm_gone for r in found)
     assert lines.remove_later_runs(frame(spark, []), stages(spark)).count() == 0
 
 
 def test_single_lines(spark):
+    """A long line is a run of its own, a short one where it is frequent; twice by chance it stays."""
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\nd"), (3, long), (4, "e\n\nb"), (5, "one line"), (6, "one line "), (7, "f\nf")]
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\nd"), (3, long), (4, "e\n\nb"), (5, "one line"), (6, "one line "), (7, "f\nf"), (8, "one line")]
     found = {r.doc_id: (r._llm_kept, r._llm_gone) for r in lines.remove_later_runs(frame(spark, rows), stages(spark)).collect()}
-    assert found == {1: (rows[0][1], 0), 2: ("c\nd", 1), 3: ("", 1), 4: ("e\n", 1), 5: ("one line", 0), 6: ("", 1), 7: ("f", 1)}
+    assert found == {1: (rows[0][1], 0), 2: ("c\nd", 1), 3: ("", 1), 4: ("e\n\nb", 0), 5: ("one line", 0), 6: ("", 1), 7: ("f\nf", 0), 8: ("", 1)}
 
 
 # --- fingerprints --------------------------------------------------------------------------------------
