@@ -37,14 +37,15 @@ def _(v):
     )
 
 
-@query(
-    "n2_manifest_errors",
-    f"""select submission, line_no, candidate as content, case kind when 'id' then 'Line contains only video_id ''' || candidate ||
+# Messages of the report.
+REJECTS = f"""select submission, line_no, candidate as content, case kind when 'id' then 'Line contains only video_id ''' || candidate ||
         ''', not a valid YouTube URL. Please use format: https://www.youtube.com/watch?v=' || candidate
         else 'Invalid format: ''' || candidate || '''. Expected YouTube URL (e.g., https://www.youtube.com/watch?v=VIDEO_ID) or video_id' end
         as message, kind = 'id' as fixed, case kind when 'id' then 'https://www.youtube.com/watch?v=' || candidate end as fixed_url
-    from ({VALID}) where kind <> 'url'""",
-)
+    from ({VALID}) where kind <> 'url'"""
+
+
+@query("n2_manifest_errors", REJECTS)
 def _(v):
     return intake.manifest_errors(intake.validate_urls(intake.split_candidates(v.url_lines)))
 

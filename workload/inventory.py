@@ -158,12 +158,14 @@ def _(v):
 
 @query(
     "w2_allocate_ids_legacy",
-    f"""select job_id, key, job_id * 1000000 + row_number() over (partition by job_id order by pos) as id
-    from ({FIRST}) where rn = 1""",
+    f"""select f.job_id, key, coalesce(top, f.job_id * 1000000) + row_number() over (partition by f.job_id order by pos) as id
+    from ({FIRST}) f left join (select job_id, max(id) as top from v_event_ledger where job_id % 2 = 0 group by 1) m on m.job_id = f.job_id
+    where rn = 1""",
 )
 def _(v):
+    # jobs with tasks go on after their largest id, the others start at their own base
     seen = inv.first_seen(inv.clean_listing(v.inv_src))
-    return inv.allocate_ids(seen, v.tasks.filter("false"), legacy_base=True).select("job_id", "key", "id")
+    return inv.allocate_ids(seen, v.event_ledger.filter("job_id % 2 = 0"), legacy_base=True).select("job_id", "key", "id")
 
 
 @query(

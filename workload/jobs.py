@@ -52,14 +52,32 @@ def _(v):
     )
 
 
+# Failed tasks with a due retry: their own id is among the scheduled ones (every third of a job's).
+FAILED = """select t.*, case when regexp_matches(lower(error_message), 'sourcenotfound|source fetch returned 404|zerosizedisabled') then 'skip_permanent'
+    when id % 3 = 0 then 'skip_scheduled' else 'reset' end as outcome from v_tasks t where status = 'FAILED'"""
+
+
+def retried(v):
+    scheduled = v.tasks.filter("id % 3 = 0").select("job_id", F.col("id").alias("task_id"))
+    offsets = v.jobs.select("job_id", (F.col("scan_offset") * 60000).alias("read_offset"))
+    return copy_job.retry_failed(v.tasks, scheduled, offsets, EVENTS_NOW)
+
+
 @query(
     "job_retry_failed",
-    """with o as (select *, not regexp_matches(lower(error_message), 'sourcenotfound|source fetch returned 404|zerosizedisabled') as reset
-        from v_tasks where status = 'FAILED')
-    select job_id, id, case when reset then 'PENDING' else status end as status, case when reset then '' else worker_id end as worker_id from o""",
+    f"""select job_id, id, outcome, case when outcome = 'reset' then 'PENDING' else status end as status,
+      case when outcome = 'reset' then '' else worker_id end as worker_id from ({FAILED})""",
+)
+def _(v):
+    return retried(v)[0].select("job_id", "id", "outcome", "status", "worker_id")
+
+
+@query(
+    "job_retry_offsets",
+    f"""with r as (select job_id, greatest(0, min(id) - 1) as m from ({FAILED}) where outcome = 'reset' group by 1)
+    select j.job_id, scan_offset * 60000 as read_offset, coalesce(scan_offset * 60000 > m, false) as rewound,
+      case when scan_offset * 60000 > m then m else scan_offset * 60000 end as new_offset
+    from v_jobs j left join r on r.job_id = j.job_id""",
 )
 def _(v):
-    none = v.tasks.select("job_id", F.col("id").alias("task_id")).filter("false")
-    offsets = v.jobs.select("job_id", F.col("scan_offset").alias("read_offset"))
-    tasks, _ = copy_job.retry_failed(v.tasks, none, offsets, EVENTS_NOW)
-    return tasks.select("job_id", "id", "status", "worker_id")
+    return retried(v)[1]

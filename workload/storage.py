@@ -10,7 +10,7 @@ from mediaops.session import shared_dir
 from mediaops.sources import changes, readers, sinks
 from workload.inventory import NEW
 from workload.ledger import MERGED
-from workload.intake import VALID
+from workload.intake import REJECTS
 from workload.registry import JOBS_NOW, query
 
 # The columns that a merge doesn't touch.
@@ -57,14 +57,13 @@ def _(v):
 
 @query(
     "k3_write_rejects",
-    f"""select submission, line_no as line_number, candidate as content, kind = 'id' as fixed,
-      case kind when 'id' then 'https://www.youtube.com/watch?v=' || candidate end as fixed_url from ({VALID}) where kind <> 'url'""",
+    f"select submission, line_no as line_number, content, message, fixed, fixed_url from ({REJECTS})",
 )
 def _(v):
     path = shared_dir(v.spark, "rejects")
     sinks.write_rejects(intake.manifest_errors(intake.validate_urls(intake.split_candidates(v.url_lines))), path)
     schema = "submission string, line_number long, content string, message string, fixed boolean, fixed_url string"
-    return v.spark.read.schema(schema).json(path).drop("message")
+    return v.spark.read.schema(schema).json(path)
 
 
 @query("k4_write_tasks_queue", "select job_id, id, status, case when status = 'PENDING' then 'a' else 'b' end as batch from v_tasks")
