@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
 from mediaops.functions.globs import glob_regex, glob_subject
-from mediaops.operators.ordered import DEFAULT_SPAN, number_rows
+from mediaops.operators.ordered import number_rows
 
 
 def clean_listing(listing: DataFrame, prefix: str = "") -> DataFrame:
@@ -157,17 +157,17 @@ def allocate_ids(
     ledger: DataFrame,
     order: str = "pos",
     legacy_base: bool = False,
-    span: int = DEFAULT_SPAN,
+    parts: int | None = None,
 ) -> DataFrame:
     """Contiguous ids per job after the largest known one.
 
-    Numbering starts at 1, or at ``job_id * 1e6`` with ``legacy_base``. It runs by (job, span of the
+    Numbering starts at 1, or at ``job_id * 1e6`` with ``legacy_base``. It runs by (job, range of the
     listing), so one huge job is spread over many tasks.
     """
     top = ledger.groupBy("job_id").agg(F.max("id").alias("_top"))
     base = F.col("job_id") * 1_000_000 if legacy_base else F.lit(0)
     return (
-        number_rows(new, ["job_id"], order, "_n", span)
+        number_rows(new, ["job_id"], order, "_n", parts)
         .join(top, "job_id", "left")
         .withColumn("id", F.coalesce("_top", base) + F.col("_n"))
         .drop("_n", "_top")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
-from mediaops.operators.ordered import DEFAULT_SPAN, carry_last
+from mediaops.operators.ordered import carry_last
 
 COUNTED = {
     "pending": C.PENDING,
@@ -110,14 +110,14 @@ def transitions(
     keys=("job_id", "task_id"),
     seq: str = "seq",
     initial: str = C.PENDING,
-    span: int = DEFAULT_SPAN,
+    parts: int | None = None,
 ) -> DataFrame:
     """(old_status, new_status) moves per task; repeats of the same state are dropped.
 
     The first event of a task moves from ``initial`` (tasks are created pending).
     """
     return (
-        carry_last(events, list(keys), seq, F.col("status"), "old_status", span)
+        carry_last(events, list(keys), seq, F.col("status"), "old_status", parts)
         .withColumn("old_status", F.coalesce("old_status", F.lit(initial)))
         .withColumnRenamed("status", "new_status")
         .filter("old_status <> new_status")

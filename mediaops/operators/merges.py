@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
-from mediaops.operators.ordered import DEFAULT_SPAN, carry_last
+from mediaops.operators.ordered import carry_last
 
 TASK = ["job_id", "id"]
 RESTART = [C.RUNNING, C.PENDING, C.METADATA_PROCESSING]
@@ -212,7 +212,7 @@ def merge_overwrite(records: DataFrame, updates: DataFrame, as_of, seq: str = "s
 
 
 def apply_job_updates(
-    jobs: DataFrame, patches: DataFrame, seq: str = "seq", span: int = DEFAULT_SPAN
+    jobs: DataFrame, patches: DataFrame, seq: str = "seq", parts: int | None = None
 ) -> DataFrame:
     """Apply status patches and counter increments to jobs in order (M4).
 
@@ -221,7 +221,7 @@ def apply_job_updates(
     each one.
     """
     begun = F.when(F.col("start_time").isNotNull(), F.col("start_time"))
-    known = carry_last(patches, ["job_id"], seq, begun, "_begun", span, strict=False)
+    known = carry_last(patches, ["job_id"], seq, begun, "_begun", parts, strict=False)
     ended = F.col("end_time").isNotNull()
     batch = known.groupBy("job_id").agg(
         last_given(F.col("status"), _has("status"), seq).alias("_status"),

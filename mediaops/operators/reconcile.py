@@ -9,7 +9,7 @@ from mediaops.functions import columns as C
 from mediaops.operators.inventory import plan_dest_keys
 from mediaops.operators.intake import is_retryable
 from mediaops.operators.merges import reset_columns
-from mediaops.operators.ordered import DEFAULT_SPAN, carry_last, number_rows
+from mediaops.operators.ordered import PART, carry_last, dealt, number_rows
 
 CLAIM_STALE_SECONDS = 20 * 60
 RUNNING_STALE_SECONDS = 15 * 60
@@ -210,7 +210,7 @@ def pool_load(
 
 
 def no_progress_streak(
-    attempts: DataFrame, limit: int = 5, span: int = DEFAULT_SPAN, keys=("job_id", "task_id")
+    attempts: DataFrame, limit: int = 5, parts: int | None = None, keys=("job_id", "task_id")
 ) -> DataFrame:
     """Consecutive resumed attempts without a new part, and whether to abandon the upload.
 
@@ -218,16 +218,16 @@ def no_progress_streak(
     """
     keys = list(keys)
     resets = ~F.col("resumed") | (F.col("after_parts") > F.col("before_parts"))
-    numbered = number_rows(attempts, keys, "attempt", "_pos", span)
+    numbered = number_rows(dealt(attempts, keys, "attempt", parts), keys, "attempt", "_pos")
     return (
-        carry_last(numbered, keys, "attempt", F.when(resets, F.col("_pos")), "_reset", span, strict=False)
+        carry_last(numbered, keys, "attempt", F.when(resets, F.col("_pos")), "_reset", strict=False)
         .withColumn("streak", F.col("_pos") - F.coalesce("_reset", F.lit(0)))
         .withColumn("abandon", F.col("streak") >= limit)
-        .drop("_pos", "_reset")
+        .drop("_pos", "_reset", PART)
     )
 
 
-def endpoint_health(requests: DataFrame, key: str = "endpoint", seq: str = "seq", span: int = DEFAULT_SPAN) -> DataFrame:
+def endpoint_health(requests: DataFrame, key: str = "endpoint", seq: str = "seq", parts: int | None = None) -> DataFrame:
     """Per endpoint: requests, last state and trailing failure streak.
 
     Positions make the streak a difference of two maxima, so a hot endpoint still combines map-side.
@@ -235,7 +235,7 @@ def endpoint_health(requests: DataFrame, key: str = "endpoint", seq: str = "seq"
     bad = (F.coalesce("error", F.lit("")) != "") | F.col("status").isNull() | ~F.col("status").between(200, 399)
     last_good = F.coalesce(F.max(F.when(~F.col("bad"), F.col("_pos"))), F.lit(0))
     return (
-        number_rows(requests.withColumn("bad", bad), [key], seq, "_pos", span)
+        number_rows(requests.withColumn("bad", bad), [key], seq, "_pos", parts)
         .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("requests"),
@@ -247,8 +247,8 @@ def endpoint_health(requests: DataFrame, key: str = "endpoint", seq: str = "seq"
     )
 
 
-def retry_or_fail(failures: DataFrame, max_retries: int = 3, span: int = DEFAULT_SPAN, seq: str = "attempt") -> DataFrame:
+def retry_or_fail(failures: DataFrame, max_retries: int = 3, parts: int | None = None, seq: str = "attempt") -> DataFrame:
     """Failures numbered per task (W12): below ``max_retries`` requeue, from there on permanent."""
-    return number_rows(failures, ["job_id", "task_id"], seq, "failure_no", span).withColumn(
+    return number_rows(failures, ["job_id", "task_id"], seq, "failure_no", parts).withColumn(
         "action", F.when(F.col("failure_no") < max_retries, "requeue").otherwise("permanent")
     )

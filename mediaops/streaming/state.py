@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mediaops.functions import columns as C
 from mediaops.functions import rules
 from mediaops.operators.errors import contains_any
-from mediaops.operators.ordered import carry_last
+from mediaops.operators.ordered import PART, carry_last, dealt
 from mediaops.streaming.run import (
     read_stage,
     read_stages,
@@ -34,8 +34,10 @@ def _us(seconds: int) -> int:
 
 def with_next(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
     """Value of the key's next row: a carry along the reversed order."""
-    reverse = df.withColumn("_back", -F.col("seq"))
-    return carry_last(reverse, keys, "_back", value, out).drop("_back")
+    rows = df if PART in df.columns else dealt(df, keys, "seq")
+    reverse = rows.withColumns({"_back": -F.col("seq"), PART: -F.col(PART)})
+    found = carry_last(reverse, keys, "_back", value, out).withColumn(PART, -F.col(PART)).drop("_back")
+    return found if PART in df.columns else found.drop(PART)
 
 
 def armed(
@@ -68,7 +70,7 @@ def liveness_step(ttl: int):
     def step(state: DataFrame, batch: DataFrame, mark: Column):
         beats = batch.select("worker_id", "us").distinct().withColumn("held", F.lit(False))
         rows = state.withColumn("held", F.lit(True)).unionByName(beats)
-        seen = carry_last(rows, ["worker_id"], "us", F.col("us"), "prev", span=3_600_000_000)
+        seen = carry_last(rows, ["worker_id"], "us", F.col("us"), "prev")
         gap = F.col("prev").isNotNull() & (F.col("us") - F.col("prev") >= ttl)
         fresh = seen.filter(~F.col("held") & (F.col("prev").isNull() | gap))
         last = rows.groupBy("worker_id").agg(F.max("us").alias("us"))
@@ -102,7 +104,7 @@ STALE = "job_id long, task_id long, run_token string, kind string, at timestamp"
 
 def staleness_step(claim_us: int, running_us: int):
     def step(state: DataFrame, batch: DataFrame, mark: Column):
-        rows = state.unionByName(batch.select(*RUN, "seq", "us", "kind"))
+        rows = dealt(state.unionByName(batch.select(*RUN, "seq", "us", "kind")), RUN, "seq")
         progress = F.col("kind") == "progress"
         chain = carry_last(rows, RUN, "seq", F.col("us"), "_prev")
         late = progress & (F.col("_prev").isNull() | (F.col("us") - F.col("_prev") >= running_us))
@@ -113,7 +115,7 @@ def staleness_step(claim_us: int, running_us: int):
         effective = (
             chain.filter(~progress | live)
             .withColumn("kind", F.when(progress, F.lit("activate")).otherwise(F.col("kind")))
-            .select(*RUN, "seq", "us", "kind")
+            .select(*RUN, "seq", "us", "kind", PART)
             .withColumn("arm", F.col("kind") != "done")
         )
         limit = F.when(F.col("kind") == "claim", F.lit(claim_us)).otherwise(F.lit(running_us))
@@ -123,7 +125,7 @@ def staleness_step(claim_us: int, running_us: int):
             F.when(F.col("kind") == "claim", "stale_claim").otherwise("stale_running").alias("kind"),
             F.timestamp_micros("due").alias("at"),
         )
-        return pending.drop("arm"), output
+        return pending.drop("arm", PART), output
 
     return step
 
@@ -284,6 +286,7 @@ def judge_messages(state: DataFrame, messages: DataFrame) -> DataFrame:
     held = state.select(*KEY, F.col("run_token").alias("_held"), F.col("status").alias("_status"))
     brought = F.when((F.col("sent_token") != "") & ~F.col("claim"), F.col("seq"))
     first = rows.groupBy(*KEY).agg(F.min_by("sent_token", brought).alias("_first"), F.min(brought).alias("_since"))
+    rows = dealt(rows, KEY, "seq")
     claimed = carry_last(rows, KEY, "seq", F.when(F.col("claim"), F.col("sent_token")), "_claimed")
     force = F.coalesce(
         F.col("_claimed"), C.present("_held"), F.when(F.col("_since") < F.col("seq"), F.col("_first")), F.lit("")

@@ -121,9 +121,9 @@ def test_numbering_and_carry_over_spans(spark):
     rnd = random.Random(5)
     rows = [(k, s, rnd.choice([None, s])) for k in "ab" for s in rnd.sample(range(-50, 500), 120)]
     df = spark.createDataFrame(rows, "k string, s long, v long")
-    got = number_rows(df, ["k"], "s", "n", span=17)
-    got = carry_last(got, ["k"], "s", F.col("v"), "before", span=17)
-    got = carry_last(got, ["k"], "s", F.col("v"), "upto", span=17, strict=False)
+    got = number_rows(df, ["k"], "s", "n", parts=7)
+    got = carry_last(got, ["k"], "s", F.col("v"), "before", parts=7)
+    got = carry_last(got, ["k"], "s", F.col("v"), "upto", parts=7, strict=False)
     found = {(r.k, r.s): (r.n, r.before, r.upto) for r in got.collect()}
     for key in "ab":
         last = None
@@ -142,7 +142,7 @@ def test_counters_from_moves_equal_counts(spark):
         (n, 1 + t % 3, t, rnd.choice(["PENDING", "RUNNING", "COMPLETED", "FAILED"]), 10) for n in range(300) for t in [rnd.randrange(20)]
     ]
     df = spark.createDataFrame(events, "seq long, job_id long, task_id long, status string, size long")
-    moves = ledger.transitions(df, span=50)
+    moves = ledger.transitions(df, parts=5)
     deltas = {r.job_id: r for r in ledger.transition_deltas(moves).collect()}
     final = ledger.task_counts(ledger.latest_update(df))
     for r in final.collect():
@@ -154,5 +154,5 @@ def test_counters_from_moves_equal_counts(spark):
 def test_streak(spark):
     rows = [(1, 1, n, *x) for n, x in enumerate([(False, 0, 0), (True, 0, 0), (True, 0, 0), (True, 0, 1), (True, 1, 1)] + [(True, 1, 1)] * 4)]
     df = spark.createDataFrame(rows, "job_id long, task_id long, attempt long, resumed boolean, before_parts long, after_parts long")
-    got = [(r.streak, r.abandon) for r in reconcile.no_progress_streak(df, span=2).orderBy("attempt").collect()]
+    got = [(r.streak, r.abandon) for r in reconcile.no_progress_streak(df, parts=3).orderBy("attempt").collect()]
     assert got == [(0, False), (1, False), (2, False), (0, False), (1, False), (2, False), (3, False), (4, False), (5, True)]

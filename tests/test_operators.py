@@ -212,7 +212,7 @@ def test_pairs_and_dirs(spark):
 def test_new_inputs_twice_adds_nothing(spark):
     src = spark.createDataFrame([(1, 0, "a", 1), (1, 1, "a", 2), (1, 2, "b", 3), (2, 3, "a", 4)], "job_id long, pos long, key string, size long")
     empty = spark.createDataFrame([], "job_id long, id long, src string")
-    first = inv.allocate_ids(inv.new_inputs(src, empty), empty, span=2)
+    first = inv.allocate_ids(inv.new_inputs(src, empty), empty, parts=3)
     assert sorted(one(first, "job_id", "id", "key", "size")) == [(1, 1, "a", 1), (1, 2, "b", 3), (2, 1, "a", 4)]
     known = first.select("job_id", "id", F.col("key").alias("src"))
     assert inv.new_inputs(src, known).count() == 0

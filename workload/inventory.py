@@ -153,7 +153,7 @@ def _(v):
 )
 def _(v):
     new = inv.new_inputs(inv.clean_listing(v.inv_src), v.tasks)
-    return inv.allocate_ids(new, v.tasks, span=100).select("job_id", "key", "id")
+    return inv.allocate_ids(new, v.tasks, parts=20).select("job_id", "key", "id")
 
 
 @query(

@@ -80,8 +80,8 @@ MOVES = """select * from (select job_id, task_id, seq, size, audio_url, video_ur
 
 @query("w4_transitions", f"select job_id, task_id, seq, old_status, new_status from ({MOVES})")
 def _(v):
-    # A short span cuts each task's history into several pieces, as a hot task would be.
-    return ledger.transitions(v.task_events, span=1000).select("job_id", "task_id", "seq", "old_status", "new_status")
+    # Few ranges, so that some task's history is cut as a hot task's would be.
+    return ledger.transitions(v.task_events, parts=5).select("job_id", "task_id", "seq", "old_status", "new_status")
 
 
 def delta_sql(bucket: str) -> str:
@@ -325,7 +325,7 @@ def _(v):
         F.col("size").alias("inc_success_bytes"),
         (F.col("seq") % 10 == 0).alias("inc_execution"),
     )
-    return merges.apply_job_updates(v.jobs, patches, span=1000).select(
+    return merges.apply_job_updates(v.jobs, patches, parts=5).select(
         "job_id", "status", "result_message", "last_scan_time", "start_time", "end_time", "duration_seconds", "total_count",
         "success_count", "failed_count", "pending_count", "success_size_bytes", "execution_count",
     )

@@ -276,7 +276,7 @@ def _(v):
     select job_id, task_id, attempt, streak, streak >= 5 as abandon from s""",
 )
 def _(v):
-    return rec.no_progress_streak(v.attempts, span=1000).select("job_id", "task_id", "attempt", "streak", "abandon")
+    return rec.no_progress_streak(v.attempts, parts=5).select("job_id", "task_id", "attempt", "streak", "abandon")
 
 
 @query(
@@ -289,7 +289,7 @@ def _(v):
     from r join g on g.endpoint = r.endpoint group by 1""",
 )
 def _(v):
-    return rec.endpoint_health(v.requests, span=1000)
+    return rec.endpoint_health(v.requests, parts=5)
 
 
 @query(
@@ -299,4 +299,4 @@ def _(v):
 )
 def _(v):
     failures = v.errors.filter("status = 'FAILED'")
-    return rec.retry_or_fail(failures, span=1000).select("job_id", "task_id", "attempt", "failure_no", "action")
+    return rec.retry_or_fail(failures, parts=5).select("job_id", "task_id", "attempt", "failure_no", "action")
