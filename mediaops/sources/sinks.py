@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from mediaops.functions import columns as C
 from mediaops.sources import changes
-from mediaops.sources.files import exists, mark, names
+from mediaops.sources.files import exists, mark, names, remove
 
 IDS_PER_BUCKET = 50_000
 BUCKETS = 1024
@@ -58,15 +58,17 @@ def upsert_ledger(
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     stage: str,
     ids_per_bucket: int = IDS_PER_BUCKET,
-    schema: str | None = None,
+    schema: str | T.StructType | None = None,
     before: Callable[[DataFrame, DataFrame], None] | None = None,
     buckets: int = BUCKETS,
     versions: int = VERSIONS,
+    removes: bool = True,
 ) -> None:
     """Apply ``merge(rows, batch)`` to the stored rows of the batch's keys (K2), writing only what it changes.
 
     The folders that hold the keys are read, no other; the merged rows go beside the ledger as one more
-    version, a key that the merge leaves out as gone. ``changes.read_rows`` folds them in, and after
+    version, a key that the merge leaves out as gone (without ``removes`` it stays as it is, unwritten).
+    ``changes.read_rows`` folds them in, and after
     ``versions`` of them ``compact_ledger`` does so for good. A run that is repeated with the same
     stage (same batch of the same stream) writes the same version again, or nothing where it was
     finished. ``before`` sees the rows and the batch ahead of the merge, under the same guarantee.
@@ -92,14 +94,19 @@ def upsert_ledger(
             before(current, batch)
         merge(current, batch).select(*schema.names).write.mode("overwrite").parquet(f"{stage}/rows")
         rows = with_bucket(spark.read.schema(schema).parquet(f"{stage}/rows"), ids_per_bucket, buckets)
-        gone = old.join(rows, changes.same_keys(old, rows), "left_anti").withColumn("gone", F.lit(True))
-        changes.put_version(rows.withColumn("gone", F.lit(False)).unionByName(gone), path, version)
+        put = rows.withColumn("gone", F.lit(False))
+        if removes:
+            gone = old.join(rows, changes.same_keys(old, rows), "left_anti")
+            put = put.unionByName(gone.withColumn("gone", F.lit(True)))
+        changes.put_version(put, path, version)
     if len(changes.versions(spark, path)) >= versions:
         compact_ledger(spark, path, f"{stage}/compact", schema=schema)
     mark(spark, f"{stage}/done")
+    for name in ("current", "rows", "compact"):
+        remove(spark, f"{stage}/{name}")
 
 
-def compact_ledger(spark: SparkSession, path: str, stage: str, share: float = changes.SHARE, schema: str | None = None) -> None:
+def compact_ledger(spark: SparkSession, path: str, stage: str, share: float = changes.SHARE, schema=None) -> None:
     """Fold the changes beside a ledger into the folders where they are more than ``share`` of the rows."""
     changes.compact(spark, path, stage, lambda rows: _write_buckets(rows, path, "overwrite", "dynamic"), share, schema)
 

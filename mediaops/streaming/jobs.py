@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops.functions import columns as C
 from mediaops.operators import inventory as inv
 from mediaops.operators import ledger, merges
 from mediaops.operators.ordered import carry_last
-from mediaops.sources.files import names
-from mediaops.sources.sinks import IDS_PER_BUCKET, upsert_ledger
-from mediaops.streaming.run import read_stage, read_stages, run_batches, write_stage
+from mediaops.sources import changes
+from mediaops.sources.files import exists, remove
+from mediaops.sources.sinks import IDS_PER_BUCKET, upsert_ledger, write_ledger
+from mediaops.streaming.run import HASHES_PER_BUCKET, hashed, read_stage, read_stages, run_batches, write_stage
 from mediaops.streaming.state import ANSWER, KEY, TOKENS, judge_messages
 
 WATERMARK = "10 minutes"
 SEEN = "job_id long, id long, seq long, status string"
+# A job is one row: fewer folders than for tasks.
+JOB_BUCKETS = 64
 DELTAS = "job_id long, pending_delta long, running_delta long, success_delta long, failed_delta long, success_bytes long"
 
 
@@ -98,18 +102,37 @@ def stream_completion_monitor(
 ) -> DataFrame:
     """Job table after each trigger: counters moved, finished jobs completed.
 
-    Every batch writes a new version of the job table from the one before; returns the latest.
+    The table is stored once; the first batch judges all jobs, a later one the jobs whose counters it moves,
+    as no other can finish then. Changed jobs are written beside the table and folded in like a ledger's
+    (``id`` is 0, so ``jobs`` must not have that column). Returns the table after the last batch.
     """
     spark = events.sparkSession
+    path = path.rstrip("/")
+    table, schema = f"{path}/jobs", T.StructType([*jobs.schema.fields, T.StructField("id", T.LongType())])
+    if "id" in jobs.columns:
+        raise ValueError("jobs are stored by job_id and id: rename their column id")
 
     def step(moves: DataFrame, batch_id: int) -> None:
-        current = spark.read.schema(jobs.schema).parquet(f"{path}/jobs/batch={batch_id - 1}") if batch_id else jobs
+        if not exists(spark, f"{table}/_SUCCESS"):
+            write_ledger(jobs.withColumn("id", F.lit(0).cast("long")), table, buckets=JOB_BUCKETS)
+        write_stage(job_deltas(moves), f"{path}/deltas", batch_id)
+        deltas = read_stage(spark, f"{path}/deltas", batch_id, DELTAS)
+        due = deltas if batch_id else jobs.select("job_id").distinct().join(deltas, "job_id", "left")
         now = as_of if as_of is not None else F.current_timestamp()
-        write_stage(ledger.complete_jobs(ledger.apply_deltas(current, job_deltas(moves)), now), f"{path}/jobs", batch_id)
+        upsert_ledger(
+            due.withColumn("id", F.lit(0).cast("long")),
+            table,
+            lambda current, rows: ledger.complete_jobs(ledger.apply_deltas(current, rows.drop("id")), now),
+            f"{path}/stage-jobs/batch={batch_id}",
+            schema=schema,
+            buckets=JOB_BUCKETS,
+        )
+        remove(spark, f"{path}/deltas/batch={batch_id - 1}")
 
     follow_tasks(events, path, step, checkpoint=checkpoint)
-    last = max((int(n.removeprefix("batch=")) for n in names(spark, f"{path}/jobs")), default=None)
-    return jobs if last is None else spark.read.schema(jobs.schema).parquet(f"{path}/jobs/batch={last}")
+    if not exists(spark, f"{table}/_SUCCESS"):
+        return jobs
+    return changes.read_rows(spark, table, schema).select(*jobs.columns)
 
 
 def stream_fenced_state(
@@ -140,35 +163,59 @@ def stream_fenced_state(
 def new_objects(inventory: DataFrame) -> DataFrame:
     """Objects once per job across rescans, from the stream's own state (T4).
 
-    State grows with the number of keys; ``stream_new_objects`` keeps it in the ledger instead.
+    State grows with the number of keys; ``stream_new_objects`` keeps it by hash range in the shared folder instead.
     """
     return inventory.dropDuplicates(["job_id", "key"])
 
 
 FOUND = "job_id long, id long, src string, size long, pos long, status string"
+KNOWN = "job_id long, id long, src string"
+TOPS = "job_id long, id long"
 
 
-def stream_new_objects(inventory: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+def stream_new_objects(
+    inventory: DataFrame, path: str, hashes_per_bucket: int = HASHES_PER_BUCKET, checkpoint: str | None = None
+) -> DataFrame:
     """Discovered objects become pending tasks once per job (T4).
 
-    Each batch is held against the tasks of the batches before it, so the only state is the ledger.
-    A repeated batch does not see its own first attempt and rewrites the same directory.
+    Keys seen are kept by job and hash range, with the largest id of each job: a batch opens the ranges of
+    its own keys and writes those it adds, the tasks of earlier batches are not read. A repeated batch does
+    not see its own first attempt and rewrites the same directory.
     """
     spark = inventory.sparkSession
     path = path.rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        known = spark.createDataFrame([], FOUND)
-        if batch_id:
-            known = read_stages(spark, path, FOUND, before=batch_id)
-        fresh = inv.new_inputs(batch.select("job_id", "key", "pos", "size"), known)
-        tasks = inv.allocate_ids(fresh, known).select(
-            "job_id", "id", F.col("key").alias("src"), "size", "pos", F.lit(C.PENDING).alias("status")
+        def find(current: DataFrame, rows: DataFrame) -> None:
+            tops = read_stage(spark, f"{path}/tops", batch_id - 1, TOPS)
+            fresh = inv.new_inputs(rows.drop("id"), current)
+            tasks = inv.allocate_ids(fresh, tops).select(
+                "job_id", "id", F.col("key").alias("src"), "size", "pos", F.lit(C.PENDING).alias("status")
+            )
+            write_stage(tasks, f"{path}/out", batch_id)
+            found = read_stage(spark, f"{path}/out", batch_id, FOUND).select("job_id", "id")
+            write_stage(tops.unionByName(found).groupBy("job_id").agg(F.max("id").alias("id")), f"{path}/tops", batch_id)
+
+        def add(current: DataFrame, rows: DataFrame) -> DataFrame:
+            found = read_stage(spark, f"{path}/out", batch_id, FOUND).select("job_id", hashed("src").alias("id"), "src")
+            # known keys with the number of a new one are written with it
+            beside = current.join(found, ["job_id", "id"], "left_semi")
+            return found.unionByName(beside)
+
+        upsert_ledger(
+            batch.select("job_id", "key", "pos", "size", hashed("key").alias("id")),
+            f"{path}/known",
+            add,
+            f"{path}/stage/batch={batch_id}",
+            hashes_per_bucket,
+            schema=KNOWN,
+            before=find,
+            removes=False,
         )
-        write_stage(tasks, path, batch_id)
+        remove(spark, f"{path}/tops/batch={batch_id - 2}")
 
     run_batches(inventory, handle, path, checkpoint)
-    return read_stages(spark, path, FOUND)
+    return read_stages(spark, f"{path}/out", FOUND)
 
 
 def outcome_windows(log: DataFrame, at: str = "event_ts", delay: str = WATERMARK, width: str = "1 minute") -> DataFrame:

@@ -9,13 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaops.session import shared_dir
 from mediaops.sources.files import exists, names
 
 WATERMARK_SECONDS = 600
+# Text keys take the place of ids in stored tables by hash; a job's lie in so many ranges.
+HASHES = 1 << 40
+HASHES_PER_BUCKET = HASHES // 64
+
+
+def hashed(key: str) -> Column:
+    """Number of a text key in a stored table; keys of one number share its rows, so they are compared as well."""
+    return F.pmod(F.xxhash64(key), F.lit(HASHES))
 
 
 def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:

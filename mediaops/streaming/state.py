@@ -15,7 +15,10 @@ from mediaops.functions import columns as C
 from mediaops.functions import rules
 from mediaops.operators.errors import contains_any
 from mediaops.operators.ordered import PART, carry_last, dealt
+from mediaops.sources.sinks import upsert_ledger
 from mediaops.streaming.run import (
+    HASHES_PER_BUCKET,
+    hashed,
     read_stage,
     read_stages,
     run_armed,
@@ -238,24 +241,46 @@ def complete_pairs(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, lone
 
 
-def stream_pairs(inventory: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+def stream_pairs(
+    inventory: DataFrame, path: str, hashes_per_bucket: int = HASHES_PER_BUCKET, checkpoint: str | None = None
+) -> DataFrame:
     """A pair as soon as its second side arrives in any later listing page (T5).
 
-    The later key wins per side until the pair completes; the first completion stands. State holds
-    the lone sides only; finished pairs are known from the output of earlier batches.
+    The later key wins per side until the pair completes; the first completion stands. Lone sides and the
+    names of finished pairs are kept by job and hash range: a batch opens the ranges of its own names and
+    writes the names it changes, however many were finished before.
     """
     spark = inventory.sparkSession
     path = path.rstrip("/")
+    name = ["job_id", "pair_id"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sides = batch
-        if batch_id:
-            done = read_stages(spark, f"{path}/out", PAIR, before=batch_id)
-            lone = read_stage(spark, f"{path}/state", batch_id - 1, SIDE)
-            sides = lone.unionByName(batch).join(done.select("job_id", "pair_id"), ["job_id", "pair_id"], "left_anti")
-        pairs, lone = complete_pairs(sides)
-        write_stage(pairs, f"{path}/out", batch_id)
-        write_stage(lone, f"{path}/state", batch_id)
+        def open_sides(current: DataFrame, rows: DataFrame) -> DataFrame:
+            done = current.filter("done").select(*name)
+            return current.filter("not done").drop("done").unionByName(rows).join(done, name, "left_anti")
+
+        def complete(current: DataFrame, rows: DataFrame) -> None:
+            write_stage(complete_pairs(open_sides(current, rows))[0], f"{path}/out", batch_id)
+
+        def advance(current: DataFrame, rows: DataFrame) -> DataFrame:
+            sides = open_sides(current, rows)
+            ended = read_stage(spark, f"{path}/out", batch_id, PAIR).select(*name).withColumn("done", F.lit(True))
+            lone = complete_pairs(sides)[1].withColumn("done", F.lit(False))
+            # other finished names with the number of an open one are written with it
+            beside = current.filter("done").join(sides.select("job_id", "id").distinct(), ["job_id", "id"], "left_semi")
+            changed = lone.unionByName(ended, allowMissingColumns=True).withColumn("id", hashed("pair_id"))
+            return changed.unionByName(beside)
+
+        upsert_ledger(
+            batch.withColumn("id", hashed("pair_id")),
+            f"{path}/sides",
+            advance,
+            f"{path}/stage/batch={batch_id}",
+            hashes_per_bucket,
+            schema=SIDE + ", id long, done boolean",
+            before=complete,
+            removes=False,
+        )
 
     run_batches(pair_sides(inventory), handle, path, checkpoint)
     return read_stages(spark, f"{path}/out", PAIR)

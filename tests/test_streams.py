@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import random
 
 import pytest
@@ -176,6 +177,76 @@ def test_pairs_complete_on_the_second_side(spark):
     assert result(got) == [(1, "x", "d/x_video.mp4", 3, "x_audio.m4a", 5), (1, "y", "y_video.mp4", 8, "y_audio.m4a", 2)]
 
 
+def pages_of(rnd, keys, pages=4, size=16):
+    """Listing pages with rescans: positions go on, keys come again."""
+    out, pos = [], 0
+    for _ in range(pages):
+        page = []
+        for _ in range(size):
+            page.append((rnd.randrange(1, 4), pos, rnd.choice(keys), rnd.randrange(9)))
+            pos += 1
+        out.append(page)
+    return out
+
+
+def test_objects_equal_replay(spark, monkeypatch):
+    """Keys that share a number are told apart, also after a compaction and in a second run."""
+    monkeypatch.setattr("mediaops.streaming.run.HASHES", 3)
+    monkeypatch.setattr(sj, "upsert_ledger", functools.partial(sinks.upsert_ledger, versions=3))
+    pages = pages_of(random.Random(4), [f"k{n}" for n in range(25)])
+    want, top, seen = [], {}, set()
+    for job, pos, key, size in (row for page in pages for row in page):
+        if (job, key) not in seen:
+            seen.add((job, key))
+            top[job] = top.get(job, 0) + 1
+            want.append((job, top[job], key, size, pos, "PENDING"))
+    path, feed = shared_dir(spark, "found"), shared_dir(spark, "listing")
+    for part in (pages[:3], pages[3:]):
+        for page in part:
+            spark.createDataFrame(page, LISTING).coalesce(1).write.mode("append").parquet(feed)
+        got = sj.stream_new_objects(spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).parquet(feed), path)
+    assert result(got) == sorted(want)
+
+
+def test_a_batch_opens_its_own_ranges(spark, monkeypatch):
+    """The folders of other jobs' keys are not read, and a rescan adds no rows to the keys seen."""
+    opened, plain = [], changes.read_rows
+
+    def noted(spark, path, schema=None, before=None, buckets=None, keep_bucket=False):
+        opened.append(sorted(buckets))
+        return plain(spark, path, schema, before, buckets, keep_bucket)
+
+    monkeypatch.setattr(changes, "read_rows", noted)
+    pages = [[(1, n, f"k{n}", 1) for n in range(40)], [(2, 40, "k1", 1)], [(1, 41, "k7", 1)]]
+    path = shared_dir(spark, "found")
+    got = sj.stream_new_objects(listing(spark, pages), path)
+    assert got.count() == 41
+    assert len(opened[0]) > 10 and len(opened[1]) == len(opened[2]) == 1
+    assert spark.read.parquet(f"{path}/known-changes/version=3").count() == 0
+
+
+def test_pairs_equal_replay(spark, monkeypatch):
+    monkeypatch.setattr("mediaops.streaming.run.HASHES", 3)
+    monkeypatch.setattr(ss, "upsert_ledger", functools.partial(sinks.upsert_ledger, versions=3))
+    pages = pages_of(random.Random(5), [f"{d}n{n}_{side}" for d in ("", "d/") for n in range(9) for side in ("video.mp4", "audio.m4a")])
+    sides, done, want = {}, set(), []
+    for job, _, key, size in (row for page in pages for row in page):
+        name, side = key.rsplit("/", 1)[-1].split("_", 1)
+        if (job, name) in done:
+            continue
+        held = sides.setdefault((job, name), {})
+        held[side] = (key, size)
+        if len(held) == 2:
+            done.add((job, name))
+            want.append((job, name, *held["video.mp4"], *held["audio.m4a"]))
+    path, feed = shared_dir(spark, "pairs"), shared_dir(spark, "listing")
+    for part in (pages[:2], pages[2:]):
+        for page in part:
+            spark.createDataFrame(page, LISTING).coalesce(1).write.mode("append").parquet(feed)
+        got = ss.stream_pairs(spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).parquet(feed), path)
+    assert want and result(got) == sorted(want)
+
+
 def test_completion_monitor_equals_replay(spark, feeds):
     """Counter moves decide the status first (without an end time); the monitor ends what is still running."""
     data, _, pieces = feeds
@@ -216,6 +287,26 @@ def test_completion_monitor_equals_replay(spark, feeds):
     assert got[3] == ("COMPLETED", [0, 0, 0, 0], now)
 
 
+def test_completion_monitor_writes_moved_jobs(spark):
+    """Jobs no batch moves are stored once; a later batch writes one row for each job it moves."""
+    jobs = spark.createDataFrame(
+        [(j, "RUNNING", 5, 0, 0, 0, 0, 0, T0, None, 0, T0, T0) for j in range(1, 51)],
+        "job_id long, status string, pending_count long, running_count long, success_count long, failed_count long, success_size_bytes long, "
+        "periodic_interval int, last_scan_time timestamp, end_time timestamp, duration_seconds long, start_time timestamp, created_at timestamp",
+    )
+    feed, path = shared_dir(spark, "feed"), shared_dir(spark, "path")
+    for seq, job in ((1, 1), (2, 2), (3, 2)):
+        row = (seq, T0, job, seq, seq, "w", "", "", "COMPLETED", 3, "", "")
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed)
+    out = sj.stream_completion_monitor(events, jobs, path, as_of="2024-02-01 00:00:00")
+    got = {r.job_id: (r.pending_count, r.success_count, r.success_size_bytes) for r in out.collect()}
+    assert got == {j: {1: (4, 1, 3), 2: (3, 2, 6)}.get(j, (5, 0, 0)) for j in range(1, 51)}
+    assert [spark.read.parquet(f"{path}/jobs-changes/version={n}").count() for n in (2, 3)] == [1, 1]
+    with pytest.raises(ValueError):
+        sj.stream_completion_monitor(events, jobs.withColumnRenamed("job_id", "id"), shared_dir(spark, "path"))
+
+
 def in_two_runs(spark, data, run):
     """Results of a run over the first half of the files and of a second one, on the same path, over all of them."""
     feed, path = shared_dir(spark, "feed"), shared_dir(spark, "path")

@@ -10,7 +10,7 @@ from mediaops.streaming import jobs as sj
 from mediaops.streaming import state as ss
 from mediaops.streaming.run import run_available
 from workload.inventory import SIDES
-from workload.ledger import COPY_BUCKET, MERGED, SUCCESS, delta_sql
+from workload.ledger import COPY_BUCKET, MERGED, MOVES, SUCCESS, delta_sql
 from workload.registry import JOBS_NOW, query
 from workload.storage import WHOLE
 from workload.views import Views
@@ -21,11 +21,18 @@ ORDER = {"events": "event_id", "part": "p_partkey"}
 BATCHES = 4
 
 
-def streamed(v: Views, name: str, batches: int = BATCHES) -> Views:
-    """The same views with the named table read as a file stream of some batches, the rows in order."""
+def streamed(v: Views, name: str, batches: int = BATCHES, even: bool = False) -> Views:
+    """The same views with the named table read as a file stream of some batches, the rows in order.
+
+    Batches hold about as many rows each, or (``even``) as many values of the order, as ``BATCH_OF`` says in SQL.
+    """
     live = Views(v.spark, v.folder)
     still, at = v.get(name), F.col(ORDER[name])
-    cuts = still.select(at.alias("at")).approxQuantile("at", [n / batches for n in range(1, batches)], 0.001) if batches > 1 else []
+    if even:
+        top = still.agg(F.max(at)).first()[0] or 0
+        cuts = [top * n // batches for n in range(1, batches)]
+    else:
+        cuts = still.select(at.alias("at")).approxQuantile("at", [n / batches for n in range(1, batches)], 0.001)
     path = shared_dir(v.spark, f"feed-{name}")
     files = 0
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
@@ -218,18 +225,39 @@ def _(v):
     return changes.read_rows(v.spark, path)
 
 
+BATCH_OF = " + ".join(f"(seq > (select max(event_id) * {n} // {BATCHES} from events))::int" for n in range(1, BATCHES)) + " + 1"
+
+
+def _net(bucket: str) -> str:
+    old, new = COPY_BUCKET.format("old"), COPY_BUCKET.format("new")
+    return f"sum(({new} = '{bucket}')::int - ({old} = '{bucket}')::int)::bigint"
+
+
 @query(
     "t11_stream_completion_monitor",
-    f"""with d as ({delta_sql(COPY_BUCKET)}),
-    n as (select j.*, d.job_id is not null as hit, greatest(0, pending_count + coalesce(pending_delta, 0)) as p,
-        greatest(0, running_count + coalesce(running_delta, 0)) as r from v_jobs j left join d on d.job_id = j.job_id),
-    m as (select *, case when hit and status = 'PENDING' and r > 0 then 'RUNNING'
-        when hit and status = 'RUNNING' and p <= 0 and r <= 0 then 'COMPLETED' else status end as moved from n)
-    select job_id, case when moved = 'RUNNING' and p <= 0 and r <= 0 and periodic_interval <= 0 and last_scan_time is not null
-      then 'COMPLETED' else moved end as status, p as pending_count, r as running_count from m""",
+    f"""with recursive d as (select job_id, {BATCH_OF} as batch, {_net("P")} as p, {_net("R")} as r, {_net("C")} as s, {_net("F")} as f,
+        sum(case when new_status = 'COMPLETED' and size > 0 then size else 0 end)::bigint as bytes from ({MOVES}) group by 1, 2),
+    s as (select job_id, 0 as n, status, pending_count as p, running_count as r, success_count as s, failed_count as f,
+        success_size_bytes::bigint as bytes, end_time, duration_seconds, periodic_interval <= 0 and last_scan_time is not null as once,
+        coalesce(start_time, created_at) as began from v_jobs
+      union all select job_id, n, case when done then 'COMPLETED' else status end, p, r, s, f, bytes,
+        case when done then timestamp '{JOBS_NOW}' else end_time end,
+        case when done then epoch(timestamp '{JOBS_NOW}')::bigint - epoch(began)::bigint else duration_seconds end, once, began
+      from (select *, status = 'RUNNING' and p <= 0 and r <= 0 and once as done from (
+        select job_id, n, case when hit and status = 'PENDING' and r > 0 then 'RUNNING'
+          when hit and status = 'RUNNING' and p <= 0 and r <= 0 then 'COMPLETED' else status end as status,
+          p, r, s, f, bytes, end_time, duration_seconds, once, began from (
+          select s.job_id, s.n + 1 as n, s.status, d.job_id is not null as hit, s.end_time, s.duration_seconds, s.once, s.began,
+            case when d.job_id is null then s.p else greatest(0, s.p + d.p) end as p, case when d.job_id is null then s.r else greatest(0, s.r + d.r) end as r,
+            case when d.job_id is null then s.s else greatest(0, s.s + d.s) end as s, case when d.job_id is null then s.f else greatest(0, s.f + d.f) end as f,
+            s.bytes + coalesce(d.bytes, 0) as bytes
+          from s left join d on d.job_id = s.job_id and d.batch = s.n + 1 where s.n < {BATCHES}))))
+    select job_id, status, p as pending_count, r as running_count, s as success_count, f as failed_count, bytes as success_size_bytes,
+      @us(end_time) as end_time, duration_seconds from s where n = {BATCHES}""",
 )
 def _(v):
-    # one batch: a job's status moves with the counters of each batch, which one statement doesn't follow (the tests do)
-    events = streamed(v, "events", batches=1).task_events.withColumnRenamed("task_id", "id")
+    events = streamed(v, "events", even=True).task_events.withColumnRenamed("task_id", "id")
     latest = sj.stream_completion_monitor(events, v.jobs, shared_dir(v.spark, "jobs"), as_of=JOBS_NOW)
-    return latest.select("job_id", "status", "pending_count", "running_count")
+    return latest.select(
+        "job_id", "status", "pending_count", "running_count", "success_count", "failed_count", "success_size_bytes", "end_time", "duration_seconds"
+    )
