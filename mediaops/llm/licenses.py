@@ -7,7 +7,9 @@ matching says whether the notice is met, with how many edits, and where.
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -70,40 +72,52 @@ class Search:
         self.patterns = {n: regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={errors(n)}}}") for n in notices}
 
     def spans(self, line: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, notice, edits) of the best match in each candidate window, windows that meet taken together."""
+        """(start, end, notice, edits) of matches of each notice that don't overlap, the better ones first.
+
+        Every seed's window is searched alone. A match that overlaps a better one gives way to what its window
+        still holds beside that, so each stretch within the allowed errors is met by a span no worse.
+        """
         if not self.notices:
             return []
-        windows: dict[str, list[list[int]]] = {}
+        windows: dict[str, set[tuple[int, int]]] = {}
         for end, (size, places) in self.seeds.iter(line):
             for notice, at in places:
                 k, start = errors(notice), end + 1 - size - at
-                low, high = max(0, start - k), min(len(line), start + len(notice) + k)
-                own = windows.setdefault(notice, [])
-                if own and low <= own[-1][1] and low >= own[-1][0]:
-                    own[-1][1] = max(own[-1][1], high)
-                else:
-                    own.append([low, high])
+                windows.setdefault(notice, set()).add((max(0, start - k), min(len(line), start + len(notice) + k)))
         found = []
         for notice, own in windows.items():
-            merged: list[list[int]] = []
-            for low, high in sorted(own):
-                if merged and low <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], high)
-                else:
-                    merged.append([low, high])
-            for low, high in merged:
-                for m in self.patterns[notice].finditer(line, low, high):
-                    found.append((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
+            open_: list[tuple[int, int, int, int, int]] = []
+            kept: list[tuple[int, int]] = []
+
+            def look(low: int, high: int, notice=notice, open_=open_) -> None:
+                m = self.patterns[notice].search(line, low, high)
+                if m:
+                    heapq.heappush(open_, (sum(m.fuzzy_counts), *m.span(), low, high))
+
+            for low, high in own:
+                look(low, high)
+            while open_:
+                edits, start, end, low, high = heapq.heappop(open_)
+                i = bisect_left(kept, (start, end))
+                near = next((s for s in kept[max(i - 1, 0) : i + 1] if s[0] < end and start < s[1]), None)
+                if near is None:
+                    kept.insert(i, (start, end))
+                    found.append((start, end, notice, edits))
+                elif near != (start, end):
+                    look(low, max(low, near[0]))
+                    look(min(high, near[1]), high)
         return sorted(found)
 
 
-def _places(words: list[str], line: str, phrases: list[str]) -> list[tuple[int, str]]:
+def _places(line: str, phrases: list[str]) -> list[tuple[int, str]]:
     """(word index, phrase) of every place where a phrase's words stand one after the other."""
     found, padded = [], f" {line} "
     for phrase in phrases:
+        before = last = 0
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            found.append((padded.count(" ", 0, at), phrase))
+            before, last = before + padded.count(" ", last, at), at
+            found.append((before, phrase))
             at = padded.find(f" {phrase} ", at + 1)
     return found
 
@@ -125,7 +139,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, base: dict[str,
             for text in batch.column("text").to_pylist():
                 words = _WORD.findall(text.translate(_LOW) if not text.isascii() else text.lower())
                 line = " ".join(words)
-                places = _places(words, line, list(base))
+                places = _places(line, list(base))
                 near = search.spans(line)
                 labels = {base[p] for _, p in places}
                 starts = [i for i, _ in places]

@@ -30,6 +30,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# The same matches in time proportional to the text: no run of letters or digits is tried from each of its places.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+_FOUR = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+
 # Documents the field is fitted on, at most, and tokens of a segment, at most.
 FIT_DOCS = 1500
 LONGEST = 6
@@ -55,13 +60,28 @@ def _bare(text: str) -> str:
     return "".join(_DIGITS.findall(text))
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """(start, end) of EMAIL's matches: the name is what stands before an at sign, back to the match before."""
+    found, last = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at) if start < at else None
+        if domain:
+            last = domain.end()
+            found.append((start, last))
+        at = text.find("@", at + 1)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the patterns' matches that hold, in this order."""
     found = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found += [(start, 0, end) for start, end in emails(text)]
     if _HIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if octets(m[0])]
+        found += [(m.start(), 1, m.end()) for m in _FOUR.finditer(text) if octets(m[0])]
         found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := _bare(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(_bare(m[0])) <= 15]
@@ -96,9 +116,11 @@ def regions(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """The stretch without the marks that only surround it."""
-    while start < end and (text[start] in "\"'<[{,;:=" or text[start] == "(" and ")" not in text[start:end]):
+    lone = text.find(")", start, end) < 0
+    while start < end and (text[start] in "\"'<[{,;:=" or text[start] == "(" and lone):
         start += 1
-    while end > start and (text[end - 1] in ".,;:!?\"'>]}" or text[end - 1] == ")" and "(" not in text[start:end]):
+    lone = text.find("(", start, end) < 0
+    while end > start and (text[end - 1] in ".,;:!?\"'>]}" or text[end - 1] == ")" and lone):
         end -= 1
     return start, end
 
@@ -260,9 +282,9 @@ def train(docs: DataFrame) -> np.ndarray:
     """Fit on at most FIT_DOCS texts with a digit or at sign, shorter than 20,000 characters, by hash of the text."""
     rows = docs.select(whole().alias("text")).where("text rlike '[0-9@]' and length(text) < 20000")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # the texts' hashes alone are ordered; only the chosen texts move
+    # the texts' hashes alone are ordered; only the chosen texts move, each once however often it occurs
     last = rows.select("h").distinct().orderBy("h").limit(FIT_DOCS).agg(F.max("h")).first()[0]
-    return fit(sorted({r.text for r in rows.where(F.col("h") <= last).toLocalIterator()}) if last is not None else [])
+    return fit(sorted({r.text for r in rows.where(F.col("h") <= last).select("text").distinct().toLocalIterator()}) if last is not None else [])
 
 
 def _apart(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

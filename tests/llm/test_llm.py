@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -644,3 +645,56 @@ def test_pipeline_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_linear_patterns_equal_the_fixed_ones():
+    """E-mail addresses and four numbers found from at signs and from starts of numbers, not from every place."""
+    rnd = random.Random(11)
+    for _ in range(20_000):
+        text = "".join(rnd.choice("ab1 9.-_@@..+é1") for _ in range(rnd.randrange(24)))
+        assert private.emails(text) == [m.span() for m in private.EMAIL.finditer(text)]
+        assert [m.span() for m in private._FOUR.finditer(text)] == [m.span() for m in private.IP.finditer(text)]
+
+
+def test_long_words_and_rows_of_notices():
+    """Texts of a megabyte take seconds: the spans are those that the parts alone would give."""
+    start = time.perf_counter()
+    long = "a" * 500_000 + "@b.cc " + "1" * 500_000 + " 1.2.3.4 " + "a.b" * 100_000 + " " + "(" * 100_000 + "7"
+    found = private.base_spans(long)
+    assert (0, 0, 500_005) in found and [long[s:e] for s, k, e in found if k == 1] == ["1.2.3.4"]
+    assert private.trimmed("(" * 200_000, 0, 200_000) == (200_000, 200_000)
+    search = licenses.Search(licenses.NOTICES)
+    row = "licensd under cc by "
+    spans = search.spans(row * 20_000)
+    assert [s[0] for s in spans if s[2] == "licensed under cc by"] == list(range(0, len(row) * 20_000, len(row)))
+    assert [n for n, _ in licenses._places("cc by " * 100_000, ["cc by"])] == list(range(0, 200_000, 2))
+    assert time.perf_counter() - start < 60
+
+
+def test_a_worse_notice_before_a_better_one():
+    search = licenses.Search({"licensed under cc by": "cc-by"})
+    text = "licensd under cc by licensed under cc by"
+    assert [(text[a:b], e) for a, b, _, e in search.spans(text)] == [("licensd under cc by", 1), ("licensed under cc by", 0)]
+
+
+def test_notices_equal_search_at_every_place():
+    """Every stretch with at most the allowed edits overlaps a span that is no worse, and spans don't overlap."""
+    rnd = random.Random(12)
+    notice = "cc by licence"
+    k = licenses.errors(notice)
+    search = licenses.Search({notice: "x"})
+    for _ in range(60):
+        text = "".join(notice if rnd.random() < 0.15 else rnd.choice("cby lien") for _ in range(24))
+        cut = rnd.randrange(len(text))
+        text = text[:cut] + text[cut + 1 :]
+        spans = search.spans(text)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        for a in range(len(text)):
+            for b in range(a + len(notice) - k, min(len(text), a + len(notice) + k) + 1):
+                row = list(range(len(notice) + 1))
+                for i, c in enumerate(text[a:b], 1):
+                    last, row[0] = row[0], i
+                    for j, d in enumerate(notice, 1):
+                        last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+                if row[-1] <= k:
+                    assert any(s < b and a < e and edits <= row[-1] for s, e, _, edits in spans)
