@@ -232,6 +232,11 @@ def redact_url(url) -> Column:
     )
 
 
+def redact_key(key) -> Column:
+    """An object key as it is; a URL in its place as ``redact_url`` shows it."""
+    return F.when(F.contains(col(key), F.lit("://")), redact_url(key)).otherwise(col(key))
+
+
 def human_bytes(c) -> Column:
     """Size with a binary unit and two decimals, for reports."""
     n = col(c).cast("double")

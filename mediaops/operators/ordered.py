@@ -16,9 +16,11 @@ from mediaops.session import shared_dir
 PART = "_part"
 
 
-def dealt(df: DataFrame, keys: list[str], seq: str, parts: int | None = None) -> DataFrame:
+def dealt(df: DataFrame, keys: list, seq, parts: int | None = None) -> DataFrame:
     """``df`` as a stage, with ``_part``: rows of a key ascend with it. Several scans may share one stage.
 
+    Keys and sequence are names, or columns with a direction.
+
     The input is computed and moved once; its ranges come from a sample, so they must not be drawn again.
     """
     spark, by = df.sparkSession, [*keys, seq]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
+from mediaops.operators.ordered import PART, dealt
 
 # Histogram bounds in seconds.
 DURATION_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -73,31 +74,29 @@ def client_stats(jobs: DataFrame, meta: DataFrame) -> DataFrame:
 def share_of_total(totals: DataFrame, value: str = "size", label: str = "label") -> DataFrame:
     """Ratio of the total per slice with its cumulative start and end, largest first.
 
-    The running sum is windowed inside narrow ranges of the value (1024 for each power of two), and the
-    ranges, 65,000 at most, are chained by their totals; no window holds the whole table. Only equal
-    values share a range however many there are.
+    Rows are dealt once by range of value and label into a stage; the running sum is windowed inside a range,
+    and the ranges are chained by one row each. Equal values are split by label, so no window holds more than a
+    range however many there are; rows equal in both are told apart by the hash of the whole row.
     """
-    magnitude = F.floor(F.log2(F.greatest(F.col(value), F.lit(1)).cast("double")) * 1024).cast("int")
-    sized = totals.withColumn("_m", magnitude)
-    per_m = sized.groupBy("_m").agg(F.sum(value).alias("_s"))
-    higher = Window.orderBy(F.desc("_m")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    offsets = per_m.select(
-        "_m",
-        F.coalesce(F.sum("_s").over(higher), F.lit(0)).alias("_before"),
-        F.sum("_s").over(whole).alias("_total"),
-    )
-    inside = (
-        Window.partitionBy("_m").orderBy(F.desc(value), label).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tie = F.xxhash64(*totals.columns)
+    order = [F.desc(value), F.asc(label)]
+    rows = dealt(totals.withColumn("_tie", tie), order, F.asc("_tie"))
+    per_range = rows.groupBy(PART).agg(F.sum(value).alias("_s"))
+    earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        PART,
+        F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_s").over(Window.partitionBy()).alias("_total"),
     )
+    inside = Window.partitionBy(PART).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("_before") + F.col("_run")
 
     def ratio(x):
         return F.when(F.col("_total") > 0, F.round(x / F.col("_total"), 6)).otherwise(F.lit(0.0))
 
     return (
-        sized.withColumn("_run", F.sum(value).over(inside))
-        .join(offsets, "_m")
+        rows.withColumn("_run", F.sum(value).over(inside))
+        .join(offsets, PART)
         .withColumns(
             {
                 "ratio": ratio(F.col(value)),
@@ -105,7 +104,7 @@ def share_of_total(totals: DataFrame, value: str = "size", label: str = "label")
                 "slice_end": ratio(upto),
             }
         )
-        .drop("_m", "_run", "_before", "_total")
+        .drop(PART, "_tie", "_run", "_before", "_total")
     )
 
 
@@ -220,7 +219,7 @@ TIMING_FIELDS = [
 
 
 def parse_copy_log(lines: DataFrame) -> DataFrame:
-    """Columns of the copy timing lines; other lines are dropped."""
+    """Columns of the copy timing lines; other lines are dropped (A16). A key that is a signed URL is shortened for reports."""
     line = F.col("line")
 
     def number(name):
@@ -229,7 +228,7 @@ def parse_copy_log(lines: DataFrame) -> DataFrame:
     return lines.filter(line.startswith("Copy timing ")).select(
         "ts",
         F.regexp_extract(line, r"^Copy timing (\w+) for ", 1).alias("result"),
-        F.regexp_extract(line, r" for (\S+) part=", 1).alias("key"),
+        C.redact_key(F.regexp_extract(line, r" for (\S+) part=", 1)).alias("key"),
         number("part").alias("part_number"),
         number("attempts").alias("attempts"),
         F.regexp_extract(line, r"\bfailed_stage=(\S+)", 1).alias("failed_stage"),

@@ -9,30 +9,17 @@ from pyspark.sql import types as T
 from mediaops import schemas
 from mediaops.operators.inventory import clean_listing
 from mediaops.sources.changes import read_rows, versions
+from mediaops.sources.listing import list_files
 
 
 def read_inventory(spark: SparkSession, path: str, prefix: str = "", format: str = "parquet", bucket: str = "") -> DataFrame:
     """Object listing below a prefix (S1): bucket, key, size, etag, last_modified.
 
     ``parquet`` and ``csv`` read a stored bucket inventory, and the prefix reaches the scan as a
-    filter; a large bucket's listing is best stored that way. ``files`` lists a file system through the
-    ``binaryFile`` source without opening contents; the driver does the listing.
+    filter. ``files`` lists a tree level by level, folders by executors (``listing.list_files``).
     """
     if format == "files":
-        listed = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .load(path)
-            .select("path", "length", "modificationTime")
-        )
-        root = path.rstrip("/") + "/"
-        listing = listed.select(
-            F.lit(bucket).alias("bucket"),
-            F.regexp_replace("path", "^.*?\\Q" + root + "\\E", "").alias("key"),
-            F.col("length").alias("size"),
-            F.lit("").alias("etag"),
-            F.col("modificationTime").alias("last_modified"),
-        )
+        listing = list_files(spark, path, prefix).select(F.lit(bucket).alias("bucket"), "key", "size", F.lit("").alias("etag"), "last_modified")
     else:
         reader = spark.read.schema(schemas.INVENTORY)
         if format == "csv":

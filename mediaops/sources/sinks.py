@@ -111,8 +111,17 @@ def compact_ledger(spark: SparkSession, path: str, stage: str, share: float = ch
     changes.compact(spark, path, stage, lambda rows: _write_buckets(rows, path, "overwrite", "dynamic"), share, schema)
 
 
-def write_rejects(errors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Validation errors as JSON lines: line_number, content, message, fixed, fixed_url (K3)."""
+def write_rejects(errors: DataFrame, path: str, mode: str = "overwrite", redact: bool = False) -> None:
+    """Validation errors as JSON lines: line_number, content, message, fixed, fixed_url (K3).
+
+    With ``redact``, URLs in the content, and where the message quotes it, are shortened as in other reports;
+    for reports that go to others than who sent the lines.
+    """
+    if redact:
+        quote = F.lit("'")
+        shown = errors.withColumn("_shown", C.redact_key("content"))
+        told = F.replace("message", F.concat(quote, "content", quote), F.concat(quote, "_shown", quote))
+        errors = shown.withColumn("message", told).withColumn("content", F.col("_shown")).drop("_shown")
     errors.withColumnRenamed("line_no", "line_number").write.mode(mode).json(path)
 
 

@@ -71,6 +71,8 @@ def test_member_fields(spark):
 def test_redact_url(spark):
     rows = [("https://h/p?partNumber=3&uploadId=abcdefghijk&sig=z",), ("not a url",)]
     assert values(spark, rows, ["u"], C.redact_url("u")) == ["https://h/p?partNumber=3&uploadId=abcdefgh...", "<invalid_url>"]
+    rows = [("k/a.mp4",), ("https://h/p?sig=z&uploadId=abcdefgh...",), ("://x?sig=z",), (None,)]
+    assert values(spark, rows, ["u"], C.redact_key("u")) == ["k/a.mp4", "https://h/p?uploadId=abcdefgh...", "<invalid_url>", None]
 
 
 def test_human_bytes(spark):

@@ -231,6 +231,23 @@ def test_share_of_total(spark):
     assert got == {"b": (0.0, 0.7), "d": (0.7, 0.9), "a": (0.9, 1.0), "c": (1.0, 1.0)}
 
 
+def test_share_of_equal_values(spark):
+    rows = [(f"l{n % 90}", 5 if n % 3 else n) for n in range(400)] + [("z", 0)]
+    df = spark.createDataFrame(rows, "label string, size long")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = sorted((r.size, r.label, r.slice_start, r.slice_end) for r in reports.share_of_total(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    total, upto, want = sum(s for _, s in rows), 0, []
+    for label, size in sorted(rows, key=lambda r: (-r[1], r[0])):
+        want.append((size, label, round(upto / total, 6), round((upto + size) / total, 6)))
+        upto += size
+    assert got == sorted(want)
+    assert reports.share_of_total(df.limit(0)).count() == 0
+
+
 def test_rate_breaches_equal_brute_force(spark):
     import random
 
@@ -403,6 +420,25 @@ def test_inventory_from_files(spark, tmp_path):
     assert got == [("b", "a/x.mp4", 3)]
 
 
+def test_files_level_by_level(spark, tmp_path):
+    want = {}
+    for n in range(60):
+        key = "/".join(["a", f"d{n % 3}", f"e=_{n % 5}"][: n % 4]) + f"/f{n}.mp4"
+        key = key.lstrip("/")
+        (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / key).write_bytes(b"x" * n)
+        want[key] = n
+    for hidden in ("_SUCCESS", "a/.part", "_temp/f.mp4"):
+        (tmp_path / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / hidden).write_bytes(b"1")
+    (tmp_path / "empty").mkdir()
+    for prefix in ("", "a/", "a/d1", "a/d1/e=_2/", "f1", "none/at/all"):
+        for root in (str(tmp_path), f"file://{tmp_path}/"):
+            got = one(readers.read_inventory(spark, root, prefix, "files"), "key", "size")
+            assert sorted(got) == sorted((k, n) for k, n in want.items() if k.startswith(prefix))
+    assert readers.read_inventory(spark, str(tmp_path / "missing"), format="files").count() == 0
+
+
 def test_prefix_reaches_the_scan(spark):
     path = shared_dir(spark, "inv")
     spark.createDataFrame([("b", "a/x", 1, '"AB"', None)], "bucket string, key string, size long, etag string, last_modified timestamp").write.parquet(path)

@@ -36,6 +36,25 @@ def _(v):
     return _stored_listing(v, "csv")
 
 
+@query(
+    "s1_read_inventory_files",
+    """select 'shop' as bucket, 'src/status=' || o_orderstatus || '/year=' || year(o_orderdate) as folder, count(*) * 11 as bytes,
+      max(o_orderkey % 3) >= 0 as dated from orders group by 2""",
+)
+def _(v):
+    path = shared_dir(v.spark, "tree")
+    lines = v.orders.select(
+        F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("value")
+    )
+    lines.write.partitionBy("status", "year").text(f"{path}/src")
+    lines.limit(1).select("value").write.text(f"{path}/other")
+    found = readers.read_inventory(v.spark, path, "src/", "files", "shop")
+    folder = F.regexp_replace("key", "/[^/]*$", "").alias("folder")
+    return found.groupBy("bucket", folder).agg(
+        F.sum("size").alias("bytes"), (F.min("last_modified") > F.lit("2020-01-01").cast("timestamp")).alias("dated")
+    )
+
+
 # What the patterns of v_jobs mean, said once more in plain SQL.
 GLOB = """(include = '' or include = '[bad'
     or include = '*.mp4' and base like '%.mp4' or include = 'p?*' and base like 'p_%'

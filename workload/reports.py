@@ -166,6 +166,30 @@ def _(v):
     )
 
 
+@query(
+    "a16_copy_log_signed",
+    """select 'https://store.example/' || regexp_extract(line, ' for (\\S+) part=', 1) || '?partNumber=7&uploadId=01234567...' as key,
+      count(*) as lines from v_copy_log where line like 'Copy timing %' group by 1""",
+)
+def _(v):
+    signed = " for https://store.example/$1?sig=s&uploadId=0123456789abcdef&partNumber=7 part="
+    lines = v.copy_log.withColumn("line", F.regexp_replace("line", r" for (\S+) part=", signed))
+    return reports.parse_copy_log(lines).groupBy("key").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    "w13_share_of_equal_values",
+    """with t as (select l_orderkey * 10 + l_linenumber as label, l_quantity::bigint as size from lineitem),
+      c as (select label, size, sum(size) over () as total,
+        sum(size) over (order by size desc, label rows between unbounded preceding and current row) as upto from t)
+    select label, size, round(size / total, 6) as ratio, round((upto - size) / total, 6) as slice_start,
+      round(upto / total, 6) as slice_end from c""",
+)
+def _(v):
+    label = F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")
+    return reports.share_of_total(v.lineitem.select(label.alias("label"), F.col("l_quantity").cast("long").alias("size")))
+
+
 @query(
     "a19_reachability_report",
     """select class, count(*) as probes, count(*) filter (status = 200) as accessible,

@@ -66,6 +66,29 @@ def _(v):
     return v.spark.read.schema(schema).json(path)
 
 
+# Every line also brings a signed URL; the report shows its address, part and the start of its upload id.
+SIGNED = "https://store.example/k"
+
+
+@query(
+    "k3_write_rejects_redacted",
+    f"""with bad as (select *, case when contains(content, '://') then regexp_replace(content, '[?#].*', '') else content end as shown from ({REJECTS})),
+      more as (select submission, line_no, '{SIGNED}' || v.page_id || '?partNumber=3&uploadId=' || substr(md5(p.url), 1, 8) || '...' as shown
+        from v_url_lines v join pages p on p.page_id = v.page_id)
+    select submission, line_no as line_number, shown as content, replace(message, '''' || content || '''', '''' || shown || '''') as message,
+      fixed, fixed_url from bad
+    union all select submission, line_no, shown, 'Invalid format: ''' || shown ||
+      '''. Expected YouTube URL (e.g., https://www.youtube.com/watch?v=VIDEO_ID) or video_id', false, null from more""",
+)
+def _(v):
+    path = shared_dir(v.spark, "rejects")
+    link = F.concat(F.lit(f" {SIGNED}"), F.col("page_id").cast("string"), F.lit("?sig=s&uploadId="), F.md5("url"), F.lit("&partNumber=3#end"))
+    lines = v.url_lines.join(v.pages.select("page_id", "url"), "page_id").withColumn("line", F.concat("line", link))
+    sinks.write_rejects(intake.manifest_errors(intake.validate_urls(intake.split_candidates(lines))), path, redact=True)
+    schema = "submission string, line_number long, content string, message string, fixed boolean, fixed_url string"
+    return v.spark.read.schema(schema).json(path)
+
+
 @query("k4_write_tasks_queue", "select job_id, id, status, case when status = 'PENDING' then 'a' else 'b' end as batch from v_tasks")
 def _(v):
     path = shared_dir(v.spark, "queue")
