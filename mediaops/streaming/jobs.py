@@ -88,7 +88,7 @@ def follow_tasks(
 
 def stream_job_counters(events: DataFrame, path: str, kind: str = "copy", checkpoint: str | None = None) -> DataFrame:
     """Running per-job counters from status events (T1): the sum of each micro-batch's changes."""
-    follow_tasks(events, path, lambda moves, n: write_stage(job_deltas(moves, kind), f"{path}/deltas", n), checkpoint=checkpoint)
+    follow_tasks(events, path, lambda moves, n: write_stage(job_deltas(moves, kind), f"{path}/deltas", n, lasting=True), checkpoint=checkpoint)
     return running_counters(events.sparkSession, path)
 
 
@@ -148,7 +148,7 @@ def stream_fenced_state(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         def answer(current: DataFrame, rows: DataFrame) -> None:
-            write_stage(judge_messages(current, rows), f"{path}/out", batch_id)
+            write_stage(judge_messages(current, rows), f"{path}/out", batch_id, lasting=True)
 
         def advance(current: DataFrame, rows: DataFrame) -> DataFrame:
             answers = read_stage(spark, f"{path}/out", batch_id, ANSWER)
@@ -192,7 +192,7 @@ def stream_new_objects(
             tasks = inv.allocate_ids(fresh, tops).select(
                 "job_id", "id", F.col("key").alias("src"), "size", "pos", F.lit(C.PENDING).alias("status")
             )
-            write_stage(tasks, f"{path}/out", batch_id)
+            write_stage(tasks, f"{path}/out", batch_id, lasting=True)
             found = read_stage(spark, f"{path}/out", batch_id, FOUND).select("job_id", "id")
             write_stage(tops.unionByName(found).groupBy("job_id").agg(F.max("id").alias("id")), f"{path}/tops", batch_id)
 

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaops.session import shared_dir
-from mediaops.sources.files import exists, names
+from mediaops.sources.files import exists, names, remove
 
 WATERMARK_SECONDS = 600
 # Text keys take the place of ids in stored tables by hash; a job's lie in so many ranges.
 HASHES = 1 << 40
 HASHES_PER_BUCKET = HASHES // 64
+# Directories of finished batches that become one.
+GATHER = 16
 
 
 def hashed(key: str) -> Column:
@@ -80,8 +82,13 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], pat
     query.awaitTermination()
 
 
-def write_stage(df: DataFrame, path: str, batch_id: int) -> None:
-    """One directory per batch; running a batch again replaces its own directory only."""
+def write_stage(df: DataFrame, path: str, batch_id: int, lasting: bool = False) -> None:
+    """One directory per batch; running a batch again replaces its own directory only.
+
+    A ``lasting`` stage is kept whole for ``read_stages``: directories of finished batches are gathered as it grows.
+    """
+    if lasting and batch_id:
+        gather_stages(df.sparkSession, path, df.schema, batch_id)
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
@@ -92,10 +99,59 @@ def read_stage(spark: SparkSession, path: str, batch_id: int, schema: str) -> Da
     return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
-def read_stages(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """All batches written below ``path``, or those before a batch (the others are not opened)."""
-    rows = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(f"{path}/batch=*")
-    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+def _spans(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """Directories of gathered batches, each batch in one of them, and the first batch that isn't gathered."""
+    wide: dict[int, int] = {}
+    for name in names(spark, f"{path}-gathered"):
+        first, last = map(int, name.removeprefix("batches-").split("-"))
+        if last > wide.get(first, -1) and exists(spark, f"{path}-gathered/{name}/_SUCCESS"):
+            wide[first] = last
+    chosen, at = [], 0
+    while at in wide:
+        chosen.append(f"{path}-gathered/batches-{at}-{wide[at]}")
+        at = wide[at] + 1
+    return chosen, at
+
+
+def _single(spark: SparkSession, path: str, at: int) -> list[str]:
+    return [f"{path}/{n}" for n in names(spark, path) if n.startswith("batch=") and int(n[6:]) >= at]
+
+
+def gather_stages(spark: SparkSession, path: str, schema, batch_id: int, width: int = GATHER) -> None:
+    """Before batch ``batch_id``: every ``width`` batches become one directory, every ``width`` of those one again.
+
+    A row is rewritten once for each power of ``width``, and at most ``width`` directories of each power stay. All
+    batches before are finished. What was gathered goes only when its new directory is complete; readers skip what
+    a stop left behind, and the repeated batch removes it.
+    """
+    path, span = path.rstrip("/"), 1
+    while batch_id % (span * width) == 0:
+        span *= width
+    spans, at = _spans(spark, path)
+    if span == 1 or not exists(spark, path):
+        return
+    if at < batch_id:
+        first = min(batch_id - span, at)
+        held = [s for s in spans if int(s.rsplit("-", 2)[1]) >= first] + _single(spark, path, at)
+        if held:
+            rows = spark.read.schema(schema).parquet(*held)
+            rows.write.mode("overwrite").parquet(f"{path}-gathered/batches-{first}-{batch_id - 1}")
+            spans, at = _spans(spark, path)
+    kept = {s.rsplit("/", 1)[1] for s in spans}
+    for name in names(spark, f"{path}-gathered"):
+        if name not in kept and int(name.rsplit("-", 1)[1]) < at:
+            remove(spark, f"{path}-gathered/{name}")
+    for name in names(spark, path):
+        if name.startswith("batch=") and int(name[6:]) < at:
+            remove(spark, f"{path}/{name}")
+
+
+def read_stages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches written below ``path``, those gathered included; none give no rows."""
+    path = path.rstrip("/")
+    spans, at = _spans(spark, path)
+    found = spans + _single(spark, path, at)
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
 Step = Callable[[DataFrame, DataFrame, object], tuple[DataFrame, DataFrame]]
@@ -114,8 +170,8 @@ def run_armed(
     ``mark`` (a scalar column) is the watermark: the largest event time seen less the delay. Rows
     older than the mark before the batch are late: one that follows the pending event of its key is
     judged like any other, the rest, whose deadlines are decided, is given out under ``late``.
-    ``path`` receives ``state``, ``mark``, ``out`` and ``late`` with one directory per batch. State
-    holds pending deadlines, and for some steps the rows newer than the mark.
+    ``path`` receives ``out`` and ``late``, gathered as they grow (``read_stages``), and ``state`` and ``mark`` of
+    the last two batches. State holds pending deadlines, and for some steps the rows newer than the mark.
     """
     spark = stream.sparkSession
     path = path.rstrip("/")
@@ -134,10 +190,12 @@ def run_armed(
         held = (state.filter("arm") if "arm" in fields else state).groupBy(*keys).agg(F.min(order).alias("_held"))
         late = batch.filter(F.col("us") < floor).join(held, keys, "left")
         after = F.coalesce(F.col(order) > F.col("_held"), F.lit(False))
-        write_stage(late.filter(~after).select(*batch.columns), f"{path}/late", batch_id)
+        write_stage(late.filter(~after).select(*batch.columns), f"{path}/late", batch_id, lasting=True)
         on_time = batch.filter(F.col("us") >= floor).unionByName(late.filter(after).select(*batch.columns))
         new_state, output = step(state, on_time, mark)
-        write_stage(output, f"{path}/out", batch_id)
+        write_stage(output, f"{path}/out", batch_id, lasting=True)
         write_stage(new_state, f"{path}/state", batch_id)
+        for table in ("state", "mark"):  # a repeated batch needs the one before it only
+            remove(spark, f"{path}/{table}/batch={batch_id - 2}")
 
     run_batches(stream, handle, path, checkpoint)

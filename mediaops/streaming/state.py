@@ -260,7 +260,7 @@ def stream_pairs(
             return current.filter("not done").drop("done").unionByName(rows).join(done, name, "left_anti")
 
         def complete(current: DataFrame, rows: DataFrame) -> None:
-            write_stage(complete_pairs(open_sides(current, rows))[0], f"{path}/out", batch_id)
+            write_stage(complete_pairs(open_sides(current, rows))[0], f"{path}/out", batch_id, lasting=True)
 
         def advance(current: DataFrame, rows: DataFrame) -> DataFrame:
             sides = open_sides(current, rows)

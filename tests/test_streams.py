@@ -378,3 +378,34 @@ def test_a_cancel_ahead_of_its_order(spark):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
     events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed)
     assert result(ss.stream_retry_due(events, shared_dir(spark, "due"), cooldown_seconds=3600)) == []
+
+
+def test_gathered_stages(spark):
+    """Directories stay few, a stop at any point loses and doubles nothing, and unfinished gatherings are not read."""
+    from mediaops.sources.files import names, remove
+    from mediaops.streaming import run
+
+    path, schema = shared_dir(spark, "stages") + "/out", "n long, at timestamp"
+
+    def rows(n):
+        return spark.createDataFrame([(n, T0), (n, None)][: n % 3], schema)
+
+    def kept():
+        return sorted(r.n for r in run.read_stages(spark, path, schema).collect())
+
+    assert kept() == []
+    for n in range(20):
+        if n in (6, 9):  # a gathering that stopped before its end
+            spark.createDataFrame([(-1, T0)], schema).write.parquet(f"{path}-gathered/batches-{0 if n == 9 else 3}-{n - 1}")
+            remove(spark, f"{path}-gathered/batches-{0 if n == 9 else 3}-{n - 1}/_SUCCESS")
+            assert -1 not in kept()
+        run.gather_stages(spark, path, schema, n, width=3) if n else None
+        run.write_stage(rows(n), path, n)
+        if n in (3, 9, 10, 18):  # the batch runs again, once with a source of its gathering still there
+            if n == 18:
+                rows(2).write.parquet(f"{path}/batch=2")
+            run.gather_stages(spark, path, schema, n, width=3)
+            run.write_stage(rows(n), path, n)
+        assert kept() == [k for k in range(n + 1) for _ in range(k % 3)]
+    assert sorted(names(spark, f"{path}-gathered")) == ["batches-0-8", "batches-9-17"]
+    assert sorted(names(spark, path)) == ["batch=18", "batch=19"]
