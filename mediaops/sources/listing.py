@@ -2,7 +2,7 @@
 
 A tree is walked level by level: the folders of a level are rows of a table in the shared folder, dealt over tasks,
 and each task lists its folders and writes the objects and folders it meets. The driver sees counts only. A folder
-is listed by one task, however many objects lie in it, and streams them in batches.
+is listed by one task, which holds that listing in memory, however many objects lie in it.
 """
 
 from __future__ import annotations
