@@ -409,3 +409,25 @@ def test_gathered_stages(spark):
         assert kept() == [k for k in range(n + 1) for _ in range(k % 3)]
     assert sorted(names(spark, f"{path}-gathered")) == ["batches-0-8", "batches-9-17"]
     assert sorted(names(spark, path)) == ["batch=18", "batch=19"]
+
+
+def test_streamed_pieces_are_the_batches(spark, tmp_path):
+    """A table of several partitions of which few hold a piece's rows: each trigger still takes one piece, whole."""
+    from mediaops.streaming.run import run_batches
+    from workload.streams import streamed
+    from workload.views import Views
+
+    table = spark.range(400).selectExpr("id as event_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", "id % 7 as user_id", "'view' as event_type", "1.0D as value")
+    table.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # one row group: the other partitions are empty
+    try:
+        for even in (False, True):
+            seen = {}
+            feed = streamed(Views(spark, str(tmp_path)), "events", even=even).events
+            assert spark.read.parquet(str(tmp_path / "events.parquet")).rdd.getNumPartitions() > 1
+            run_batches(feed, lambda df, n, seen=seen: seen.update({n: sorted(r.event_id for r in df.collect())}), shared_dir(spark, "pieces"))
+            assert len(seen) == 4
+            assert [x for n in sorted(seen) for x in seen[n]] == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

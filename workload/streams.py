@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mediaops.session import shared_dir
 from mediaops.sources import changes, sinks
+from mediaops.sources.files import names as listed
 from mediaops.streaming import jobs as sj
 from mediaops.streaming import state as ss
 from mediaops.streaming.run import run_available
@@ -34,13 +35,16 @@ def streamed(v: Views, name: str, batches: int = BATCHES, even: bool = False) ->
     else:
         cuts = still.select(at.alias("at")).approxQuantile("at", [n / batches for n in range(1, batches)], 0.001)
     path = shared_dir(v.spark, f"feed-{name}")
-    files = 0
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+    # A trigger takes a number of files: pieces of other numbers would run into each other's batches.
+    files = still.rdd.getNumPartitions()
+    empty = v.spark.createDataFrame([], still.schema).coalesce(1)
+    for n, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True), 1):
         piece = still
         piece = piece if low is None else piece.filter(at > low)
         piece = piece if high is None else piece.filter(at <= high)
-        piece.write.mode("append").parquet(path)
-        files = max(files, piece.rdd.getNumPartitions())
+        piece.repartition(files, at).write.mode("append").parquet(path)
+        for _ in range(n * files - sum(f.endswith(".parquet") for f in listed(v.spark, path))):
+            empty.write.mode("append").parquet(path)
     feed = v.spark.readStream.schema(still.schema).option("maxFilesPerTrigger", files)
     live._made[name] = feed.parquet(path)
     return live
