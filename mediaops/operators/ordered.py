@@ -58,6 +58,23 @@ def number_rows(df: DataFrame, keys: list[str], seq: str, out: str = "row_no", p
     return found if PART in df.columns else found.drop(PART)
 
 
+def running_sum(df: DataFrame, keys: list[str], seq: str, value, out: str, parts: int | None = None) -> DataFrame:
+    """Sum of ``value`` over the rows up to each one, itself included, in order of ``seq``.
+
+    A frame that was ``dealt`` by the keys and ``seq`` before keeps its stage.
+    """
+    rows = (df if PART in df.columns else dealt(df, keys, seq, parts)).withColumn("_value", value)
+    offsets = _ends(rows, keys, F.sum("_value").alias("_n")).withColumn("_before", F.sum("_n").over(_earlier(keys)))
+    inside = Window.partitionBy(*keys, PART).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        rows.withColumn(out, F.sum("_value").over(inside))
+        .join(offsets.drop("_n"), [*keys, PART], "left")
+        .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0)))
+        .drop("_value", "_before")
+    )
+    return found if PART in df.columns else found.drop(PART)
+
+
 def carry_last(
     df: DataFrame, keys: list[str], seq: str, value, out: str, parts: int | None = None, strict: bool = True
 ) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.functions import columns as C
-from mediaops.operators.ordered import PART, dealt
+from mediaops.operators.ordered import PART, carry_last, dealt, running_sum
 
 # Histogram bounds in seconds.
 DURATION_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -273,20 +275,32 @@ def rate_breaches(requests: DataFrame, limit: int, key: str = "machine", window_
     """Requests that met a full window (W9): earlier requests in the trailing minute, wait in µs.
 
     A request is a breach when the minute before it already holds ``limit`` others; the wait lasts
-    until the oldest leaves, plus 0.1 s. Rows are windowed by (machine, minute): each is also handed
-    to the next minute as context, so no task holds more than two minutes of one machine.
+    until the oldest leaves, plus 0.1 s. Requests are counted by moment first. Every moment puts a mark where
+    its minute starts, and one scan over moments and marks in order gives the requests before each and the first
+    moment from a mark on: a row is touched once however many a minute holds. Requests without a time count
+    each other only.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cut = requests.withColumn("_us", at).withColumn("_slot", C.int_div("_us", window_us))
-    spread = cut.withColumn("_hop", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "_slot", F.col("_slot") + F.col("_hop")
+    by = ["_key", "_none"]  # the key and whether it is null
+    rows = requests.withColumns(
+        {"_us": F.unix_micros(F.col("ts").cast("timestamp")), "_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_none": F.col(key).isNull()}
     )
-    trailing = Window.partitionBy(key, "_slot").orderBy("_us").rangeBetween(-window_us, Window.currentRow)
-    return (
-        spread.withColumns({"in_window": F.count(F.lit(1)).over(trailing), "_oldest": F.min("_us").over(trailing)})
-        .filter("_hop = 0")
-        .withColumn("in_window", F.col("in_window") - 1)
-        .filter(F.col("in_window") >= limit)
-        .withColumn("wait_us", F.lit(window_us + 100_000) - (F.col("_us") - F.col("_oldest")))
-        .drop("_us", "_slot", "_hop", "_oldest")
+    moments = rows.groupBy(*by, "_us").agg(F.count(F.lit(1)).alias("_n"))
+    # marks come before the moment they meet, as a minute holds its first microsecond
+    ends = F.array(F.struct((F.col("_us") - window_us).alias("at"), F.lit(0).alias("own")), F.struct(F.col("_us").alias("at"), F.lit(1).alias("own")))
+    points = moments.withColumn("_end", F.explode(ends)).select(
+        *by, "_us", "_n", F.col("_end.own").alias("_own"), (F.coalesce("_end.at", F.lit(-(1 << 61))) * 2 + F.col("_end.own")).alias("_at")
+    )
+    points = dealt(points, by, "_at")
+    own = F.col("_own") == 1
+    counted = running_sum(points, by, "_at", F.when(own, F.col("_n")).otherwise(0), "_upto")
+    reverse = counted.withColumns({"_back": -F.col("_at"), PART: -F.col(PART)})
+    first = carry_last(reverse, by, "_back", F.when(own, F.col("_us")), "_first")
+    judged = first.groupBy(*by, "_us").agg(
+        F.max(F.when(own, F.col("_upto"))).alias("_upto"),
+        F.max(F.when(~own, F.col("_upto"))).alias("_before"),
+        F.max(F.when(~own, F.col("_first"))).alias("_oldest"),
     )
+    judged = judged.withColumn("in_window", F.col("_upto") - F.col("_before") - 1).filter(F.col("in_window") >= limit)
+    judged = judged.withColumn("wait_us", F.lit(window_us + 100_000) - (F.col("_us") - F.col("_oldest"))).alias("j")
+    same = reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"j.{c}")) for c in [*by, "_us"]])
+    return rows.alias("r").join(judged, same).select(*[F.col(f"r.`{c}`") for c in requests.columns], "in_window", "wait_us")

@@ -265,6 +265,24 @@ def test_rate_breaches_equal_brute_force(spark):
     assert want and got == want
 
 
+def test_rate_breaches_of_dense_machines_and_rows_without_time(spark):
+    import random
+
+    rnd = random.Random(2)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(n, rnd.choice(["a", "b", None]), rnd.choice([*[None] * 5, *range(40)])) for n in range(200)]
+    times = [(n, m, None if x is None else t0 + dt.timedelta(seconds=5 * x)) for n, m, x in rows]
+    df = spark.createDataFrame(times, "seq long, machine string, ts timestamp").repartition(3)
+    want = {}
+    for n, m, x in rows:
+        held = [y for _, k, y in rows if k == m and (y is None if x is None else y is not None and x - 12 <= y <= x)]
+        if len(held) > 5:
+            want[n] = (m, len(held) - 1, None if x is None else 60_100_000 - 5_000_000 * (x - min(held)))
+    got = {r.seq: (r.machine, r.in_window, r.wait_us) for r in reports.rate_breaches(df, limit=5).collect()}
+    assert {k: (got.get(k), want.get(k)) for k in {*got, *want} if got.get(k) != want.get(k)} == {}
+    assert any(w is None for _, _, w in want.values())
+
+
 def test_http_percentile_and_buckets(spark):
     df = spark.createDataFrame([("GET", "/", 200, x / 100, x) for x in range(1, 101)], "method string, path string, status int, duration double, duration_ms long")
     r = reports.http_metrics(df).first()
@@ -444,3 +462,15 @@ def test_prefix_reaches_the_scan(spark):
     spark.createDataFrame([("b", "a/x", 1, '"AB"', None)], "bucket string, key string, size long, etag string, last_modified timestamp").write.parquet(path)
     plan = readers.read_inventory(spark, path, prefix="a/").select("key", "size")._jdf.queryExecution().toString()
     assert "StringStartsWith(key,a/)" in plan and "ReadSchema: struct<key:string,size:bigint>" in plan
+
+
+def test_formats_are_stored_packed(spark, tmp_path):
+    import glob
+
+    import workload
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    found = workload.QUERIES["s5_read_formats"](spark, "/root/testdata/sf0.001")
+    assert found.count() == 2 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    files = glob.glob(f"{base}/formats-*/part-*")
+    assert files and all(f.endswith(".json.gz") for f in files)
