@@ -156,3 +156,15 @@ def test_streak(spark):
     df = spark.createDataFrame(rows, "job_id long, task_id long, attempt long, resumed boolean, before_parts long, after_parts long")
     got = [(r.streak, r.abandon) for r in reconcile.no_progress_streak(df, parts=3).orderBy("attempt").collect()]
     assert got == [(0, False), (1, False), (2, False), (0, False), (1, False), (2, False), (3, False), (4, False), (5, True)]
+
+
+def test_overwrite_moves_only_columns_that_are_read(spark):
+    texts = {c: F.concat(F.lit(f"{c}-"), F.col("seq").cast("string")) for c in merges.RECORD_COLUMNS if not c.endswith("_size")}
+    sizes = {c: F.col("seq") for c in merges.RECORD_COLUMNS if c.endswith("_size")}
+    rows = spark.range(12).selectExpr("id % 2 + 1 as job_id", "id % 3 + 1 as id", "id as seq").withColumns({**texts, **sizes, "url": F.lit("u")})
+    old = rows.where("id = 1").withColumns({"created_at": F.lit(T0), "updated_at": F.lit(T0)}).drop("seq").dropDuplicates(["job_id", "id"])
+    merged = merges.merge_overwrite(old, rows, "2024-01-02 00:00:00")
+    last = {(r.job_id, r.id): r.seq for r in rows.groupBy("job_id", "id").agg(F.max("seq").alias("seq")).collect()}
+    assert {(r.job_id, r.id): (r.status, r.video_size) for r in merged.collect()} == {k: (f"status-{n}", n) for k, n in last.items()}
+    plan = merged.select("job_id", "id", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "video_url-" not in plan and "status-" in plan
