@@ -129,7 +129,8 @@ def _(v):
     nested = v.formats.select(
         F.concat("video_id", F.lit("-"), F.col("pos").cast("string")).alias("id"), F.array(entry(0), entry(1)).alias("formats")
     )
-    nested.write.json(path)
+    # Extractor output is kept packed; files are small enough to be read side by side, as a packed one isn't split.
+    nested.write.option("compression", "gzip").option("maxRecordsPerFile", 500_000).json(path)
     rows = readers.read_formats(v.spark, path)
     return rows.select("video_id", "pos", "format_id", "height", "filesize").fillna(-1, ["height"])
 
