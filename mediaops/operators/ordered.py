@@ -23,12 +23,17 @@ def dealt(df: DataFrame, keys: list, seq, parts: int | None = None) -> DataFrame
 
     The input is computed and moved once; its ranges come from a sample, so they must not be drawn again.
     """
-    spark, by = df.sparkSession, [*keys, seq]
+    by = [*keys, seq]
     rows = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
-    rows = rows.withColumn(PART, F.spark_partition_id())
-    path = shared_dir(spark, "scan")
+    return staged(rows.withColumn(PART, F.spark_partition_id()))
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """``rows`` written once and read back. A scan reads its input twice, so a chain of scans without stages between
+    them computes its first one twice for each that follows, and twice again."""
+    path = shared_dir(rows.sparkSession, "scan")
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _ends(rows: DataFrame, keys: list[str], end) -> DataFrame:

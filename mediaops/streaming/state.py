@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mediaops.functions import columns as C
 from mediaops.functions import rules
 from mediaops.operators.errors import contains_any
-from mediaops.operators.ordered import PART, carry_last, dealt
+from mediaops.operators.ordered import PART, carry_last, dealt, staged
 from mediaops.sources.sinks import upsert_ledger
 from mediaops.streaming.run import (
     HASHES_PER_BUCKET,
@@ -59,7 +59,7 @@ def armed(
         judged = judged.join(heard.groupBy(*keys).agg(F.max("us").alias("_heard")), keys, "left")
         limit = F.greatest(mark, F.col("_heard"))
     passed = F.when(F.col("_next").isNull(), due <= limit).otherwise(due <= F.col("_next"))
-    judged = judged.withColumns({"due": due, "_passed": passed})
+    judged = staged(judged.withColumns({"due": due, "_passed": passed}))
     pending = judged.filter("not _passed and _next is null").select(*rows.columns)
     return judged.filter("_passed").select(*rows.columns, "due"), pending
 
@@ -109,13 +109,13 @@ def staleness_step(claim_us: int, running_us: int):
     def step(state: DataFrame, batch: DataFrame, mark: Column):
         rows = dealt(state.unionByName(batch.select(*RUN, "seq", "us", "kind")), RUN, "seq")
         progress = F.col("kind") == "progress"
-        chain = carry_last(rows, RUN, "seq", F.col("us"), "_prev")
+        chain = staged(carry_last(rows, RUN, "seq", F.col("us"), "_prev"))
         late = progress & (F.col("_prev").isNull() | (F.col("us") - F.col("_prev") >= running_us))
         broken = late | F.col("kind").isin("claim", "done")
         chain = carry_last(chain, RUN, "seq", F.when(broken, F.col("seq")), "_broken", strict=False)
         chain = carry_last(chain, RUN, "seq", F.when(F.col("kind") == "activate", F.col("seq")), "_active", strict=False)
         live = F.col("_active").isNotNull() & (F.coalesce("_broken", F.lit(-1)) < F.col("_active"))
-        effective = (
+        effective = staged(
             chain.filter(~progress | live)
             .withColumn("kind", F.when(progress, F.lit("activate")).otherwise(F.col("kind")))
             .select(*RUN, "seq", "us", "kind", PART)
