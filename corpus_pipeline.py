@@ -29,8 +29,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8."""
-    return simhash.keep_first(docs, Stages(spark, "pipeline-copies"), **simhash.SIMILAR)
+    """One document of each group of near copies: SimHash links fingerprints within 3 of 64 bits, as op1 does; copies at a
+    similarity of 0.8 (five-word shingles) that the bits miss are linked by an exact search after it."""
+    linked = simhash.near_duplicates(docs, Stages(spark, "pipeline-simhash"))
+    return simhash.keep_first(docs, Stages(spark, "pipeline-copies"), **simhash.SIMILAR, known=linked)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # fewer words kept than by the operator alone: the workers have run four stages before
-    found = pieces.encode(docs, public_tokenizers.path(PIECE_BPE), keep=120_000, lasting=False)
+    found = pieces.encode(docs, public_tokenizers.path(PIECE_BPE), keep=60_000, lasting=False)
     return found.select("doc_id", "n_chars", "n_pieces", "ids", "same")
 
 

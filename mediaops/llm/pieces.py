@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import slices, whole
+from mediaops.llm.common import release, slices, whole
 
 SPACE = "▁"
 # Words a task keeps, twice, and pairs: memory against time, results are the same.
@@ -54,7 +54,7 @@ class Pieces:
         self.follows: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.keep = KNOWN
+        self.keep, self.pairs = KNOWN, _PAIRS
         # Words end where no piece goes on: before a mark, around line ends, and between a letter and a sign.
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)
         after = {m[1] for p in scores for m in re.finditer(r"(?<=[^\W\d_])([^\w\s])", p)}
@@ -80,7 +80,7 @@ class Pieces:
     def may_follow(self, left: str, right: str) -> bool:
         found = self.follows.get((left, right))
         if found is None:
-            if len(self.follows) > _PAIRS:
+            if len(self.follows) > self.pairs:
                 self.follows.clear()
             found = self.follows[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -176,12 +176,12 @@ def encode(docs: DataFrame, path: str, merges: bool = True, keep: int = KNOWN, l
     ``same``: the ids decode to the text. ids_crc32 is that of the ids as little-endian unsigned 32-bit integers.
     A text that starts with the mark itself, or holds it, decodes to a space there. Null texts are empty and have
     no ids; null and repeated ids stay rows; no rows give none; other columns are not read.
-    A worker keeps ``keep`` words at a time, twice, and from task to task if ``lasting``.
+    A worker keeps ``keep`` words at a time, twice, and up to twice as many pairs; from task to task if ``lasting``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path, merges)
-        model.keep = keep
+        model.keep, model.pairs = keep, min(_PAIRS, 2 * keep)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = model.encode(texts)
@@ -201,6 +201,7 @@ def encode(docs: DataFrame, path: str, merges: bool = True, keep: int = KNOWN, l
             )
         if not lasting:
             model.forget()
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
     schema = "doc_id long, n_chars long, n_pieces long, ids array<int>, ids_crc32 long, same boolean"

@@ -281,11 +281,14 @@ def _meetings(first: int, last: int, similarity: float):
     return run
 
 
-def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: float) -> DataFrame:
+def similar_copies(
+    docs: DataFrame, stages: Stages, words: int, similarity: float, known: DataFrame | None = None
+) -> DataFrame:
     """(k1, k2, doc_id, node, root) of every row: classes of the links between texts at ``similarity`` or more.
 
     That is the Jaccard similarity of the sets of shingles; all texts without words are one class. Members of a large
-    group meet a few of it first, and those found alike by then need not meet each other.
+    group meet a few of it first, and those found alike by then need not meet each other. Nor do those that have one
+    root in ``known`` (k1, k2, root): its classes hold as well.
     """
     spark = docs.sparkSession
     k1, k2 = row_key(docs)
@@ -313,7 +316,14 @@ def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: floa
     chosen = keys.select("k1", "k2").distinct()
     sets = some(rows, chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text").mapInArrow(_sets(words), kinds)
     sets = stages.keep(sets.select("node", "set"), "sets")
-    open_keys, roots, found, first, last = keys.withColumn("root", F.col("node")), None, None, 0, HUBS
+    open_keys, found, first, last = keys.withColumn("root", F.col("node")), None, 0, HUBS
+    if known is not None:
+        named = prints.select("k1", "k2", "node").distinct().join(known.select("k1", "k2", "root").distinct(), ["k1", "k2"])
+        least = named.groupBy("root").agg(F.min("node").alias("b"))
+        found = named.join(least, "root").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+        found = stages.keep(found, "links-known")
+        roots = classes(found, stages, "stars-known")
+        open_keys = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     while True:
         # a group's original holds what its copies share: it comes before them
         met = open_keys.repartition("key").sortWithinPartitions("key", "rare", "node").select("key", "node", "n", "rest", "root")
@@ -344,16 +354,22 @@ def similar_copies(docs: DataFrame, stages: Stages, words: int, similarity: floa
 
 
 def keep_first(
-    docs: DataFrame, stages: Stages, radius: int = RADIUS, words: int = WORDS, bits: int = BITS, similarity: float | None = None
+    docs: DataFrame,
+    stages: Stages,
+    radius: int = RADIUS,
+    words: int = WORDS,
+    bits: int = BITS,
+    similarity: float | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with one row of each class: the smallest doc_id (nulls last; ties: by a hash of the text, then any).
 
-    With a ``similarity``, classes are those of ``similar_copies``; else they are linked by fingerprints.
+    With a ``similarity``, classes are those of ``similar_copies`` (and ``known``); else they are linked by fingerprints.
     """
     if similarity is None:
         found = near_duplicates(docs, stages, radius, words, bits)
     else:
-        found = similar_copies(docs, stages, words, similarity)
+        found = similar_copies(docs, stages, words, similarity, known)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("f")).select("f.k1", "f.k2")
     k1, k2 = row_key(docs)
     names = ("_llm_k1", "_llm_k2")

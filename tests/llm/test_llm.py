@@ -698,3 +698,16 @@ def test_notices_equal_search_at_every_place():
                         last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
                 if row[-1] <= k:
                     assert any(s < b and a < e and edits <= row[-1] for s, e, _, edits in spans)
+
+
+def test_pipeline_near_copies_are_those_of_simhash_too(spark):
+    """Equal fingerprints, as one phrase outvotes the rest, but few shingles in common: linked by the bits alone."""
+    import corpus_pipeline
+
+    phrase = "alpha beta gamma delta epsilon " * 100
+    texts = [phrase + " ".join(f"{side}{n}" for n in range(9)) for side in "xy"] + ["another text that is like none of the others"]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    assert (simhash.simhash(texts[0]) ^ simhash.simhash(texts[1])).bit_count() <= 3
+    docs = spark.createDataFrame([(n, t, len(t)) for n, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2]
