@@ -474,3 +474,10 @@ def test_formats_are_stored_packed(spark, tmp_path):
     assert found.count() == 2 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     files = glob.glob(f"{base}/formats-*/part-*")
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_shuffle_files_go_and_frames_are_read_again(spark):
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    first = sorted(tuple(r) for r in df.collect())
+    assert first == sorted(tuple(r) for r in df.collect()) and sum(n for _, n in first) == 1000
