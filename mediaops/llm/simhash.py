@@ -281,6 +281,15 @@ def _meetings(first: int, last: int, similarity: float):
     return run
 
 
+def _joined(roots: DataFrame, links: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """(node, root): the classes ``roots`` after the links (a, b) more. Only links between two classes are contracted."""
+    for end in ("a", "b"):
+        links = links.join(roots.toDF(end, "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    own = classes(links, stages, f"stars-{name}").toDF("root", "above")
+    moved = roots.join(own, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return stages.keep(moved.union(own).distinct(), f"roots-{name}")
+
+
 def similar_copies(
     docs: DataFrame, stages: Stages, words: int, similarity: float, known: DataFrame | None = None
 ) -> DataFrame:
@@ -316,13 +325,12 @@ def similar_copies(
     chosen = keys.select("k1", "k2").distinct()
     sets = some(rows, chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text").mapInArrow(_sets(words), kinds)
     sets = stages.keep(sets.select("node", "set"), "sets")
-    open_keys, found, first, last = keys.withColumn("root", F.col("node")), None, 0, HUBS
+    open_keys, roots, first, last = keys.withColumn("root", F.col("node")), None, 0, HUBS
     if known is not None:
         named = prints.select("k1", "k2", "node").distinct().join(known.select("k1", "k2", "root").distinct(), ["k1", "k2"])
         least = named.groupBy("root").agg(F.min("node").alias("b"))
         found = named.join(least, "root").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        found = stages.keep(found, "links-known")
-        roots = classes(found, stages, "stars-known")
+        roots = stages.keep(classes(found, stages, "stars-known"), "roots-known")
         open_keys = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     while True:
         # a group's original holds what its copies share: it comes before them
@@ -336,8 +344,10 @@ def similar_copies(
         shared = F.size(F.array_intersect("set_a", "set_b"))
         links = both.where(shared + 1e-9 >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b")
         links = stages.keep(links, f"links-{first}")
-        found = links if found is None else found.union(links)
-        roots = classes(found, stages, f"stars-{first}")
+        if roots is None:
+            roots = stages.keep(classes(links, stages, f"stars-{first}"), f"roots-{first}")
+        elif not links.isEmpty():
+            roots = _joined(roots, links, stages, str(first))
         left = keys.join(met.where("b is null").select(F.col("a").alias("key")), "key", "left_semi")
         left = left.join(roots, "node", "left").select("key", "node", "n", "rest", "rare", F.coalesce("root", "node").alias("root"))
         left = stages.keep(left, f"left-{first}")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import slices, whole
+from mediaops.llm.common import release, slices, whole
 
 # Labelled documents the model is fitted on, at most this many of each label.
 FIT_TOXIC, FIT_CLEAN = 1000, 2000
@@ -30,6 +30,8 @@ _MARKS = 1 << 22
 _CHAIN = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _KNOWN = 200_000
+# So many features of words are summed at a time, and so many documents calibrated on.
+_PIECE, _DOCUMENTS = 1 << 18, 128
 
 
 def features(word: str) -> list[int]:
@@ -134,12 +136,17 @@ def label_tokens(texts: list[str], toxic: np.ndarray) -> set[int]:
     All that are likely enough in toxic documents and common among them; then rarer ones, by odds, as long as they
     explain documents that the others don't.
     """
-    each = [np.unique([f for w in set(_WORD.findall(_lower(t))) for f in _marks(w)]).astype(np.int64) for t in texts]
+    each = [np.unique([f for w in set(_WORD.findall(_lower(t))) for f in _marks(w)]).astype(np.int32) for t in texts]
     n = np.bincount(toxic, minlength=2)
-    seen = [np.bincount(np.concatenate([e for e, k in zip(each, toxic, strict=True) if k == y]), minlength=_MARKS) for y in (0, 1)]
-    often = np.flatnonzero(seen[1] >= max(2, SHARE * n[1]))
-    odds = (seen[1][often] + 0.5) / (n[1] + 1) * (n[0] + 1) / (seen[0][often] + 0.5)
-    common = often[(odds >= RATIO) & (seen[1][often] >= max(4, 2 * SHARE * n[1]))]
+
+    def count(label: int) -> np.ndarray:
+        return np.bincount(np.concatenate([e for e, k in zip(each, toxic, strict=True) if k == label]), minlength=_MARKS)
+
+    bad = count(1)
+    often = np.flatnonzero(bad >= max(2, SHARE * n[1]))
+    bad = bad[often]
+    odds = (bad + 0.5) / (n[1] + 1) * (n[0] + 1) / (count(0)[often] + 0.5)
+    common = often[(odds >= RATIO) & (bad >= max(4, 2 * SHARE * n[1]))]
     chosen: set[int] = set(common.tolist())
     left = [e for e, y in zip(each, toxic, strict=True) if y and not np.isin(e, common, assume_unique=True).any()]
     for f in often[np.lexsort((often, -odds))][: int((odds >= RATIO).sum())].tolist():
@@ -150,6 +157,14 @@ def label_tokens(texts: list[str], toxic: np.ndarray) -> set[int]:
     return chosen
 
 
+def _added(to: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """At each place in ``to``: the sum of its ``values[of]``, added in their order, some at a time as the driver's memory is small."""
+    out = np.zeros(size)
+    for at in range(0, len(to), _PIECE):
+        np.add.at(out, to[at : at + _PIECE], values[of[at : at + _PIECE]].astype(np.float64))
+    return out
+
+
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = 40) -> Field:
     """A field fitted by gradient steps on the chains' likelihood, then the calibration. One label alone: its rate."""
     model = Field()
@@ -158,7 +173,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 40) -> Field:
         model.calibration = (float(np.log((n[1] + 0.5) / (n[0] + 0.5))), 0.0, 0.0)
         return model
     chosen = label_tokens(texts, toxic)
-    words, sizes, ends, keep_sizes, keep_words, keep_tags = [], [], [], [], [], []
+    words, sizes, ends, n_chains, keep_sizes, keep_words, keep_tags = [], [], [], [], [], [], []
     pool: dict[str, str] = {}  # one object for each distinct word
     for number, (text, y) in enumerate(zip(texts, toxic, strict=True)):
         own, own_sizes = _tokens(text)
@@ -167,6 +182,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 40) -> Field:
         words += own
         sizes += own_sizes
         ends.append(len(words))
+        n_chains.append(len(own_sizes))
         at = 0
         for k, size in enumerate(own_sizes):  # all chains with a toxic word, and some of the others
             if any(marked[at : at + size]) or (k + number) % 6 == 0:
@@ -177,18 +193,18 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 40) -> Field:
     y = np.array(keep_tags, np.float64)
     bounds = np.r_[0, np.cumsum(keep_sizes)].astype(np.int64)
     shared = {w: features(w) for w in set(keep_words)}
-    found = [shared[w] for w in keep_words]
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    cols = np.array([i for f in found for i in f], np.int64)
+    count = np.fromiter((len(shared[w]) for w in keep_words), np.int64, len(keep_words))
+    rows = np.repeat(np.arange(len(keep_words), dtype=np.int32), count)
+    cols = np.fromiter((i for w in keep_words for i in shared[w]), np.int32, len(rows))
     inner = np.ones(len(y), bool)
     inner[bounds[:-1]] = False  # not the first of its chain
     after = np.flatnonzero(inner)
     square, move_square, bias_square = np.full(SPACE, 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(epochs):
-        unary = np.bincount(rows, model.weights[cols], len(y)) + model.bias
+        unary = _added(rows, cols, model.weights, len(y)) + model.bias
         odds, before, behind = model.marginals(unary, bounds)
         p = _sigmoid(odds)
-        slope = np.bincount(cols, (y - p)[rows], SPACE) - 1e-3 * model.weights
+        slope = _added(cols, rows, y - p, SPACE) - 1e-3 * model.weights
         square += slope**2
         model.weights += (0.5 * slope / np.sqrt(square)).astype(np.float32)
         bias_slope = float((y - p).sum())
@@ -204,8 +220,17 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 40) -> Field:
         move_slope = (gold - pair.sum(axis=1)).reshape(2, 2)
         move_square += move_slope**2
         model.moves += 0.1 * move_slope / np.sqrt(move_square)
-    odds, _, _ = model.marginals(model.score(words, {}), np.r_[0, np.cumsum(sizes)].astype(np.int64))
-    w = _logistic(np.c_[_sums(odds, np.array(ends, np.int64))], toxic.astype(np.float64))
+    del rows, cols, shared, count, keep_words, keep_tags
+    known: dict[str, float] = {}
+    found = []
+    at = chain = 0
+    for k in range(0, len(ends), _DOCUMENTS):
+        part = np.array(ends[k : k + _DOCUMENTS], np.int64)
+        chains = np.r_[0, np.cumsum(sizes[chain : chain + sum(n_chains[k : k + _DOCUMENTS])])].astype(np.int64)
+        odds, _, _ = model.marginals(model.score(words[at : part[-1]], known), chains)
+        found.append(np.c_[_sums(odds, part - at)])
+        at, chain = part[-1], chain + len(chains) - 1
+    w = _logistic(np.concatenate(found), toxic.astype(np.float64))
     model.calibration = tuple(map(float, w))
     return model
 
@@ -232,7 +257,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
         if len(r.text) <= _LONGEST:
             sample[r.text] = max(r.toxic, sample.get(r.text, 0))
     texts = sorted(sample)
-    return fit(texts, np.array([sample[t] for t in texts], np.int64).reshape(-1))
+    model = fit(texts, np.array([sample[t] for t in texts], np.int64).reshape(-1))
+    del rows, sample, texts
+    release()
+    return model
 
 
 # Longer documents aren't used for fitting; they are scored like any other.

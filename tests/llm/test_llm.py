@@ -711,3 +711,44 @@ def test_pipeline_near_copies_are_those_of_simhash_too(spark):
     assert (simhash.simhash(texts[0]) ^ simhash.simhash(texts[1])).bit_count() <= 3
     docs = spark.createDataFrame([(n, t, len(t)) for n, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2]
+
+
+def test_links_within_classes_are_not_contracted_again(spark, monkeypatch):
+    """Rounds of meetings go on, but the driver plans a contraction only for links between classes, none for stars."""
+    st = stages(spark)
+    kept = []
+    keep = st.keep
+    monkeypatch.setattr(st, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    rng = random.Random(13)
+    # a passage shared without likeness, the first of its texts' shingles, keeps its key open for rounds
+    phrases = [[f"p{k}x{j}" for j in range(5)] for k in range(2000)]
+    shared = min(phrases, key=lambda p: int(simhash.shingle_set(" ".join(p), 5)[0]))
+    monkeypatch.setattr(simhash, "SAMPLE", 1 << 40)
+    rows = [(100 + k, " ".join([*shared, *(f"v{k}x{j}" for j in range(20))])) for k in range(40)]
+    words = [f"w{k}" for k in range(390)]
+    rows += [(k, " ".join([*words, *rng.choices(words, k=2)])) for k in range(10)]
+    docs = frame(spark, rows)
+    known = simhash.near_duplicates(docs, stages(spark))
+    found = simhash.similar_copies(docs, st, **simhash.SIMILAR, known=known).collect()
+    assert len({r.root for r in found if r.doc_id < 100}) == 1 and len({r.root for r in found if r.doc_id >= 100}) == 40
+    rounds = {x.split("-")[1] for x in kept if x.startswith("met-")}
+    contracted = {x.split("-")[1] for x in kept if x.startswith("stars-")}
+    assert len(rounds) >= 3 and len(contracted - {"known"}) <= 1
+    star = spark.createDataFrame([(5, k) for k in range(9, 20)] + [(2, 3)], "a long, b long")
+    kept.clear()
+    assert {(r.node, r.root) for r in classes(star, st, "alone").collect()} == {(k, 5) for k in (5, *range(9, 20))} | {(2, 2), (3, 2)}
+    assert kept == ["alone-0"]
+
+
+def test_toxicity_fit_sums_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    to, of = rng.integers(0, 50, 10_000).astype(np.int32), rng.integers(0, 300, 10_000).astype(np.int32)
+    values = rng.normal(size=300)
+    monkeypatch.setattr(toxicity, "_PIECE", 777)
+    assert np.array_equal(toxicity._added(to, of, values, 60), np.bincount(to, values[of], 60))
+    texts = [f"some plain words here. number {k} of them" + (" awful slur" if k % 3 == 0 else "") for k in range(60)]
+    toxic = np.array([k % 3 == 0 for k in range(60)], np.int64)
+    whole = toxicity.fit(texts, toxic)
+    monkeypatch.setattr(toxicity, "_DOCUMENTS", 7)
+    parts = toxicity.fit(texts, toxic)
+    assert np.array_equal(whole.weights, parts.weights) and whole.calibration == parts.calibration
