@@ -11,13 +11,16 @@ import heapq
 import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,9 +32,12 @@ from mediaops.llm.common import Stages, slices, whole
 LIMIT = 18
 BLOCK = 512
 RUN = 1 << 20
+# Bytes of text whose words are numbered together.
+SLICE = 4 << 20
 END = 0
 # Words a worker keeps, twice: memory against time, results are the same. Longer words aren't kept.
-KNOWN, LONG_WORD = 400_000, 64
+KNOWN, LONG_WORD = 600_000, 64
+_IS_WHITE, _IS_SIGN, _IS_LETTER, _IS_DOUBT = 1, 2, 3, 4
 
 
 # --- ids of a text -------------------------------------------------------------------------------------
@@ -53,22 +59,26 @@ def tokenizer(path: str) -> Tokenizer:
 class Encoder:
     """Ids of texts; for byte-level vocabularies each distinct word is given to the library once.
 
+    Texts are cut into words by their bytes, and Arrow numbers the distinct ones, so Python sees each once a slice.
+
     Words begin where the library's own split always begins a piece: with the white space after something else, and
     with a sign after a Latin letter. A white space that not all versions of Unicode call one is no such place.
     """
 
-    _WHITE, _SIGNS = " \t\n\r", ".,;:!?)"
+    _WHITE, _SIGNS = " \t\n\r", ".,;:!?)*#%&$"
     _DOUBT = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
     def __init__(self, path: str, keep: int = KNOWN):
         self.library, self.keep = tokenizer(path), keep
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        rest = f"[^{self._WHITE}{self._SIGNS}]*+"
-        more = f"(?:(?<![A-Za-z])[{self._SIGNS}]{rest}|(?<=[{self._DOUBT}])[{self._WHITE}]++{rest})*+"
-        pattern = f"(?:[{self._WHITE}]++|[^{self._WHITE}]){rest}{more}"
         self.splits = self._splits()
-        self.words = re.compile(pattern if self.splits else ".+", re.DOTALL)
+        self.kinds = np.zeros(256, np.uint8)
+        self.kinds[list(self._WHITE.encode())], self.kinds[list(self._SIGNS.encode())] = _IS_WHITE, _IS_SIGN
+        self.kinds[list(string.ascii_letters.encode())] = _IS_LETTER
+        doubt = re.findall(f"[{self._DOUBT}]", "".join(map(chr, range(1 << 16))).encode("utf-8", "ignore").decode())
+        self.kinds[[ord(x) for x in doubt if x < "\x80"]] = _IS_DOUBT
+        self.doubt = np.array([int.from_bytes(x.encode(), "big") for x in doubt if x >= "\x80"], np.int64)
         vocabulary = self.library.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for piece, i in vocabulary.items():  # a byte-level piece has a letter for each byte
@@ -87,36 +97,70 @@ class Encoder:
         )
         return bool(rule and plain and made["normalizer"] is None)
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         # Words that may stand one after the other in one text, as the next one's white space parts them.
-        chain = [w for w in new if self.splits and w[0] in self._WHITE and ("!" <= w[-1] <= "~" or w[-1].isalnum())]
-        alone = list(new.difference(chain))
+        white = tuple(self._WHITE)
+        chain = [w for w in new if w.startswith(white) and ("!" <= w[-1] <= "~" or w[-1].isalnum())] if self.splits else []
+        alone = list(set(new).difference(chain))
         found = self.library.encode_batch_fast([*alone, "".join(chain)], add_special_tokens=False)
         self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(alone, found, strict=False))
         ids = np.array(found[-1].ids, np.uint32)
-        word_ends = np.cumsum(np.fromiter((len(w.encode()) for w in chain), np.int64, len(chain)))
+        word_ends = np.cumsum(pc.binary_length(pa.array(chain, pa.string())).to_numpy(), dtype=np.int64)
         cuts = 4 * (np.searchsorted(np.cumsum(self.bytes[ids]), word_ends) + 1)
-        data, start = ids.tobytes(), 0
-        for w, end in zip(chain, cuts.tolist(), strict=True):
-            self.known[w] = data[start:end]
-            start = end
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text, as unsigned 32-bit integers."""
-        split = [self.words.findall(t) for t in texts]
+        data = ids.tobytes()
+        self.known.update(zip(chain, [data[a:b] for a, b in pairwise([0, *cuts.tolist()])], strict=True))
+
+    def _starts(self, data: np.ndarray) -> np.ndarray:
+        """Which of the UTF-8 bytes begin a word, by those before them."""
+        cut = np.zeros(len(data), bool)
+        if not self.splits:
+            return cut
+        kind = self.kinds[data]
+        white = kind == _IS_WHITE
+        cut[1:] = white[1:] & ~white[:-1] & (kind[:-1] != _IS_DOUBT) | (kind[1:] == _IS_SIGN) & (kind[:-1] == _IS_LETTER)
+        far = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
+        last = [data[np.maximum(far - k, 0)].astype(np.int64) << 8 * (k - 1) for k in (1, 2, 3)]
+        cut[far[np.isin(last[0] | last[1], self.doubt) | np.isin(last[0] | last[1] | last[2], self.doubt)]] = False
+        return cut
+
+    def ids(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Of each text, as unsigned 32-bit integers. Arrow numbers the distinct words of all texts together."""
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())).fill_null("")
+        bounds = np.frombuffer(texts.buffers()[1] or bytes(4), np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        cut = self._starts(data)
+        cut[bounds[bounds < len(data)]] = True
+        at = np.flatnonzero(cut)
+        edges = np.r_[at, len(data)].astype(np.int32)
+        words = pa.StringArray.from_buffers(len(at), pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
+        distinct, place = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set().union(*split).difference(known)
-        again = new.intersection(older)
-        known.update((w, older[w]) for w in again)
-        new -= again
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        each = list(map(known.get, distinct))
+        missing = [i for i, x in enumerate(each) if x is None]
+        new = []
+        for i in missing:
+            w = distinct[i]
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        if new:
+            self._learn(new)
+        for i in missing:
+            each[i] = known[distinct[i]]
         for w in new:
             if len(w) > LONG_WORD:
                 del known[w]
-        return out
+        flat = np.frombuffer(b"".join(each), np.uint32)
+        size = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+        first, n = (np.cumsum(size) - size)[place], size[place]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        ends = ends[np.searchsorted(at, bounds)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -134,9 +178,9 @@ def token_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, n, ids) of every row: its ids with ``end`` appended, packed; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = array("I", [end]).tobytes()
-        for batch in slices(batches):
-            found = [np.frombuffer(x + last, np.uint32) for x in encoder(path).ids(batch.column("text").to_pylist())]
+        last = np.array([end], np.uint32)
+        for batch in slices(batches, size=SLICE):
+            found = [np.concatenate([x, last]) for x in encoder(path).ids(batch.column("text"))]
             packed = [_pack(x) for x in found]
             count = pa.array(map(len, found), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), count, pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])

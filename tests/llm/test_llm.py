@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -208,6 +209,19 @@ def test_words_encoded_once_give_the_librarys_ids():
         assert found == [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
 
 
+def test_signs_after_words_make_no_new_words(monkeypatch):
+    own, library = huffman.Encoder(BYTE_BPE), huffman.tokenizer(BYTE_BPE)
+    learnt = []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: learnt.extend(new) or learn(new))
+    texts = ["one alpha### alpha*** alpha%% alpha", "", "one alpha$5 alpha&b alpha.", "caf\u00e9\u3000 x caf\u00e9 x\x85 y"]
+    for part in (pa.array([None, "skipped", *texts, None]).slice(2), texts, []):
+        found = [x.tolist() for x in own.ids(part)]
+        want = ["" if t is None else t for t in (part.to_pylist() if isinstance(part, pa.Array) else part)]
+        assert found == [x.ids for x in library.encode_batch(want, add_special_tokens=False)]
+    assert learnt.count(" alpha") == 1 and len(learnt) == len(set(learnt)) and not any(x.startswith(" alpha") and x != " alpha" for x in learnt)
+
+
 def test_limited_lengths_are_optimal():
     # Fibonacci counts make the deepest tree; compared with all ways to give six symbols lengths up to four.
     counts = {i: c for i, c in enumerate((1, 1, 2, 3, 5, 8))}
