@@ -27,8 +27,8 @@ MOST_REPEATED = 30  # percent of the words
 WINDOW = 8
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_BLANKS = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_IN_WORD = r"[^\x20\x09-\x0D]"
+_SYMBOLS = "[#*$%&|<>]"
 _TOKENS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 
 
@@ -58,8 +58,8 @@ def grams(text: Column, buckets: int = BUCKETS) -> Column:
 def _repeated(words: Column) -> Column:
     """How many words lie in runs of eight that the text holds twice or more.
 
-    Runs are compared by a 64-bit hash. Where none repeats that is seen from their number; else they are sorted by
-    hash, and the words under each that has an equal neighbour are counted in order of their places.
+    Runs are compared by a 64-bit hash. Where no four words repeat, or no eight, that is seen from their number; else
+    runs are sorted by hash, and the words under each that has an equal neighbour are counted in order of their places.
     """
 
     def mix(x: Column, y: Column) -> Column:
@@ -83,13 +83,17 @@ def _repeated(words: Column) -> Column:
             )
             return F.sort_array(F.array_compact(same))
 
-        alone = F.size(F.array_distinct(runs)) == F.size(runs)
-        return F.when(alone, F.lit(0)).otherwise(let(let(order, twins), covered))
+        return F.when(alone(runs), F.lit(0)).otherwise(let(let(order, twins), covered))
+
+    def alone(runs: Column) -> Column:
+        return F.size(F.array_distinct(runs)) == F.size(runs)
+
+    def of_four(runs: Column) -> Column:
+        return F.when(alone(runs), F.lit(0)).otherwise(let(_pairs(runs, 4, mix), count))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     by_two = let(hashes, lambda h: _pairs(h, 1, mix))
-    by_four = let(by_two, lambda h: _pairs(h, 2, mix))
-    return let(let(by_four, lambda h: _pairs(h, 4, mix)), count)
+    return let(let(by_two, lambda h: _pairs(h, 2, mix)), of_four)
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -101,11 +105,11 @@ def rules(docs: DataFrame) -> DataFrame:
     """
     text = F.col("_llm_text")
     found = docs.withColumn("_llm_text", whole()).withColumn("_llm_words", F.array_remove(F.split(text, _SPACE), ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.char_length(F.translate(x, _BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_IN_WORD))
     counts = {
         "n_words": F.size("_llm_words"),
-        "word_chars": F.char_length(F.translate(text, _BLANKS, "")),
-        "n_symbols": F.char_length(text) - F.char_length(F.translate(text, _SYMBOLS, "")),
+        "word_chars": F.char_length(F.array_join("_llm_words", "")),
+        "n_symbols": F.regexp_count(text, F.lit(_SYMBOLS)),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_repeat_words": _repeated(F.col("_llm_words")),
     }

@@ -283,3 +283,26 @@ def test_search_of_nothing(spark):
     some = frame(spark, [(1, "a b", None, None, None)])
     assert ranked.search(some, items.limit(0), stages(spark)).columns == ["item_id", "rank", "doc_id", "score"]
     assert ranked.search(some, items.limit(0), stages(spark)).count() == 0
+
+
+def test_rules_without_work_for_each_character(spark):
+    """Characters are counted by words and by one search for signs: a dictionary look-up for each cost a third of the rules."""
+    texts = [
+        "a b c d x1 a b c d x2 y z",  # four words twice, never eight
+        "a b c d e f g h i a b c d e f g h j",
+        "one two three four " * 2 + "z",
+        "\x0b#\x0c\n\n \n é😀\r\né😀\r\n\x85 \n\x85 \n　 <|&>%$*",
+        " \n\t ",
+        None,
+    ]
+    found = quality.rules(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in found.collect()}
+    for at, text in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        again = {i + k for i, r in enumerate(runs) if runs.count(r) > 1 for k in range(8)}
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again))
+        assert got[at] == want, text
+    assert got[1][4] == 16 and got[0][4] == 0
