@@ -766,3 +766,24 @@ def test_toxicity_fit_sums_in_parts(monkeypatch):
     monkeypatch.setattr(toxicity, "_DOCUMENTS", 7)
     parts = toxicity.fit(texts, toxic)
     assert np.array_equal(whole.weights, parts.weights) and whole.calibration == parts.calibration
+
+
+def test_planted_passages_are_seen_in_n_removed_not_in_n_bytes(spark):
+    """Passages of over 50 words in two documents each: those of 400 bytes or more go, clean documents stay whole."""
+    rng = random.Random(17)
+
+    def words(n, side, letters):
+        return " ".join(f"{side}{rng.randrange(10**letters):0{letters}d}" for _ in range(n))
+
+    rows, long, short = [], set(), set()
+    for k in range(24):
+        passage = words(60, "p", 7) if k % 2 else words(55, "q", 4)
+        (long if k % 2 else short).update((2 * k, 2 * k + 1))
+        rows += [(2 * k + side, f"{words(40, 'a', 9)} {passage} {words(40, 'b', 9)}") for side in (0, 1)]
+    rows += [(100 + k, words(150, "c", 9)) for k in range(20)]
+    found = {r.doc_id: r for r in suffixes.remove_repeats(frame(spark, rows), stages(spark)).collect()}
+    assert all(found[k].n_bytes == len(t.encode()) for k, t in rows)
+    assert {k for k, r in found.items() if r.n_removed} == long
+    assert all(found[k].n_removed >= 60 * 9 - 1 for k in long)
+    # 55 words of five letters are 329 bytes: shorter than the strings that the contract removes
+    assert all(found[k].n_removed == 0 for k in short)
