@@ -3,6 +3,9 @@ benchmark leaks go, and what is left becomes SentencePiece ids. Each stage is on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,21 @@ from mediaops.llm.common import Stages
 from mediaops.llm.queries import PIECE_BPE
 from mediaops.session import configure
 
+# Texts reach Python in batches of about so many bytes (10,000 rows else, tens of MB): an executor holds several of a batch's
+# size in Arrow's buffers and in each worker, and neither gives all of it back to the stages that follow.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with batches of ``BATCH_BYTES`` from then on: its result is computed after it returns."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents scored 0.7 or more; null ids and texts stay like others."""
@@ -47,11 +65,11 @@ def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES = [
-    ("toxicity", toxic),
-    ("line dedup", repeated_lines),
-    ("SimHash near-dedup", near_copies),
-    ("benchmark decontamination", benchmark),
-    ("SentencePiece", sentence_pieces),
+    ("toxicity", small_batches(toxic)),
+    ("line dedup", small_batches(repeated_lines)),
+    ("SimHash near-dedup", small_batches(near_copies)),
+    ("benchmark decontamination", small_batches(benchmark)),
+    ("SentencePiece", small_batches(sentence_pieces)),
 ]
 
 # No SQL expresses the fitted field, the fingerprints or the pieces.

@@ -768,6 +768,25 @@ def test_toxicity_fit_sums_in_parts(monkeypatch):
     assert np.array_equal(whole.weights, parts.weights) and whole.calibration == parts.calibration
 
 
+def test_pipeline_stages_hand_texts_over_in_small_batches(spark, monkeypatch):
+    """What a worker gets at once has a bound in bytes, however long the texts: its memory isn't given back in full."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def sizes(docs, *_, **__):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["doc_id", "n_chars"])
+
+        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long")
+        return found.selectExpr("*", "0 as n_pieces", "0 as ids", "0 as same")
+
+    monkeypatch.setattr(pieces, "encode", sizes)
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id as doc_id", "repeat('x', 20000) as text")
+    found = dict(corpus_pipeline.STAGES)["SentencePiece"](spark, docs, SF).collect()
+    assert sum(r.doc_id for r in found) == 1500
+    assert max(r.n_chars for r in found) <= 2 * (4 << 20)
+
+
 def test_planted_passages_are_seen_in_n_removed_not_in_n_bytes(spark):
     """Passages of over 50 words in two documents each: those of 400 bytes or more go, clean documents stay whole."""
     rng = random.Random(17)
