@@ -16,7 +16,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import compress, pairwise, repeat
+from operator import is_, is_not
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from mediaops.llm.common import Stages, slices, whole
 
@@ -33,7 +34,7 @@ LIMIT = 18
 BLOCK = 512
 RUN = 1 << 20
 # Bytes of text whose words are numbered together.
-SLICE = 4 << 20
+SLICE = 8 << 20
 END = 0
 # Words a worker keeps, twice: memory against time, results are the same. Longer words aren't kept.
 KNOWN, LONG_WORD = 600_000, 64
@@ -49,6 +50,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _letters() -> np.ndarray:
+    """The UTF-16 letter that stands for each byte in byte-level vocabularies."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    out = np.zeros(256, "<u2")
+    out[own] = own
+    out[sorted(set(range(256)).difference(own))] = 256 + np.arange(256 - len(own))
+    return out
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     """The library's tokenizer, on one thread: Spark runs as many tasks as there are cores."""
@@ -63,9 +73,12 @@ class Encoder:
 
     Words begin where the library's own split always begins a piece: with the white space after something else, and
     with a sign after a Latin letter. A white space that not all versions of Unicode call one is no such place.
+    Latin letters after one white space are one piece by that split (with the white space, if it is a space), so such
+    words go to the library's merges without it.
     """
 
     _WHITE, _SIGNS = " \t\n\r", ".,;:!?)*#%&$"
+    _PLAIN = re.compile("[ \n][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u027f]+")
     _DOUBT = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
     def __init__(self, path: str, keep: int = KNOWN):
@@ -73,6 +86,9 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.splits = self._splits()
+        self.letters = _letters()
+        self.merges = Tokenizer.from_file(path)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.kinds = np.zeros(256, np.uint8)
         self.kinds[list(self._WHITE.encode())], self.kinds[list(self._SIGNS.encode())] = _IS_WHITE, _IS_SIGN
         self.kinds[list(string.ascii_letters.encode())] = _IS_LETTER
@@ -97,18 +113,31 @@ class Encoder:
         )
         return bool(rule and plain and made["normalizer"] is None)
 
+    def _pieces(self, plain: list[str]) -> str:
+        """The pieces of plain words, a letter for each byte, with spaces between them (no byte has that letter)."""
+        text = self.letters[np.frombuffer("".join(plain).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        space, line = (chr(self.letters[ord(x)]) for x in " \n")
+        return text.replace(space, f" {space}").replace(line, f" {line} ")
+
     def _learn(self, new: list[str]) -> None:
         # Words that may stand one after the other in one text, as the next one's white space parts them.
         white = tuple(self._WHITE)
-        chain = [w for w in new if w.startswith(white) and ("!" <= w[-1] <= "~" or w[-1].isalnum())] if self.splits else []
-        alone = list(set(new).difference(chain))
+        plain = list(filter(self._PLAIN.fullmatch, new)) if self.splits else []
+        rest = list(set(new).difference(plain))
+        chain = [w for w in rest if w.startswith(white) and ("!" <= w[-1] <= "~" or w[-1].isalnum())] if self.splits else []
+        alone = list(set(rest).difference(chain))
         found = self.library.encode_batch_fast([*alone, "".join(chain)], add_special_tokens=False)
         self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(alone, found, strict=False))
-        ids = np.array(found[-1].ids, np.uint32)
-        word_ends = np.cumsum(pc.binary_length(pa.array(chain, pa.string())).to_numpy(), dtype=np.int64)
+        self._share(chain, found[-1].ids)
+        self._share(plain, self.merges.encode_batch_fast([self._pieces(plain)], add_special_tokens=False)[0].ids)
+
+    def _share(self, words: list[str], ids: list[int]) -> None:
+        """Know the words by the ids of the text they make."""
+        ids = np.array(ids, np.uint32)
+        word_ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy(), dtype=np.int64)
         cuts = 4 * (np.searchsorted(np.cumsum(self.bytes[ids]), word_ends) + 1)
         data = ids.tobytes()
-        self.known.update(zip(chain, [data[a:b] for a, b in pairwise([0, *cuts.tolist()])], strict=True))
+        self.known.update(zip(words, [data[a:b] for a, b in pairwise([0, *cuts.tolist()])], strict=True))
 
     def _starts(self, data: np.ndarray) -> np.ndarray:
         """Which of the UTF-8 bytes begin a word, by those before them."""
@@ -118,7 +147,11 @@ class Encoder:
         kind = self.kinds[data]
         white = kind == _IS_WHITE
         cut[1:] = white[1:] & ~white[:-1] & (kind[:-1] != _IS_DOUBT) | (kind[1:] == _IS_SIGN) & (kind[:-1] == _IS_LETTER)
-        far = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
+        sign = np.flatnonzero((kind[1:] == _IS_SIGN) & (data[:-1] >= 0x80)) + 1
+        first, second = data[np.maximum(sign - 2, 0)], data[sign - 1]
+        # Letters of two bytes, U+00C0 to U+027F without the signs of times and division.
+        cut[sign[(first >= 0xC3) & (first <= 0xC9) & ((first != 0xC3) | (second != 0x97) & (second != 0xB7))]] = True
+        far = np.flatnonzero(white[1:] & cut[1:] & (data[:-1] >= 0x80)) + 1
         last = [data[np.maximum(far - k, 0)].astype(np.int64) << 8 * (k - 1) for k in (1, 2, 3)]
         cut[far[np.isin(last[0] | last[1], self.doubt) | np.isin(last[0] | last[1] | last[2], self.doubt)]] = False
         return cut
@@ -139,18 +172,15 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         each = list(map(known.get, distinct))
-        missing = [i for i, x in enumerate(each) if x is None]
-        new = []
-        for i in missing:
-            w = distinct[i]
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
+        missing = list(compress(range(len(each)), map(is_, each, repeat(None))))
+        absent = [distinct[i] for i in missing]
+        before = list(map(older.get, absent))
+        known.update(compress(zip(absent, before, strict=True), map(is_not, before, repeat(None))))
+        new = list(compress(absent, map(is_, before, repeat(None))))
         if new:
             self._learn(new)
-        for i in missing:
-            each[i] = known[distinct[i]]
+        for i, x in zip(missing, map(known.get, absent), strict=True):
+            each[i] = x
         for w in new:
             if len(w) > LONG_WORD:
                 del known[w]
@@ -158,19 +188,29 @@ class Encoder:
         size = np.fromiter(map(len, each), np.int64, len(each)) >> 2
         first, n = (np.cumsum(size) - size)[place], size[place]
         ends = np.r_[0, np.cumsum(n)]
-        ids = flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        take = np.repeat(first - ends[:-1], n)
+        take += np.arange(ends[-1])
+        ids = flat[take]
         ends = ends[np.searchsorted(at, bounds)]
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(ids: np.ndarray) -> bytes:
-    """Ids by byte planes, compressed."""
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+    """Ids by byte planes, two where that is enough, compressed; their number comes first."""
+    width = 4 if len(ids) and ids.max() >> 16 else 2
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return bytes([width]) + _zstd()[0].compress(np.ascontiguousarray(planes.T))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    if data[0] == 2:
+        return planes[0] | planes[1].astype(np.uint32) << np.uint32(8)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 

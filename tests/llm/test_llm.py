@@ -222,6 +222,33 @@ def test_signs_after_words_make_no_new_words(monkeypatch):
     assert learnt.count(" alpha") == 1 and len(learnt) == len(set(learnt)) and not any(x.startswith(" alpha") and x != " alpha" for x in learnt)
 
 
+def test_latin_words_skip_the_librarys_split(monkeypatch):
+    own, library = huffman.Encoder(BYTE_BPE), huffman.tokenizer(BYTE_BPE)
+    learnt, split = [], []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            split.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: learnt.extend(new) or learn(new))
+    monkeypatch.setattr(own, "library", Spy())
+    marks = [f"x {c}. a{c}{s}b \u4e00{c}{s} {c}'s\n{c}y" for c in map(chr, range(0xA0, 0x2C0)) for s in ".,;:!?)*#%&$"]
+    for part in (["un \u00e9t\u00e9. l' \u00e9t\u00e9, \u00e9t\u00e9;\n\u00e9t\u00e9 \u00e9t\u00e9"], marks):
+        found = [x.tolist() for x in own.ids(part)]
+        assert found == [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
+    words = [x for x in learnt if x.startswith((" \u00e9t\u00e9", "\n\u00e9t\u00e9"))]
+    assert sorted(words) == ["\n\u00e9t\u00e9", " \u00e9t\u00e9"] and not any("\u00e9t\u00e9" in x for x in split)
+
+
+def test_packed_ids():
+    for ids in ([], [0], [65535, 1], [65536, 3], [2**32 - 1, 0]):
+        packed = huffman._pack(np.array(ids, np.uint32))
+        assert huffman._unpack(packed).tolist() == ids and huffman._unpack(packed).dtype == np.uint32
+        assert packed[0] == (4 if max(ids, default=0) >> 16 else 2)
+
+
 def test_limited_lengths_are_optimal():
     # Fibonacci counts make the deepest tree; compared with all ways to give six symbols lengths up to four.
     counts = {i: c for i, c in enumerate((1, 1, 2, 3, 5, 8))}
