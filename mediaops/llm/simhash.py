@@ -209,6 +209,13 @@ def _least_shared(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
+def _among(own: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``own`` are in the sorted ``some``: searched one by one, so that a set costs little however many ``some`` are."""
+    if not len(some):
+        return np.zeros(len(own), bool)
+    return some[np.minimum(np.searchsorted(some, own), len(some) - 1)] == own
+
+
 def _sets(words: int, similarity: float = 0, common: Broadcast | None = None):
     """Rows (.., text) to (.., node, n, rare, set): node is a hash of the set, zero without words.
 
@@ -225,7 +232,7 @@ def _sets(words: int, similarity: float = 0, common: Broadcast | None = None):
                 sizes.append(len(own))
                 rare.append(0)
                 if common is not None and len(own):
-                    last = np.isin(own, common.value)
+                    last = _among(own, common.value)
                     rare[-1] = round(100 - 100 * float(last.mean()))
                     own = np.concatenate([own[~last], own[last]])[: len(own) - _least_shared(len(own), similarity) + 1]
                 sets.append(own)

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -165,6 +166,28 @@ def test_similar_copies_are_those_counted(spark, monkeypatch, hubs):
     assert close >= 20 and kept == want
 
 
+def test_sets_cost_the_same_however_many_shingles_are_common():
+    """A corpus of some GB has ``COMMON`` common shingles: a text must not pay for each of them."""
+    rng = random.Random(13)
+    texts = ["", "one", *(" ".join(rng.choices(["a", "b", "c", "d"], k=rng.randint(3, 300))) for _ in range(150))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    own = np.unique(np.concatenate([simhash.shingle_set(t, 5) for t in texts]))
+    found = own[::3]
+    others = np.random.default_rng(0).integers(-(1 << 63), (1 << 63) - 1, simhash.COMMON - len(found))
+    for some in (np.empty(0, np.int64), found, own[-1:], own[:1] - 1, own[-1:] + 1, np.sort(np.concatenate([found, others]))):
+        common, known = SimpleNamespace(value=some), set(some.tolist())
+        began = time.process_time()
+        (out,) = simhash._sets(5, 0.8, common)(iter([batch]))
+        took = time.process_time() - began
+        for text, rare, part in zip(texts, out.column("rare").to_pylist(), out.column("set").to_pylist(), strict=True):
+            whole = simhash.shingle_set(text, 5).tolist()
+            last = known.intersection(whole)
+            order = [x for x in whole if x not in last] + [x for x in whole if x in last]
+            assert part == order[: len(whole) - simhash._least_shared(len(whole), 0.8) + 1 if whole else 0]
+            assert rare == (round(100 - 100 * len(last) / len(whole)) if whole else 0)
+    assert took < 3
+
+
 # --- Huffman -------------------------------------------------------------------------------------------
 
 
