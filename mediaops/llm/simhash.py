@@ -34,6 +34,8 @@ TREE = 4096
 HUBS, MORE = 4, 4
 # One document in so many is looked at for common shingles, at most so many of which come last in the order.
 SAMPLE, COMMON = 16, 200_000
+# Numbers a set is summed up in, for a bound on what two sets share: enough to tell strangers of some 3000 shingles apart.
+MARKS = 128
 # So many keys of documents (16 bytes each) are broadcast; more are met by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _BLOCK = 2
@@ -246,6 +248,35 @@ def _sets(words: int, similarity: float = 0, common: Broadcast | None = None):
     return run
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, .., set) to (node, set, mark): how many of the set fall to each of ``MARKS`` places, up to 255."""
+    for batch in batches:
+        where = batch.schema.get_field_index
+        sets = batch.column(where("set"))
+        sizes = np.diff(sets.offsets.to_numpy())
+        place = np.repeat(np.arange(len(sizes)) * MARKS, sizes) + (sets.flatten().to_numpy() & (MARKS - 1))
+        marks = np.bincount(place, minlength=len(sizes) * MARKS).clip(max=255).astype(np.uint8).tobytes()
+        marks = [marks[i : i + MARKS] for i in range(0, len(marks), MARKS)]
+        yield pa.RecordBatch.from_arrays([batch.column(where("node")), sets, pa.array(marks, pa.binary())], ["node", "set", "mark"])
+
+
+def _likely(similarity: float):
+    """Of rows (a, b, na, nb, mark_a, mark_b) those that can be at ``similarity``, without marks: sets differ in as many
+    shingles at least as their marks do, so no pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, MARKS) for i in (4, 5))
+            differ = np.abs(a.astype(np.int16) - b).sum(axis=1)
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            kept = differ * (1 + similarity) <= (1 - similarity) * both + 1e-6
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(kept))
+
+    return run
+
+
 def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of their key those whose key comes more than once (and some at the ends of batches)."""
     for batch in batches:
@@ -331,7 +362,7 @@ def similar_copies(
     keys = stages.keep(met.mapInArrow(_met_twice, kinds_of_key), "keys")
     chosen = keys.select("k1", "k2").distinct()
     sets = some(rows, chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text").mapInArrow(_sets(words), kinds)
-    sets = stages.keep(sets.select("node", "set"), "sets")
+    sets = stages.keep(sets.select("node", "set").mapInArrow(_marked, "node long, set array<long>, mark binary"), "sets")
     open_keys, roots, first, last = keys.withColumn("root", F.col("node")), None, 0, HUBS
     if known is not None:
         named = prints.select("k1", "k2", "node").distinct().join(known.select("k1", "k2", "root").distinct(), ["k1", "k2"])
@@ -345,9 +376,15 @@ def similar_copies(
         met = met.mapInArrow(_meetings(first, last, similarity), "a long, b long, na long, nb long")
         met = stages.keep(met, f"met-{first}")
         pairs = stages.keep(met.where("b is not null").distinct(), f"pairs-{first}")
+        # most that meet are strangers who share a phrase, the more the larger the corpus: their sets need not move
         chosen = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        own = some(sets, chosen, ["node"])
-        both = pairs.join(own.toDF("a", "set_a"), "a").join(own.toDF("b", "set_b"), "b")
+        marks = some(sets.select("node", "mark"), chosen, ["node"])
+        both = pairs.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b")
+        both = both.select("a", "b", "na", "nb", "mark_a", "mark_b")
+        likely = stages.keep(both.mapInArrow(_likely(similarity), "a long, b long, na long, nb long"), f"likely-{first}")
+        chosen = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        own = some(sets.select("node", "set"), chosen, ["node"])
+        both = likely.join(own.toDF("a", "set_a"), "a").join(own.toDF("b", "set_b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         links = both.where(shared + 1e-9 >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b")
         links = stages.keep(links, f"links-{first}")
@@ -363,7 +400,7 @@ def similar_copies(
         able = able.where(F.col("rest") * (1 + similarity) + 1e-9 >= similarity * (F.col("n") + F.col("least")))
         several = able.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
         before, open_keys = f"open-{last}", stages.keep(left.join(several, "key", "left_semi"), f"open-{last * MORE}")
-        stages.drop(f"met-{first}", f"pairs-{first}", f"left-{first}", before)
+        stages.drop(f"met-{first}", f"pairs-{first}", f"likely-{first}", f"left-{first}", before)
         if open_keys.isEmpty():
             stages.drop("keys", "sets")
             return prints.join(roots, "node", "left").select("k1", "k2", "doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -188,6 +188,51 @@ def test_sets_cost_the_same_however_many_shingles_are_common():
     assert took < 3
 
 
+def test_marks_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    sets, pairs = [], []
+    for n in (1, 2, 7, 40, 300, 2000, 60_000):
+        own = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        for part in (0.0, 0.05, 0.11, 0.12, 0.3, 1.0):
+            other = np.unique(np.r_[own[int(part * n) :], rng.integers(-(1 << 63), (1 << 63) - 1, int(part * n))])
+            pairs.append((len(sets), len(sets) + 1, len(own), len(other)))
+            sets += [own, other]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+    found = [m for out in simhash._marked(iter([rows.slice(0, 5), rows.slice(5)])) for m in out.column("mark").to_pylist()]
+    a, b = ([found[p[i]] for p in pairs] for i in (0, 1))
+    cols = [*(pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(cols, ["a", "b", "na", "nb", "mark_a", "mark_b"])
+    (out,) = simhash._likely(0.8)(iter([batch]))
+    kept = set(out.column("a").to_pylist())
+    shared = {x: len(np.intersect1d(sets[x], sets[y])) for x, y, _, _ in pairs}
+    similar = {x for x, _, na, nb in pairs if shared[x] >= 0.8 * (na + nb - shared[x])}
+    assert len(similar) >= 20 and similar <= kept
+    assert not kept & {x for x, _, na, _ in pairs if not shared[x] and 40 <= na <= 2000}
+
+
+def test_sets_of_strangers_with_a_common_phrase_do_not_move(spark, monkeypatch):
+    """All pairs of texts that share a phrase meet, but only those that can be alike are joined with their sets."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1 << 40)
+    rng = random.Random(19)
+    phrase = [f"said{i}" for i in range(40)]
+    texts = [" ".join([*phrase, *(f"w{rng.randrange(10**6)}" for _ in range(400))]) for _ in range(40)]
+    texts += [t + " and more" for t in texts[:5]]
+    st, kept, keep = stages(spark), {}, Stages.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stages, "keep", counted)
+    found = simhash.similar_copies(frame(spark, list(enumerate(texts))), st, **simhash.SIMILAR).collect()
+    roots = {r.doc_id: r.root for r in found}
+    assert len(set(roots.values())) == 40 and all(roots[i] == roots[40 + i] for i in range(5))
+    met = sum(n for name, n in kept.items() if name.startswith("pairs-"))
+    likely = sum(n for name, n in kept.items() if name.startswith("likely-"))
+    assert met > 300 and 5 <= likely <= 20
+
+
 # --- Huffman -------------------------------------------------------------------------------------------
 
 
